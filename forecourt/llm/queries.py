@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, packing, quality_classifier, toxicity
+from . import byte_bpe, language_id, order_minhash, packing, quality_classifier, quality_rules, toxicity
 from .common import documents, labels
 
 
@@ -18,6 +18,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir))
 
@@ -31,13 +35,19 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity": op6_toxicity,
         "op8_quality_classifier": op8_quality_classifier,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
