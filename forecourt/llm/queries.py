@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, order_minhash, packing, quality_classifier, quality_rules, toxicity
+from . import byte_bpe, language_id, order_minhash, packing, quality_classifier, quality_rules, simhash, toxicity
 from .common import documents, labels
 
 
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, labels(spark, sf_dir)))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(documents(spark, sf_dir))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity": op6_toxicity,
+        "op7_simhash": op7_simhash,
         "op8_quality_classifier": op8_quality_classifier,
         "op10_order_minhash": op10_order_minhash,
     }
