@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, order_minhash, packing, quality_classifier, quality_rules, simhash, toxicity
+from . import byte_bpe, language_id, order_minhash, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -39,6 +39,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.strip_documents(documents(spark, sf_dir))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_order_minhash": op10_order_minhash,
     }
 
