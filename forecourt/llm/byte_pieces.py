@@ -49,8 +49,11 @@ class Memo:
 
     def encode(self, texts: list[str]) -> list[list]:
         """For each text the encodings of its chunks."""
+        return self.encode_keys([chunk_keys(text) for text in texts])
+
+    def encode_keys(self, cut: list[list[str]]) -> list[list]:
+        """For each list of keys the encodings of their chunks."""
         known = self.known
-        cut = [chunk_keys(text) for text in texts]
         missing = list(set().union(*cut).difference(known))
         known.update(zip(missing, self.encode_all(missing), strict=True) if missing else ())
         out = [list(map(known.__getitem__, keys)) for keys in cut]

@@ -61,7 +61,7 @@ def memo(vocabulary: str) -> Memo:
     def encode_all(keys: list[str]) -> list[bytes]:
         # Single words are encoded in one call, a newline between them.
         bare = [k[1:] if k[0] == "\n" else " " + k if k[0] != RAW else "" for k in keys]
-        plain = [len(b) > 1 and "\n" not in b for b in bare]
+        plain = [b[1:].split() == [b[1:]] if b[:1] == " " else b.split() == [b] for b in bare]
         ids = np.array(coder.encode_ordinary("\n".join([b for b, p in zip(bare, plain) if p])), "<u4")
         ends = [*np.flatnonzero(ids == newline).tolist(), len(ids)]
         flat, out, at, k = ids.tobytes(), [], 0, 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, order_minhash, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from . import byte_bpe, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(documents(spark, sf_dir))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_language_model": op2_language_model,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,

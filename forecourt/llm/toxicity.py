@@ -12,7 +12,7 @@ tokens at or above one half are the offending offsets.
 Defined cases: a null, empty or wordless text scores 0 and has no spans; a null doc_id
 is in no fold and matches no label; repeated rows give repeated results; without
 significant units every score is 0; an empty table gives no rows; only the id and the
-text are read. Training sees at most MOST_TOXIC + MOST_CLEAN labelled rows of at most
+text are read. Training sees about MOST_TOXIC + MOST_CLEAN labelled rows (at most twice as many) of at most
 LONGEST characters, chosen by a hash of the id; scoring sees everything.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold
+from .common import hash_sample, in_fold
 
 FOLDS, HELD_OUT, CUTOFF = 5, 0, 0.5
 MOST_TOXIC, MOST_CLEAN, LONGEST, MOST_FEATURES = 1200, 2400, 12_000, 100_000
@@ -181,11 +181,11 @@ def fit(rows: list[tuple[str, int]], rounds: int = 80, rate: float = 0.5, ridge:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
-    rows = docs.select("doc_id", "text").where(~in_fold("doc_id", FOLDS, HELD_OUT) & (F.length("text") <= LONGEST)).join(known, F.col("doc_id") == F.col("__id"))
-    order = F.xxhash64("doc_id")
-    parts = [rows.where(F.col("label") == k).orderBy(order, "text").limit(most).select("text", "label").collect() for k, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    return fit([(r.text, r.label) for part in parts for r in part])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~in_fold("doc_id", FOLDS, HELD_OUT))
+    chosen = hash_sample(known.where("label = 1"), MOST_TOXIC).union(hash_sample(known.where("label = 0"), MOST_CLEAN))
+    rows = docs.select(F.col("doc_id").alias("__id"), "text").where(F.length("text") <= LONGEST)
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "label", "doc_id").collect()
+    return fit([(r.text, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.label, r.text))])
 
 
 def score_texts(texts: list[str], field: Field, memo: dict[str, float]) -> list[tuple[float, list[dict]]]:
