@@ -151,6 +151,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, that the classifier predicts as 1."""
-    known = docs.where(~in_fold("doc_id", FOLDS, HELD_OUT)).join(labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)"), F.col("doc_id") == F.col("__id"))
-    model = fit(known.select("label", text_features("text").alias("features")))
-    return docs.where(model.column(text_features("text")) >= CUTOFF)
+    measured = durable(docs.select(F.struct("*").alias("row"), "doc_id", text_features("text").alias("features")), "quality")
+    model = fit(training_rows(measured, labels))
+    return measured.where(model.column(F.col("features")) >= CUTOFF).select("row.*")

@@ -161,7 +161,5 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    stats = lambda d: with_statistics(d.select(F.struct("*").alias("row"), "doc_id", "text"))
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    limits = cutoffs(with_statistics(labelled.select("doc_id", "text")), labels)
-    return judged(stats(docs), limits).where("kept").select("row.*")
+    rows = durable(with_statistics(docs.select(F.struct("*").alias("row"), "doc_id", "text")), "rules")
+    return judged(rows, cutoffs(rows, labels)).where("kept").select("row.*")
