@@ -1,3 +1,58 @@
-STAGES: list = []
+"""A corpus pipeline: quality rules, quality classifier, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``docs``. Between stages the rows are written as Parquet and read again,
+so a lost executor costs no more than the stage at work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from forecourt.llm import packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from forecourt.llm.common import documents, durable, labels
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the risk-controlled quality rules keep."""
+    return quality_rules.keep_documents(docs, labels(spark, sf_dir))
+
+
+def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good."""
+    return quality_classifier.keep_good(docs, labels(spark, sf_dir))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur more than once."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in packed sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_by_rules),
+    ("quality_classifier", keep_by_classifier),
+    ("simhash", keep_one_of_each_group),
+    ("suffix_dedup", cut_repeated_passages),
+    ("packing", pack),
+]
+
+#: No SQL: the classifier, the near-duplicates' closure and the tokeniser are beyond it.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
