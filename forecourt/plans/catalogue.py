@@ -34,10 +34,21 @@ _ELECTRIC = "coalesce(lower(fuel_type) IN ('electric', 'ev', 'bev', 'phev', 'plu
 _NEW = f"(new_used = 'new' AND CASE WHEN mileage IS NULL THEN year >= {YEAR - 1} ELSE mileage <= 200 END)"
 
 
+def _counts(sql: str) -> str:
+    """count_if as a filtered count, which is a BIGINT in both engines."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + 9, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(*) FILTER (WHERE {sql[at + 9 : end - 1]}){sql[end:]}"
+    return sql
+
+
 def add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
-        SQL[name] = sql
+        SQL[name] = _counts(sql)
 
 
 def on_listings(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -77,8 +88,8 @@ _FILTERS: dict[str, tuple[dict, str]] = {
     "f09_exclude_models": ({"exclude_models": ["Leaf", "Tahoe"]}, "model NOT IN ('Leaf', 'Tahoe')"),
     "f10_drivetrains": ({"drivetrains": ["awd", "FWD"]}, "(drivetrain IS NULL OR drivetrain = '' OR upper(drivetrain) IN ('AWD', 'FWD'))"),
     "f11_exclude_drivetrains": ({"exclude_drivetrains": ["fwd"]}, "(drivetrain IS NULL OR upper(drivetrain) <> 'FWD')"),
-    "f12_dealers": ({"dealers": ["Supplier#000000003", "Supplier#000000005"]}, "dealer_name IN ('Supplier#000000003', 'Supplier#000000005')"),
-    "f13_exclude_dealers": ({"exclude_dealers": ["Supplier#000000003"]}, "dealer_name <> 'Supplier#000000003'"),
+    "f12_dealers": ({"dealers": ["Dealer 3", "Dealer 5"]}, "dealer_name IN ('Dealer 3', 'Dealer 5')"),
+    "f13_exclude_dealers": ({"exclude_dealers": ["Dealer 3"]}, "dealer_name <> 'Dealer 3'"),
     "f14_cities": ({"cities": ["Portland"]}, "(dealer_location_city IS NULL OR dealer_location_city IN ('', 'Portland'))"),
     "f15_states": ({"states": ["WA"]}, "(dealer_location_state IS NULL OR dealer_location_state IN ('', 'WA'))"),
     "f16_exclude_status": ({"exclude_status": None}, "(in_stock_status IS NULL OR in_stock_status <> 'sold')"),
@@ -101,8 +112,8 @@ for _name, (_wanted, _where) in _FILTERS.items():
 
 add(
     "f20_remaining_dealers",
-    lambda spark, d: filters.remaining(table(spark, d, "supplier").select(F.col("s_name").alias("name")), listings(spark, d).where("in_stock_status = 'sold'").select(F.col("dealer_name").alias("name"))),
-    f"{_L} SELECT s_name AS name FROM supplier WHERE s_name NOT IN (SELECT dealer_name FROM listings WHERE in_stock_status = 'sold')",
+    lambda spark, d: filters.remaining(table(spark, d, "supplier").select(F.concat(F.lit("Dealer "), "s_suppkey").alias("name")), listings(spark, d).where("in_stock_status = 'sold'").select(F.col("dealer_name").alias("name"))),
+    f"{_L} SELECT concat('Dealer ', s_suppkey) AS name FROM supplier WHERE concat('Dealer ', s_suppkey) NOT IN (SELECT dealer_name FROM listings WHERE in_stock_status = 'sold')",
 )
 add(
     "f22_vehicle_urls",

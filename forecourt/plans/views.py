@@ -15,7 +15,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 LISTINGS = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   {row}(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS ord,
-  s_name AS dealer_name,
+  concat('Dealer ', CAST(s_suppkey AS STRING)) AS dealer_name,
   concat(CASE WHEN s_suppkey % 29 = 0 THEN 'ftp://' ELSE 'https://' END, 'dealer', CAST(s_suppkey AS STRING), '.net') AS dealer_website,
   concat(CASE WHEN l_partkey % 97 = 0 THEN 'www.d/' WHEN l_linenumber = 3 THEN ' https://D/' ELSE 'https://d/' END, CAST(l_suppkey AS STRING), '/', CAST(l_partkey AS STRING)) AS vehicle_url,
   CAST(2014 + l_partkey % 14 AS INT) AS year,
