@@ -41,7 +41,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def memo(vocabulary: str) -> Memo:
+def memo(vocabulary: str, most: int = 300_000) -> Memo:
     """Chunk encoder for a byte-level BPE vocabulary in a tokenizers JSON file.
 
     The merges of such a file stand in the order of their ids, so its tokens with their
@@ -74,7 +74,7 @@ def memo(vocabulary: str) -> Memo:
                 out.append(np.array(coder.encode_ordinary(chunk(key)), "<u4").tobytes())
         return out
 
-    return Memo(encode_all)
+    return Memo(encode_all, most)
 
 
 class BestFit:
@@ -111,11 +111,11 @@ class BestFit:
         return sequence
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     begin = chars = 0
     for k, text in enumerate(texts):
         chars += len(text)
-        if chars >= GROUP_CHARS:
+        if chars >= most:
             yield begin, k + 1
             begin, chars = k + 1, 0
     if begin < len(texts):
