@@ -356,7 +356,7 @@ def is_inventory(root: Node, text: str) -> bool:
 def facts(html: str | None, base: str, address: str, profile: str = "generic") -> dict:
     """What a detail page holds for the extraction cascade (H2, H5-H9)."""
     root = parse(html)
-    text = root.text().replace(" ", " ")
+    text = root.text().replace("\u00a0", " ")
     heading = root.find("h1") or root.find("h2" if profile == "template" else "title")
     title = root.find("title")
     engines = []

@@ -14,7 +14,7 @@ from .text import blank_to_null, contains_any, first_group, strip
 
 def year_of(text: Column, as_of_year: int) -> Column:
     """The first year of 1900 to 2099 in a text, else the given one."""
-    return F.coalesce(F.regexp_extract(text, F.lit(P.YEAR), F.lit(1)).try_cast("int"), F.lit(as_of_year))
+    return F.coalesce(F.regexp_extract(text, P.YEAR, 1).try_cast("int"), F.lit(as_of_year))
 
 
 def title_parts(title: Column) -> Column:
@@ -26,7 +26,7 @@ def title_parts(title: Column) -> Column:
     is never told apart.
     """
     makes = F.array(*map(F.lit, P.MAKES))
-    year = F.regexp_extract(title, F.lit(P.YEAR), F.lit(1))
+    year = F.regexp_extract(title, P.YEAR, 1)
     rest = F.when(year != "", strip(F.replace(title, year, F.lit("")))).otherwise(title)
     words = F.filter(F.split(rest, r"(?U)\s+"), lambda w: w != "")
     leading = F.when(F.size(words) > 0, F.get(F.filter(makes, lambda m: rest.startswith(m)), F.lit(0)))
@@ -39,7 +39,7 @@ def title_parts(title: Column) -> Column:
 
 def make_model(text: Column) -> Column:
     """struct(make, model) of the first make in a text and the letters and digits after it."""
-    return F.struct(blank_to_null(F.regexp_extract(text, F.lit(P.MAKE_MODEL), F.lit(1))).alias("make"), first_group(text, P.MAKE_MODEL, 2).alias("model"))
+    return F.struct(blank_to_null(F.regexp_extract(text, P.MAKE_MODEL, 1)).alias("make"), first_group(text, P.MAKE_MODEL, 2).alias("model"))
 
 
 def vin(text: Column, labelled: Column | None = None) -> Column:
@@ -59,7 +59,7 @@ def stock_number(text: Column, labelled: Column | None = None) -> Column:
 
 def mileage_text(raw: Column) -> Column:
     """struct(value, unit) of a labelled mileage; kilometres if the text says so."""
-    number = F.regexp_extract(F.replace(raw, F.lit(","), F.lit("")), F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)).try_cast("double").try_cast("int")
+    number = F.regexp_extract(F.replace(raw, F.lit(","), F.lit("")), r"(\d+(?:[.,]\d+)?)", 1).try_cast("double").try_cast("int")
     unit = F.when(number.isNotNull() & contains_any(F.lower(raw), ("km", "kilometer")), "km").otherwise("mi")
     return F.struct(number.alias("value"), unit.alias("unit"))
 

@@ -81,7 +81,7 @@ def page_text(html: str | Column) -> Column:
     """H2 without a tree: tags, comments, scripts and styles go; common entities are replaced."""
     text = F.regexp_replace(_c(html), r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), (" ", " "), ("&amp;", "&")):
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("\u00a0", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return text
 

@@ -33,4 +33,4 @@ def contains_any(c: Column, needles) -> Column:
 
 def first_group(c: str | Column, pattern: str, group: int = 1) -> Column:
     """The leftmost match's group, stripped; null without a match or if it is empty."""
-    return blank_to_null(strip(F.regexp_extract(_column(c), F.lit(pattern), F.lit(group))))
+    return blank_to_null(strip(F.regexp_extract(_column(c), pattern, group)))

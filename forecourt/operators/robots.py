@@ -79,7 +79,7 @@ def verdicts(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "ur
     own = with_pattern(own)
     table = own.groupBy(F.col(host).alias("__host")).agg(F.collect_list(F.struct("agent", "allow", "regex", "prefix")).alias("__rules"))
     joined = urls.join(table, F.col(host) == F.col("__host"), "left").withColumn("__path", url_path(url))
-    hit = lambda r: F.when(r["regex"].isNotNull(), F.col("__path").rlike(r["regex"])).otherwise(F.startswith(F.col("__path"), r["prefix"]))
+    hit = lambda r: F.when(r["regex"].isNotNull(), F.rlike(F.col("__path"), r["regex"])).otherwise(F.startswith(F.col("__path"), r["prefix"]))
     matches = F.filter("__rules", lambda r: F.coalesce(hit(r), F.lit(False)))
     asked = joined.withColumn("__hits", matches)
     says = [F.when(F.exists("__hits", lambda r, a=a: (r["agent"] == a) & r["allow"]), F.lit(True)).when(F.exists("__hits", lambda r, a=a: (r["agent"] == a) & ~r["allow"]), F.lit(False)) for a in agents]

@@ -153,7 +153,8 @@ def test_titles(spark):
 PAGE = """<html><head><title>Used car</title><script type="application/ld+json">{bad</script>
 <script type="application/ld+json">[{"@type": "Car", "fuelType": "Electric"}]</script></head>
 <body><h1>2024 Kia EV6 Wind</h1><p class="price">MSRP: $45,000</p><p>Our price is lower than that of all of the other sellers in town: $41,500</p>
-<dl><dt>Odometer</dt><dd>120 km</dd></dl><p>Ext. Color: Red</p><p>12&nbsp;mi</p>
+<dl><dt>Odometer</dt><dd>120 km</dd></dl><p>Ext. Color: Red</p>
+<p>12&nbsp;mi</p>
 <div class="vehicle-description">A very nice and quite long description of this electric vehicle.</div>
 <ul class="features"><li>Heated seats</li><li>x</li></ul><img src="/vehicle/1.jpg"><img src="/logo.png"></body></html>"""
 
