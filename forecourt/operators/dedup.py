@@ -24,37 +24,31 @@ def url_key(url: str | Column = "vehicle_url") -> Column:
     return F.lower(strip(url))
 
 
-def _latest_first(prefer_latest: bool, of: str, order: Sequence[str]) -> tuple[list[Column], Column]:
-    """Window order, and whether the group's first row carries a time stamp."""
-    first = F.first("scraped_at").over(Window.partitionBy(of).orderBy(*order))
-    time = F.when(first.isNotNull(), F.col("scraped_at")) if prefer_latest else F.lit(None).cast("timestamp_ntz")
-    return [F.col("__time").desc_nulls_last(), *map(F.col, order)], time
-
-
-def _marked(rows: DataFrame, key: str, prefer_latest: bool, order: Sequence[str]) -> DataFrame:
-    """Add __first (came first in its group) and __wins (the group's choice)."""
-    by, time = _latest_first(prefer_latest, key, order)
-    group = Window.partitionBy(key)
-    return (
-        rows.withColumn("__time", time)
-        .withColumn("__first", F.row_number().over(group.orderBy(*order)) == 1)
-        .withColumn("__wins", F.row_number().over(group.orderBy(*by)) == 1)
-        .drop("__time")
-    )
+#: Into how many groups rows without a key are spread in a window that does not concern them.
+SPREAD = 4096
+
+
+def _spread(key: str, order: Sequence[str]) -> Column:
+    """Null for rows with a key; for others a group number, so they never form one group."""
+    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
 
 
 def _staged(listings: DataFrame, order: Sequence[str], prefer_latest: bool) -> DataFrame:
-    """All rows with __vk, __uk, __rep, __vin_wins and, for representatives, __url_wins.
+    """All rows with __rep (first of its VIN, or without one), __vin_wins, __first and __url_wins.
 
-    Rows without a VIN are spread by their address, so they never form one group.
+    Two exchanges, one per key; within an address representatives stand before the others,
+    which have no say there.
     """
-    rows = listings.withColumn("__vk", vin_key()).withColumn("__uk", url_key())
-    with_vin = _marked(rows.where("__vk is not null"), "__vk", prefer_latest, order).withColumnsRenamed({"__first": "__rep", "__wins": "__vin_wins"})
-    without = rows.where("__vk is null").withColumn("__rep", F.lit(True)).withColumn("__vin_wins", F.lit(True))
-    all_rows = with_vin.unionByName(without)
-    reps = _marked(all_rows.where("__rep"), "__uk", prefer_latest, order).withColumnsRenamed({"__wins": "__url_wins"})
-    others = all_rows.where(~F.col("__rep")).withColumn("__first", F.lit(False)).withColumn("__url_wins", F.lit(False))
-    return reps.unionByName(others)
+    rows = listings.withColumn("__vk", vin_key()).withColumn("__uk", url_key()).withColumn("__spread", _spread("__vk", order))
+    newest = lambda time: [F.col(time).desc_nulls_last()] if prefer_latest else []
+    by_vin = Window.partitionBy("__vk", "__spread")
+    alone = F.col("__vk").isNull()
+    rows = rows.withColumn("__time", F.when(F.first("scraped_at").over(by_vin.orderBy(*order)).isNotNull(), F.col("scraped_at")))
+    rows = rows.withColumn("__rep", alone | (F.row_number().over(by_vin.orderBy(*order)) == 1)).withColumn("__vin_wins", alone | (F.row_number().over(by_vin.orderBy(*newest("__time"), *order)) == 1))
+    by_url, leading = Window.partitionBy("__uk"), F.col("__rep").desc()
+    rows = rows.withColumn("__time", F.when(F.col("__rep") & F.first(F.when(F.col("__rep"), F.col("scraped_at"))).over(by_url.orderBy(leading, *order)).isNotNull(), F.col("scraped_at")))
+    rows = rows.withColumn("__first", F.col("__rep") & (F.row_number().over(by_url.orderBy(leading, *order)) == 1))
+    return rows.withColumn("__url_wins", F.col("__rep") & (F.row_number().over(by_url.orderBy(leading, *newest("__time"), *order)) == 1))
 
 
 def deduplicate(listings: DataFrame, order: Sequence[str], prefer_latest: bool = True) -> DataFrame:
@@ -81,9 +75,9 @@ def dedup_stats(listings: DataFrame, order: Sequence[str], prefer_latest: bool =
 
 
 def _keep_first(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    keyed = rows.withColumn("__key", key)
-    ranked = keyed.where("__key is not null").withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).where("__rank = 1")
-    return ranked.drop("__rank").unionByName(keyed.where("__key is null")).select(*rows.columns)
+    keyed = rows.withColumn("__key", key).withColumn("__spread", _spread("__key", order))
+    first = F.row_number().over(Window.partitionBy("__key", "__spread").orderBy(*order)) == 1
+    return keyed.withColumn("__kept", F.col("__key").isNull() | first).where("__kept").select(*rows.columns)
 
 
 def deduplicate_by_vin(listings: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -82,7 +82,11 @@ def verdicts(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "ur
     hit = lambda r: F.when(r["regex"].isNotNull(), F.rlike(F.col("__path"), r["regex"])).otherwise(F.startswith(F.col("__path"), r["prefix"]))
     matches = F.filter("__rules", lambda r: F.coalesce(hit(r), F.lit(False)))
     asked = joined.withColumn("__hits", matches)
-    says = [F.when(F.exists("__hits", lambda r, a=a: (r["agent"] == a) & r["allow"]), F.lit(True)).when(F.exists("__hits", lambda r, a=a: (r["agent"] == a) & ~r["allow"]), F.lit(False)) for a in agents]
+    def verdict(name: str) -> Column:
+        says = lambda allow: F.exists("__hits", lambda r: (r["agent"] == name) & (r["allow"] == allow))
+        return F.when(says(True), F.lit(True)).when(says(False), F.lit(False))
+
+    says = [verdict(name) for name in agents]
     return asked.withColumn("allowed", F.coalesce(*says, F.lit(True))).select(*urls.columns, "allowed")
 
 

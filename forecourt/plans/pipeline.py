@@ -67,7 +67,12 @@ class Result:
 
 
 def run_listings(listings: DataFrame, order: Sequence[str], spec: FilterSpec | None = None, *, as_of_year: int, strict: bool = False) -> Result:
-    """Entry C: validate, then deduplicate, then filter. The order matters and is kept."""
+    """Entry C: validate, then deduplicate, then filter. The order matters and is kept.
+
+    The session stops inferring constraints: over the rules' large predicates and the many
+    aliases above them that inference takes minutes, and nothing here gains from it.
+    """
+    listings.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     sound = listings.where(is_constructible(as_of_year))
     validated = quality.validate(sound, as_of_year=as_of_year, strict=strict)
     valid = validated.where("is_valid").select(*listings.columns)

@@ -34,7 +34,7 @@ def csv_row(listings: DataFrame) -> DataFrame:
 def write_csv(listings: DataFrame, path: str, mode: str = "overwrite", single: bool = False) -> None:
     """K2: CSV with a header, also for no rows; one file only if asked for."""
     rows = csv_row(listings)
-    (rows.coalesce(1) if single or rows.isEmpty() else rows).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    (rows.coalesce(1) if single or rows.isEmpty() else rows).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_rows(listings: DataFrame) -> DataFrame:
