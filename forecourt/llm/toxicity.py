@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample, in_fold
 
 FOLDS, HELD_OUT, CUTOFF = 5, 0, 0.5
-MOST_TOXIC, MOST_CLEAN, LONGEST, MOST_FEATURES = 1200, 2400, 12_000, 100_000
+MOST_TOXIC, MOST_CLEAN, LONGEST, MOST_FEATURES = 800, 1600, 8_000, 60_000
 CHAIN, SLOTS, MOST_WORDS = 32, 7, 300_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
 _WORD = re.compile(r"[^\W\d_]+")
