@@ -151,6 +151,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, that the classifier predicts as 1."""
-    measured = durable(docs.select(F.struct("*").alias("row"), "doc_id", text_features("text").alias("features")), "quality")
-    model = fit(training_rows(measured, labels))
-    return measured.where(model.column(F.col("features")) >= CUTOFF).select("row.*")
+    model = fit(training_rows(measure(docs), labels))
+    return docs.where(model.column(text_features("text")) >= CUTOFF)

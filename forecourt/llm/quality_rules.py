@@ -161,5 +161,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    rows = durable(with_statistics(docs.select(F.struct("*").alias("row"), "doc_id", "text")), "rules")
-    return judged(rows, cutoffs(rows, labels)).where("kept").select("row.*")
+    stats = durable(with_statistics(docs.select("doc_id", "text")), "rules")
+    limits = cutoffs(stats, labels)
+    # Counted again rather than kept with the rows, which would hold all texts on disk.
+    return judged(with_statistics(docs.select(F.struct("*").alias("row"), "text")), limits).where("kept").select("row.*")
