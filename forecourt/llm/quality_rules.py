@@ -161,7 +161,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    stats = durable(with_statistics(docs.select("doc_id", "text")), "rules")
-    limits = cutoffs(stats, labels)
-    # Counted again rather than kept with the rows, which would hold all texts on disk.
-    return judged(with_statistics(docs.select(F.struct("*").alias("row"), "text")), limits).where("kept").select("row.*")
+    rid = F.xxhash64("doc_id", "text")  # rows equal in both are judged alike
+    stats = durable(with_statistics(docs.select("doc_id", rid.alias("__rid"), "text")), "rules")
+    kept = judged(stats, cutoffs(stats, labels)).where("kept").select("__rid").distinct()
+    return docs.join(kept, rid == F.col("__rid"), "left_semi")
