@@ -6,6 +6,8 @@ selects its TUPLE minimal hashes, puts them back in text order and hashes them a
 tuple, so a lane agrees between two texts only if the same k-mers are minimal in the same
 order: likeness follows edit distance, not just shared content. One sort numbers the
 k-mers, one sort selects; both are on primitive arrays inside one row, without a shuffle.
+The sorted numbers hold the top bits of a hash and a place; lanes and tuples are made from
+the whole hashes, found by place, so they do not depend on the text's length.
 
 Defined cases: a null text is empty; a text of fewer than K words has one k-mer, all its
 words; without words the text itself is the k-mer; the next of the last document is the
@@ -46,24 +48,23 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
     b = a.select(*kept, F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"), F.length(F.bin(F.size("__w").cast("long"))).alias("__b"))
     grams = F.transform(F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (K - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get("__h", i + k) for k in range(1, K)]))
     bits = F.col("__b")
+    mask = _left(F.lit(1).cast("long"), bits) - 1
     c = b.select(*kept, "__b", grams.alias("__g"))
-    d = c.select(*kept, "__b", F.sort_array(F.transform("__g", lambda x, i: _left(x, bits).bitwiseOR(i.cast("long")))).alias("__s"), F.size("__g").alias("__n"))
+    d = c.select(*kept, "__b", "__g", F.sort_array(F.transform("__g", lambda x, i: _left(x, bits).bitwiseOR(i.cast("long")))).alias("__s"))
     same = lambda x, i: F.coalesce(_right(F.get("__s", i), bits) == _right(x, bits), F.lit(False))
     steps = F.transform(F.sequence(F.lit(0), F.least(F.lit(STEPS - 1), bits)), lambda k: _left(F.lit(1), bits - k))
     number = lambda x, i: F.when(same(x, i - 1), F.aggregate(steps, F.lit(0), lambda got, step: F.when(same(x, i - got - step), got + step).otherwise(got))).otherwise(F.lit(0))
-    mask = _left(F.lit(1).cast("long"), bits) - 1
-    hashed = F.transform("__s", lambda x, i: _left(F.xxhash64(_right(x, bits), number(x, i)), bits).bitwiseOR(x.bitwiseAND(mask)))
-    e = d.select(*kept, "__b", "__n", hashed.alias("__e0"))
-    f = e.select(*kept, "__b", F.sort_array("__e0").alias("__e"), F.size("__e0").alias("__n"))
+    low = lambda x: x.bitwiseAND(mask).cast("int")
+    e = d.select(*kept, "__b", "__s", F.transform("__s", lambda x, i: F.xxhash64(F.get("__g", low(x)), number(x, i))).alias("__v"))
+    f = e.select(*kept, "__b", "__s", "__v", F.sort_array(F.transform("__v", lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))).alias("__e"))
     lane = lambda x: _right(x, 64 - LANE_BITS)
     least = F.filter("__e", lambda x, i: F.coalesce(lane(F.get("__e", i - TUPLE)) != lane(x), F.lit(True)))
-    g = f.select(*kept, "__b", least.alias("__l"), "__n")
-    place = lambda x: x.bitwiseAND(mask)
-    value = lambda x: _right(x, bits)
-    follows = lambda x, i: F.coalesce(lane(F.get("__l", i + 1)) == lane(x), F.lit(False))
-    begins = lambda x, i: F.coalesce(lane(F.get("__l", i - 1)) != lane(x), F.lit(True))
-    pair = lambda x, y: F.when(place(x) < place(y), F.xxhash64(value(x), value(y))).otherwise(F.xxhash64(value(y), value(x)))
-    tuples = F.transform("__l", lambda x, i: F.when(begins(x, i), _left(lane(x), 40).bitwiseOR(_right(F.when(follows(x, i), pair(x, F.get("__l", i + 1))).otherwise(F.xxhash64(value(x))), 24))))
+    g = f.select(*kept, F.transform(least, lambda x: F.struct(F.get("__v", low(x)).alias("v"), low(F.get("__s", low(x))).alias("p"))).alias("__l"))
+    of = lambda x: lane(x["v"])
+    follows = lambda x, i: F.coalesce(of(F.get("__l", i + 1)) == of(x), F.lit(False))
+    begins = lambda x, i: F.coalesce(of(F.get("__l", i - 1)) != of(x), F.lit(True))
+    pair = lambda x, y: F.when(x["p"] < y["p"], F.xxhash64(x["v"], y["v"])).otherwise(F.xxhash64(y["v"], x["v"]))
+    tuples = F.transform("__l", lambda x, i: F.when(begins(x, i), _left(of(x), 40).bitwiseOR(_right(F.when(follows(x, i), pair(x, F.get("__l", i + 1))).otherwise(F.xxhash64(x["v"])), 24))))
     return g.select(*kept, F.filter(tuples, lambda x: x.isNotNull()).alias(name))
 
 

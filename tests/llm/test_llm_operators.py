@@ -444,6 +444,15 @@ def test_order_matters(spark):
     assert len(s[1] & s[3]) > len(s[1] & s[2])
 
 
+@pytest.mark.parametrize("short,long", [(127, 128), (250, 260), (255, 257), (1000, 1030)])
+def test_order_minhash_ignores_length_class(spark, short, long):
+    """Near copies keep their lanes where their word counts lie on both sides of a power of two."""
+    words = [f"w{i}" for i in range(long)]
+    df = spark.createDataFrame([(1, " ".join(words[:short])), (2, " ".join(words))], EMPTY)
+    s = {r.doc_id: set(r.signature) for r in order_minhash.fingerprints(df).collect()}
+    assert len(s[1] & s[2]) > 0.7 * max(map(len, s.values()))
+
+
 # The pipeline.
 
 
