@@ -3,7 +3,8 @@
 A k-mer is K neighbouring words; equal k-mers of a text are numbered in text order. Each
 numbered k-mer gets a hash, whose first bits assign it to one of LANES lanes. A lane
 selects its TUPLE minimal hashes, puts them back in text order and hashes them as one
-tuple, so a lane agrees between two texts only if the same k-mers are minimal in the same
+tuple; a lane that has fewer takes the next hashes of the ring of lanes instead, so every
+lane of a text with two k-mers hashes an ordered pair. So a lane agrees between two texts only if the same k-mers are minimal in the same
 order: likeness follows edit distance, not just shared content. One sort numbers the
 k-mers, one sort selects; both are on primitive arrays inside one row, without a shuffle.
 The sorted numbers hold the top bits of a hash and a place; lanes and tuples are made from
@@ -37,7 +38,7 @@ def _left(x: Column, by: Column | int) -> Column:
 
 
 def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: array<long> of one (lane, tuple hash) per lane that has a k-mer.
+    """Add ``name``: array<long> of one (lane, tuple hash) for each of LANES lanes.
 
     Built in steps whose arrays are read more than once by the next one, so that the
     optimizer computes each once.
@@ -60,12 +61,15 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
     lane = lambda x: _right(x, 64 - LANE_BITS)
     least = F.filter("__e", lambda x, i: F.coalesce(lane(F.get("__e", i - TUPLE)) != lane(x), F.lit(True)))
     g = f.select(*kept, F.transform(least, lambda x: F.struct(F.get("__v", low(x)).alias("v"), low(F.get("__s", low(x))).alias("p"))).alias("__l"))
-    of = lambda x: lane(x["v"])
-    follows = lambda x, i: F.coalesce(of(F.get("__l", i + 1)) == of(x), F.lit(False))
-    begins = lambda x, i: F.coalesce(of(F.get("__l", i - 1)) != of(x), F.lit(True))
-    pair = lambda x, y: F.when(x["p"] < y["p"], F.xxhash64(x["v"], y["v"])).otherwise(F.xxhash64(y["v"], x["v"]))
-    tuples = F.transform("__l", lambda x, i: F.when(begins(x, i), _left(of(x), 40).bitwiseOR(_right(F.when(follows(x, i), pair(x, F.get("__l", i + 1))).otherwise(F.xxhash64(x["v"])), 24))))
-    return g.select(*kept, F.filter(tuples, lambda x: x.isNotNull()).alias(name))
+    size = F.size("__l")
+    of = lambda x: F.shiftright(x["v"], 64 - LANE_BITS).cast("int") + LANES // 2
+    before = lambda i: F.when(i > 0, of(F.get("__l", i - 1))).otherwise(F.lit(-1))
+    pair = lambda x, y: F.when(x["p"] < y["p"], F.xxhash64(x["v"], y["v"])).when(x["p"] > y["p"], F.xxhash64(y["v"], x["v"])).otherwise(F.xxhash64(x["v"]))
+    chosen = lambda x, i: pair(x, F.get("__l", F.pmod(i + 1, size)))
+    reached = F.transform("__l", lambda x, i: F.when(of(x) > before(i), F.array_repeat(chosen(x, i), of(x) - before(i))).otherwise(F.array().cast("array<long>")))
+    h = g.select(*kept, "__l", F.flatten(reached).alias("__t"))
+    ring = F.concat("__t", F.array_repeat(F.get("__t", F.lit(0)), LANES - F.size("__t")))
+    return h.select(*kept, F.transform(ring, lambda x, i: _left(i.cast("long"), 40).bitwiseOR(_right(x, 24))).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -453,6 +453,23 @@ def test_order_minhash_ignores_length_class(spark, short, long):
     assert len(s[1] & s[2]) > 0.7 * max(map(len, s.values()))
 
 
+@pytest.mark.parametrize("n", [40, 60, 80, 100])
+def test_order_minhash_of_short_swapped_texts(spark, n):
+    """Every lane hashes an ordered pair, so swapped halves share about half of the lanes."""
+    texts = [[f"t{k}w{i}" for i in range(n)] for k in range(12)]
+    rows = [(2 * k + swap, " ".join(w[n // 2 :] + w[: n // 2] if swap else w)) for k, w in enumerate(texts) for swap in (0, 1)]
+    s = {r.doc_id: r.signature for r in order_minhash.fingerprints(spark.createDataFrame(rows, EMPTY)).collect()}
+    assert all(len(x) == order_minhash.LANES for x in s.values())
+    assert np.mean([len(set(s[2 * k]) & set(s[2 * k + 1])) / max(len(s[2 * k]), 1) for k in range(12)]) < 0.6
+
+
+def test_order_minhash_of_two_words(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b c"), (3, "b c a"), (4, "")], EMPTY)
+    s = {r.doc_id: r.signature for r in order_minhash.fingerprints(df).collect()}
+    assert all(len(x) == order_minhash.LANES for x in s.values())
+    assert not set(s[2]) & set(s[3])
+
+
 # The pipeline.
 
 
