@@ -135,6 +135,21 @@ def test_attention_is_causal():
     assert np.allclose(a[:-1], b[:-1]) and not np.allclose(a[-1], b[-1])
 
 
+def test_attention_reaches_back():
+    """128 classes, and a token 32 places before still counts at every place."""
+    classes = language_model.find_classes([np.arange(100, 400)])
+    assert len(set(classes[100:400].tolist())) > 64
+    model = language_model.Attention.fresh(classes)
+    nearness = language_model._offsets(model.distance) + language_model._CAUSAL
+    ids = np.arange(100, 180)
+    inputs, targets, _ = language_model.windows([ids])
+    changed, _, _ = language_model.windows([np.concatenate([ids[:39], [399], ids[40:]])])
+    at = np.flatnonzero(targets.ravel() == ids[39 + 32])
+    read = lambda x: np.where(x >= 0, x, language_model._BLANK + 1)
+    a, b = (model.weights(read(x), model.tables(), nearness)[at] for x in (inputs, changed))
+    assert not np.allclose(a, b)
+
+
 # 3
 
 
