@@ -150,6 +150,23 @@ def test_attention_reaches_back():
     assert not np.allclose(a, b)
 
 
+def test_attention_is_trained_on_all_rows(spark, monkeypatch):
+    """Long texts, and ids that no sampled text has, get classes and embeddings."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["zebra", "quartz", "violin", "harbor", "meadow"]) for _ in range(1500))) for i in range(10)]
+    df = spark.createDataFrame(rows, EMPTY)
+    assert all(len(t) > language_model.LONGEST for _, t in rows)
+    model, _ = language_model.train(df)
+    ids = np.unique(np.concatenate(language_model.token_ids([language_model.words_of(t) for _, t in rows])[0]))
+    ids = ids[ids != language_model.END]
+    assert (model.attention.classes[ids] < language_model.CLASSES - 1).all()
+    assert np.abs(model.attention.by_id[ids]).sum(1).all()
+    for shard in (4_000, 10**9):
+        monkeypatch.setattr(language_model, "SHARD", shard)
+        again = language_model.train(df.repartition(7))[0].attention
+        assert np.isfinite(again.by_id).all() and np.abs(again.by_id[ids]).sum(1).all()
+
+
 # 3
 
 
