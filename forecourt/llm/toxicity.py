@@ -3,17 +3,20 @@
 Document labels are turned into token labels first: words and word beginnings whose
 document frequency among toxic training documents is significantly above their base
 rate (exact binomial tail, corrected for the number of units tried) mark the tokens of
-toxic documents. The field (two states, features of the word: itself, beginnings,
-ending) is trained on these by gradient ascent with forward-backward expectations.
-Texts are cut into chains of CHAIN tokens; the marginals of all
+toxic documents. The frequencies are counted over all labelled training rows. The field
+(two states, features of the word: itself, beginnings, ending) is trained on these by
+gradient ascent with forward-backward expectations; a marked word whose units the field's
+sample lacks has the mean weight of the marked words that it holds.
+Texts are scored in chains of CHAIN tokens, each with up to MARGIN tokens more on either
+side, so that messages cross the cuts; the marginals of all
 tokens of the whole text are computed, the highest is the document's score, and the
 tokens at or above one half are the offending offsets.
 
 Defined cases: a null, empty or wordless text scores 0 and has no spans; a null doc_id
 is in no fold and matches no label; repeated rows give repeated results; without
 significant units every score is 0; an empty table gives no rows; only the id and the
-text are read. Training sees about MOST_TOXIC + MOST_CLEAN labelled rows (at most twice as many) of at most
-LONGEST characters, chosen by a hash of the id; scoring sees everything.
+text are read. The field's weights are fitted on about MOST_TOXIC + MOST_CLEAN labelled rows (at most twice
+as many) of at most LONGEST characters, chosen by a hash of the id; counting and scoring see everything.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, in_fold
+from .common import durable, hash_sample, in_fold
 
 FOLDS, HELD_OUT, CUTOFF = 5, 0, 0.5
-MOST_TOXIC, MOST_CLEAN, LONGEST, MOST_FEATURES = 800, 1600, 8_000, 60_000
-CHAIN, SLOTS, MOST_WORDS = 32, 7, 300_000
+MOST_TOXIC, MOST_CLEAN, LONGEST, MOST_FEATURES = 1200, 2400, 12_000, 100_000
+CHAIN, MARGIN, SLOTS, MOST_WORDS = 32, 16, 7, 300_000
+MOST_COUNTED = 200_000
+_ROW = ""  # the key that counts rows
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,6 +70,41 @@ def significant_units(toxic: list[set[str]], clean: list[set[str]], level: float
     return {u for u, n in hot.items() if n >= 3 and cold[u] <= 0.1 * n and tail(n, n + cold[u], base) * tried <= level}
 
 
+def corpus_units(rows: DataFrame, level: float = 0.01) -> set[str]:
+    """``significant_units`` by document frequencies over all rows (text, label), counted in Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = list(counts[0].keys() | counts[1].keys())
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], ["unit", "hot", "cold"])
+            for c in counts:
+                c.clear()
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of = counts[label]
+                of.update(units({w.lower() for w in _WORD.findall(text or "")}))
+                of[_ROW] += 1
+                if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
+                    yield from flush()
+        yield from flush()
+
+    counted = durable(rows.mapInArrow(count, "unit string, hot long, cold long").groupBy("unit").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")), "units")
+    whole = counted.where(F.col("unit") == _ROW).first()
+    if whole is None or not whole.hot or not whole.cold:
+        return set()
+    base = whole.hot / (whole.hot + whole.cold)
+    hot = counted.where((F.col("unit") != _ROW) & (F.col("hot") >= 3))
+    tried = hot.count() or 1
+    n, q = F.col("hot") + F.col("cold"), F.col("hot") / (F.col("hot") + F.col("cold"))
+    clean = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
+    found = hot.where((F.col("cold") <= 0.1 * F.col("hot")) & (q > base) & (F.exp(-n * (q * F.log(q / base) + clean)) * tried <= level))
+    return {r.unit for r in found.select("unit").collect()}  # toxic words only
+
+
 @dataclass
 class Field:
     """Emission weights by feature; ``step[a, b]``: weight of state b after state a."""
@@ -73,9 +113,15 @@ class Field:
     bias: float
     step: np.ndarray
     start: float
+    unseen: frozenset[str] = frozenset()  # significant units that the sample lacks
+    mean: float = 0.0  # what a marked word's features weigh in the mean
 
     def emission(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in word_features(word))
+        features = word_features(word)
+        weight = sum(self.weights.get(f, 0.0) for f in features)
+        if self.unseen and not self.unseen.isdisjoint(features):
+            weight = max(weight, self.mean)
+        return self.bias + weight
 
 
 def marginals(emission: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,23 +161,37 @@ def padded(values: np.ndarray, lengths: np.ndarray, pad: float) -> tuple[np.ndar
     return out.reshape(-1, CHAIN), first + within
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 80, rate: float = 0.5, ridge: float = 0.05) -> Field:
-    """Train on (text, toxic) rows."""
+def overlapped(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chains of texts that stand one after the other: token of each place (-1: none), and which places are a chain's own."""
+    chains = -(-tokens // CHAIN)
+    text = np.repeat(np.arange(len(tokens)), chains)
+    begin = (np.arange(chains.sum()) - np.repeat(np.cumsum(chains) - chains, chains)) * CHAIN
+    at = np.maximum(begin - MARGIN, 0)[:, None] + np.arange(CHAIN + 2 * MARGIN)[None, :]
+    n = tokens[text][:, None]
+    own = (at >= begin[:, None]) & (at < np.minimum(begin[:, None] + CHAIN, n))
+    inside = at < np.minimum(begin[:, None] + CHAIN + MARGIN, n)
+    return np.where(inside, at + (np.cumsum(tokens) - tokens)[text][:, None], -1), own
+
+
+def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int = 80, rate: float = 0.5, ridge: float = 0.05) -> Field:
+    """Train on (text, toxic) rows; ``marks``: the significant units, by default those of the rows."""
     texts = [t or "" for t, _ in rows]
     words = [_WORD.findall(t) for t in texts]
     toxic = np.array([y == 1 for _, y in rows], bool)
-    marks = significant_units([set(w) for w, y in zip(words, toxic) if y], [set(w) for w, y in zip(words, toxic) if not y])
+    if marks is None:
+        marks = significant_units([set(w) for w, y in zip(words, toxic) if y], [set(w) for w, y in zip(words, toxic) if not y])
     empty = Field({}, -60.0, np.zeros((2, 2)), 0.0)
     if not marks:
         return empty
     known: dict[str, int] = {}
     flat = np.array([known.setdefault(w.lower(), len(known)) for ws in words for w in ws], np.int64)
     of_word = [word_features(w) for w in known]
-    marked = np.array([any(f in marks for f in fs) for fs in of_word])
+    marked = np.array([any(f in marks for f in fs) for fs in of_word], bool)
     owner = np.repeat(toxic, [len(w) for w in words])
     gold = marked[flat] & owner
-    if not gold.any():
-        return empty
+    if not gold.any():  # all marked words are as toxic as can be
+        return Field({}, -4.0, np.zeros((2, 2)), 0.0, frozenset(marks), 8.0)
+    unseen = frozenset(marks.difference(*of_word))
     common = Counter(f for fs in of_word for f in fs).most_common(MOST_FEATURES)
     names = {f: k for k, f in enumerate(f for f, n in common if n > 1 or f in marks)}
     pad = len(names)
@@ -177,15 +237,19 @@ def fit(rows: list[tuple[str, int]], rounds: int = 80, rate: float = 0.5, ridge:
         theta += rate * gradient / np.sqrt(memory)
         theta[pad] = 0
     weights = {f: float(theta[k]) for f, k in names.items() if abs(theta[k]) > 1e-3}
-    return Field(weights, float(theta[pad + 1]), theta[pad + 2 : pad + 6].reshape(2, 2).copy(), float(theta[-1]))
+    return Field(weights, float(theta[pad + 1]), theta[pad + 2 : pad + 6].reshape(2, 2).copy(), float(theta[-1]), unseen, float(theta[slots].sum(1)[flat[gold]].mean()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~in_fold("doc_id", FOLDS, HELD_OUT))
+    labelled = docs.select(F.col("doc_id").alias("__id"), "text").join(known, F.col("__id") == F.col("doc_id"))
+    marks = corpus_units(labelled.select("text", "label"))
+    if not marks:
+        return fit([])
     chosen = hash_sample(known.where("label = 1"), MOST_TOXIC).union(hash_sample(known.where("label = 0"), MOST_CLEAN))
     rows = docs.select(F.col("doc_id").alias("__id"), "text").where(F.length("text") <= LONGEST)
     found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "label", "doc_id").collect()
-    return fit([(r.text, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.label, r.text))])
+    return fit([(r.text, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.label, r.text))], marks)
 
 
 def score_texts(texts: list[str], field: Field, memo: dict[str, float]) -> list[tuple[float, list[dict]]]:
@@ -197,8 +261,9 @@ def score_texts(texts: list[str], field: Field, memo: dict[str, float]) -> list[
     if having:
         flat = np.array([e for k in having for e in map(memo.__getitem__, words[k])])
         per_text = np.array([len(words[k]) for k in having])
-        laid, places = padded(flat, chain_lengths(per_text), -60.0)
-        odds = marginals(laid, field.step, field.start)[0].ravel()[places]
+        token, own = overlapped(per_text)
+        laid = np.where(token >= 0, flat.take(np.maximum(token, 0)), -60.0)
+        odds = marginals(laid, field.step, field.start)[0][own]  # in the order of the tokens
         firsts = np.cumsum(per_text) - per_text
         best = np.maximum.reduceat(odds, firsts)
         for k, first, n, top in zip(having, firsts, per_text, best):

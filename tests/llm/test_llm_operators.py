@@ -311,6 +311,40 @@ def test_toxicity(spark, empty, labels):
     assert toxicity.score_documents(empty, model).count() == 0
 
 
+def test_toxic_words_of_long_texts(spark):
+    """Units are counted over all labelled rows: words that only long toxic texts hold are marked."""
+    rows = toxic_rows()
+    filler = " ".join(["thing"] * 3000)
+    rows += [(f"{filler} grimword {filler}", 1) for _ in range(25)]
+    rows += [(filler, 0) for _ in range(60)] + [("thing grimword thing", 0)]
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in rows)), EMPTY)
+    assert min(len(t) for t, _ in rows[240:265]) > 12_000
+    known = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows[:-1])], "doc_id long, toxic int")
+    got = by_id(toxicity.score_documents(docs, toxicity.train(docs, known)))
+    last = got[len(rows) - 1]
+    assert [rows[-1][0][s.start : s.end] for s in last.spans] == ["grimword"] and last.predicted == 1
+
+
+def test_units_as_in_memory(spark):
+    rows = toxic_rows()
+    cut = [{w for w in re.findall(r"[^\W\d_]+", t)} for t, _ in rows]
+    want = toxicity.significant_units([w for w, (_, y) in zip(cut, rows) if y], [w for w, (_, y) in zip(cut, rows) if not y])
+    assert want and toxicity.corpus_units(spark.createDataFrame(rows, "text string, label int")) == want
+
+
+def test_messages_cross_chain_cuts():
+    """The odds of long texts are those of one chain."""
+    r = np.random.default_rng(2)
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    field = toxicity.Field({"=" + w: x for w, x in zip(words, r.normal(size=100))}, 0.0, np.array([[0.5, -0.5], [-0.5, 0.5]]), 0.3)
+    whole = toxicity.marginals(np.array([[field.emission(w) for w in words]]), field.step, field.start)[0][0]
+    (score, spans), (one, _) = toxicity.score_texts([" ".join(words), words[0]], field, {})
+    hot = {s["start"] for s in spans}
+    starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+    assert hot == {int(starts[k]) for k in np.flatnonzero(whole >= 0)}
+    assert score == pytest.approx(1 / (1 + np.exp(-whole.max())), abs=1e-4)
+
+
 def test_marginals_against_enumeration():
     r = np.random.default_rng(0)
     e, step, start = r.normal(size=4), r.normal(size=(2, 2)), 0.3
