@@ -30,3 +30,21 @@ def test_entry(spark):
 
     assert {"make", "n"} <= set(entry.entry(spark).columns)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_next_closure_of_every_page(spark, tmp_path):
+    """h11_next_closure_all against a walk: a chain of over 50 pages, a cycle, a dead end, a self-link."""
+    at = "https://d/inventory?page={}".format
+    after = {k: k + 1 for k in range(60)} | {100: 101, 101: 102, 102: 100, 200: 201, 300: 300}
+    ids = sorted({*after, *after.values()} - {201})
+    html = [f'<html><body><a rel="next" href="{at(after[k])}">2</a></body></html>' if k in after else "<p>last</p>" for k in ids]
+    spark.createDataFrame([(k, at(k), h) for k, h in zip(ids, html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = set()
+    for start in ids:
+        seen, now = [start], start
+        while now in after and after[now] not in seen and len(seen) <= 50:
+            now = after[now]
+            seen.append(now)
+            want.add((start, len(seen) - 1, at(now)))
+    got = [tuple(r) for r in QUERIES["h11_next_closure_all"](spark, str(tmp_path)).collect()]
+    assert max(level for _, level, _ in want) == 50 and len(got) == len(want) and set(got) == want
