@@ -53,14 +53,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint ``f`` (as a signed long) of every document."""
+    """doc_id, fingerprint ``f`` (as a signed long) and hash ``h`` of the text of every document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), batch.column(2)], ["doc_id", "f", "h"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, f long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(make, "doc_id long, f long, h long")
 
 
 def chain_keys(f: Column) -> Column:
@@ -124,19 +124,26 @@ def links(distinct: DataFrame) -> DataFrame:
     return groups.select("key", "fs").mapInArrow(compare, "a long, b long").distinct()
 
 
-def group_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of every document."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, f, h, the root of the component and component_id of every document."""
     marked = durable(fingerprints(docs), "fingerprints")
     classes = marked.groupBy("f").agg(F.min("doc_id").alias("first"))
     roots = components(links(classes.select("f")))
     named = classes.join(roots, F.col("f") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    of_class = named.join(least, F.col("root") == F.col("r")).select(F.col("f").alias("c"), "component_id")
-    return marked.join(of_class, F.col("f") == F.col("c"), "left").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    of_class = named.join(least, F.col("root") == F.col("r")).select(F.col("f").alias("c"), "root", "component_id")
+    return marked.join(of_class, F.col("f") == F.col("c"), "left")
+
+
+def group_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every document."""
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, once each; rows without an id stay."""
-    chosen = group_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` of each component: the smallest (doc_id, hash of the text); rows without an id stay."""
+    least = _grouped(docs).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    chosen = least.select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__of")).distinct()
+    marked = docs.withColumn("__h", F.xxhash64("text"))
+    kept = marked.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__of")), "left_semi").dropDuplicates(["doc_id", "__h"])
+    return kept.drop("__h").unionByName(docs.where("doc_id is null"))

@@ -539,6 +539,14 @@ def test_order_minhash_of_two_words(spark):
 # The pipeline.
 
 
+def test_keep_one_tells_equal_ids_apart(spark):
+    """Different texts with one id are in different components: both stay, and copies go."""
+    one, two = text_of("en", random.Random(1)), text_of("de", random.Random(2))
+    df = spark.createDataFrame([(5, one), (5, two), (5, two), (6, one), (7, two), (None, one)], EMPTY).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert got == Counter([(5, one), (5, two), (None, one)])
+
+
 def test_pipeline(spark, tmp_path, docs, labels):
     import corpus_pipeline
 
