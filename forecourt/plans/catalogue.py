@@ -299,6 +299,8 @@ _VINS = f"upper({_first(patterns.VIN)})"
 for _name, _make, _sql in (
     ("x17_ev_words", lambda: {"ev": N.names_electric(F.col("body"))}, f"regexp_matches(body, '{patterns.ELECTRIC}') AS ev"),
     ("x18_digits_price", lambda: {"price": N.digits_to_price(F.substring("body", 1, 30))}, "coalesce(TRY_CAST(regexp_replace(substr(body, 1, 30), '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
+    ("x18_digits_price_whole", lambda: {"price": N.digits_to_price(F.col("body"))}, "coalesce(TRY_CAST(regexp_replace(body, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
+    ("x18_digits_price_match", lambda: {"price": N.digits_to_price(text.first_group("body", patterns.PRICE))}, f"coalesce(TRY_CAST(regexp_replace({_first(patterns.PRICE)}, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
     ("x19_year", lambda: {"year": X.year_of(F.col("body"), YEAR)}, f"coalesce(CAST(nullif(regexp_extract(body, '{patterns.YEAR}', 1), '') AS INT), {YEAR}) AS year"),
     ("x23_vin_cascade", lambda: {"vin": X.vin(F.col("body"))}, f"{_VINS} AS vin"),
     ("x25_mileage", lambda: {"mileage": X.mileage(F.col("body"))["value"]}, f"CAST(replace({_first(patterns.MILEAGE)}, ',', '') AS INT) AS mileage"),

@@ -48,3 +48,11 @@ def test_next_closure_of_every_page(spark, tmp_path):
             want.add((start, len(seen) - 1, at(now)))
     got = [tuple(r) for r in QUERIES["h11_next_closure_all"](spark, str(tmp_path)).collect()]
     assert max(level for _, level, _ in want) == 50 and len(got) == len(want) and set(got) == want
+
+
+def test_digits_price_of_whole_texts(spark, data):
+    """Whole price texts have prices; the whole body has other digits than its first 30 characters."""
+    prices = [r.price for r in QUERIES["x18_digits_price_match"](spark, data).collect()]
+    assert max(prices) > 1000
+    whole, cut = ([r.price for r in QUERIES[f"x18_digits_price{n}"](spark, data).collect()] for n in ("_whole", ""))
+    assert len(whole) == len(cut) and sorted(whole) != sorted(cut)
