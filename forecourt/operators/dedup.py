@@ -1,7 +1,8 @@
-"""Duplicate listings (D1-D5) as window passes, and unions.
+"""Duplicate listings (D1-D5) as partial aggregates per key, and unions.
 
 The order of the input is given by ``order``: columns that together say which row came
-first. Nothing is ordered globally; rows are ordered within one key's group only.
+first; of rows equal in all of them one stays. Nothing is ordered: every decision is a
+minimum over one key's rows, and whole rows are joined with the decisions once.
 """
 
 from __future__ import annotations
@@ -24,31 +25,56 @@ def url_key(url: str | Column = "vehicle_url") -> Column:
     return F.lower(strip(url))
 
 
-#: Into how many groups rows without a key are spread in a window that does not concern them.
-SPREAD = 4096
+def _order(order: Sequence[str]) -> Column:
+    """One comparable value per row; equal ones are the same place in the input."""
+    return F.struct(*[F.col(c) for c in order])
 
 
-def _spread(key: str, order: Sequence[str]) -> Column:
-    """Null for rows with a key; for others a group number, so they never form one group."""
-    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
+def _lateness(rows: DataFrame, prefer_latest: bool) -> Column:
+    """Sorts the newest time first and absent times last; all alike if time does not matter."""
+    if not prefer_latest:
+        return F.lit(0)
+    return F.struct(F.col("t").isNull(), F.lit("2000-01-01 00:00:00").cast(rows.schema["t"].dataType) - F.col("t"))
 
 
-def _staged(listings: DataFrame, order: Sequence[str], prefer_latest: bool) -> DataFrame:
-    """All rows with __rep (first of its VIN, or without one), __vin_wins, __first and __url_wins.
+def _chosen(rows: DataFrame, key: str, prefer_latest: bool, *more: str) -> DataFrame:
+    """Per key: ``r``, its first row (o, t, more), ``w``, the row that wins over it, and ``n``, its rows.
 
-    Two exchanges, one per key; within an address representatives stand before the others,
-    which have no say there.
+    Minima of structs, so they are combined before the exchange and a key that holds a third
+    of the rows costs one row per task. The newest row wins unless the first has no time.
     """
-    rows = listings.withColumn("__vk", vin_key()).withColumn("__uk", url_key()).withColumn("__spread", _spread("__vk", order))
-    newest = lambda time: [F.col(time).desc_nulls_last()] if prefer_latest else []
-    by_vin = Window.partitionBy("__vk", "__spread")
-    alone = F.col("__vk").isNull()
-    rows = rows.withColumn("__time", F.when(F.first("scraped_at").over(by_vin.orderBy(*order)).isNotNull(), F.col("scraped_at")))
-    rows = rows.withColumn("__rep", alone | (F.row_number().over(by_vin.orderBy(*order)) == 1)).withColumn("__vin_wins", alone | (F.row_number().over(by_vin.orderBy(*newest("__time"), *order)) == 1))
-    by_url, leading = Window.partitionBy("__uk"), F.col("__rep").desc()
-    rows = rows.withColumn("__time", F.when(F.col("__rep") & F.first(F.when(F.col("__rep"), F.col("scraped_at"))).over(by_url.orderBy(leading, *order)).isNotNull(), F.col("scraped_at")))
-    rows = rows.withColumn("__first", F.col("__rep") & (F.row_number().over(by_url.orderBy(leading, *order)) == 1))
-    return rows.withColumn("__url_wins", F.col("__rep") & (F.row_number().over(by_url.orderBy(leading, *newest("__time"), *order)) == 1))
+    found = rows.groupBy(key).agg(
+        F.min(F.struct("o", "t", *more)).alias("r"),
+        F.min(F.struct(_lateness(rows, prefer_latest).alias("late"), "o", "t", *more)).alias("late"),
+        F.count("*").alias("n"),
+    )
+    w = F.when(F.col("r.t").isNull(), F.col("r")).otherwise(F.struct("late.o", "late.t", *[f"late.{m}" for m in more]))
+    return found.select(key, "r", w.alias("w"), "n")
+
+
+def _stages(listings: DataFrame, order: Sequence[str], prefer_latest: bool) -> tuple[DataFrame, DataFrame]:
+    """Representatives (o, t, uk, w: place of its VIN's winner, n: rows of its VIN), and the choice per address.
+
+    Only keys, places and times are read; rows without a VIN stand for themselves and go
+    through no exchange for it.
+    """
+    narrow = listings.select(vin_key().alias("vk"), url_key().alias("uk"), _order(order).alias("o"), F.col("scraped_at").alias("t"))
+    by_vin = _chosen(narrow.where("vk is not null"), "vk", prefer_latest, "uk").select("r.o", "r.t", "r.uk", F.col("w.o").alias("w"), "n")
+    alone = narrow.where("vk is null").select("o", "t", "uk", F.col("o").alias("w"), F.lit(1).cast("long").alias("n"))
+    representatives = by_vin.union(alone)
+    return representatives, _chosen(representatives, "uk", prefer_latest, "w")
+
+
+def _survivors(representatives: DataFrame, by_url: DataFrame) -> DataFrame:
+    """(o): addresses' choices that are their VIN's choice too, and VINs' choices that did not come first."""
+    return by_url.where(F.col("w.o") == F.col("w.w")).select("w.o").union(representatives.where("o != w").select(F.col("w").alias("o")))
+
+
+def _at(rows: DataFrame, order: Sequence[str], places: DataFrame) -> DataFrame:
+    """The rows at the given places (o), one of each: the only exchange of whole rows, by a key of its own for each."""
+    placed = rows.withColumn("__o", _order(order)).join(places.withColumnRenamed("o", "__p"), F.col("__o") == F.col("__p"), "left_semi")
+    one = F.row_number().over(Window.partitionBy("__o").orderBy("__o"))
+    return placed.withColumn("__one", one).where("__one = 1").select(*rows.columns)
 
 
 def deduplicate(listings: DataFrame, order: Sequence[str], prefer_latest: bool = True) -> DataFrame:
@@ -58,26 +84,22 @@ def deduplicate(listings: DataFrame, order: Sequence[str], prefer_latest: bool =
     address: what survives is each address's choice that is its VIN's choice too, and each
     VIN's choice that did not come first.
     """
-    staged = _staged(listings, order, prefer_latest)
-    return staged.where(F.col("__vin_wins") & (F.col("__url_wins") | ~F.col("__rep"))).select(*listings.columns)
+    return _at(listings, order, _survivors(*_stages(listings, order, prefer_latest)))
 
 
 def dedup_stats(listings: DataFrame, order: Sequence[str], prefer_latest: bool = True) -> DataFrame:
     """A10: one row: total, duplicates_by_vin, duplicates_by_url, final."""
-    s = _staged(listings, order, prefer_latest)
-    count = lambda what: F.count_if(F.coalesce(what, F.lit(False)))
-    return s.agg(
-        F.count("*").alias("total"),
-        count(~F.col("__rep")).alias("duplicates_by_vin"),
-        count(F.col("__rep") & ~F.col("__first")).alias("duplicates_by_url"),
-        count(F.col("__vin_wins") & (F.col("__url_wins") | ~F.col("__rep"))).alias("final"),
-    )
+    representatives, by_url = _stages(listings, order, prefer_latest)
+    count = lambda what: F.coalesce(F.sum(what), F.lit(0)).cast("long")
+    of_vins = representatives.agg(count(F.col("n")).alias("total"), count(F.col("n") - 1).alias("duplicates_by_vin"), F.count_if(F.col("o") != F.col("w")).alias("later"))
+    of_urls = by_url.agg(count(F.col("n") - 1).alias("duplicates_by_url"), F.count_if(F.col("w.o") == F.col("w.w")).alias("chosen"))
+    return of_vins.crossJoin(of_urls).select("total", "duplicates_by_vin", "duplicates_by_url", (F.col("later") + F.col("chosen")).alias("final"))  # one row each
 
 
 def _keep_first(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    keyed = rows.withColumn("__key", key).withColumn("__spread", _spread("__key", order))
-    first = F.row_number().over(Window.partitionBy("__key", "__spread").orderBy(*order)) == 1
-    return keyed.withColumn("__kept", F.col("__key").isNull() | first).where("__kept").select(*rows.columns)
+    keyed = rows.withColumn("__key", key)
+    firsts = keyed.where("__key is not null").groupBy("__key").agg(F.min(_order(order)).alias("o")).select("o")
+    return _at(keyed.where("__key is not null").select(*rows.columns), order, firsts).union(keyed.where("__key is null").select(*rows.columns))
 
 
 def deduplicate_by_vin(listings: DataFrame, order: Sequence[str]) -> DataFrame:

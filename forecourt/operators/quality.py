@@ -116,10 +116,14 @@ def warnings(strict: bool = False) -> Column:
 
 
 def validate(listings: DataFrame, *, as_of_year: int, strict: bool = False) -> DataFrame:
-    """V1: add is_valid (no error) and issues (errors, then warnings with a prefix)."""
-    found = with_price_range(listings).withColumn("__errors", errors(as_of_year, strict))
-    issues = F.concat("__errors", F.transform(warnings(strict), lambda w: F.concat(F.lit("WARNING: "), w)))
-    return found.withColumn("is_valid", F.size("__errors") == 0).withColumn("issues", issues).select(*listings.columns, "is_valid", "issues")
+    """V1: add is_valid (no error) and issues (errors, then warnings with a prefix).
+
+    The verdicts leave a generator of one row: above it they are plain columns, computed once
+    per row, which the optimizer neither copies into filters nor infers constraints from.
+    """
+    found = F.struct(errors(as_of_year, strict).alias("__errors"), F.transform(warnings(strict), lambda w: F.concat(F.lit("WARNING: "), w)).alias("__warnings"))
+    made = with_price_range(listings).select(*listings.columns, F.inline_outer(F.array(found)))
+    return made.select(*listings.columns, (F.size("__errors") == 0).alias("is_valid"), F.concat("__errors", "__warnings").alias("issues"))
 
 
 def valid_only(listings: DataFrame, *, as_of_year: int, strict: bool = False) -> DataFrame:
@@ -142,7 +146,8 @@ def issue_kind(issue: Column) -> Column:
 
 def issue_histogram(validated: DataFrame) -> DataFrame:
     """A2: messages of invalid rows by kind."""
-    return validated.where(~F.col("is_valid")).select(F.explode("issues").alias("issue")).select(issue_kind(F.col("issue")).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    found = validated.select(F.explode_outer(F.when(~F.col("is_valid"), F.col("issues"))).alias("issue")).where("issue is not null")
+    return found.select(issue_kind(F.col("issue")).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 def top_issues(validated: DataFrame, n: int = 10) -> DataFrame:
