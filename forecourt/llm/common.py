@@ -34,13 +34,15 @@ def in_fold(doc_id: str | Column, folds: int, which: int) -> Column:
 
 
 def _root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh one only where none is set."""
+    """The folder that driver and executors share; a fresh one only under a local master where none is set."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="checkpoints-")
     atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.setCheckpointDir(f"file://{folder}")
