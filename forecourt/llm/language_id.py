@@ -9,8 +9,9 @@ language with the highest cosine wins; the score is the softmax share of that co
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null
 doc_id is in no fold and trains nothing; documents without a language train nothing and
 are predicted; ties go to the first language in alphabetical order; without training
-documents everything is ``und``; an empty table gives no rows; a prediction reads only
-the text. The prototypes are one vector per language: their number is bounded by the
+documents everything is ``und``; repeated rows train as often as they occur and are
+predicted alike; a very long text is summed in blocks of its distinct trigrams, whatever
+their number; an empty table gives no rows; a prediction reads only the text. The prototypes are one vector per language: their number is bounded by the
 distinct values of ``lang`` and checked (MOST_LANGUAGES).
 """
 
@@ -29,6 +30,8 @@ from .packing import _groups
 
 FOLDS, HELD_OUT = 4, 2
 WIDTH, LETTERS, SHARPNESS, MOST_LANGUAGES = 512, 96, 30.0, 5000
+#: Trigrams whose vectors a worker keeps (at most 128 MB), and those bound at a time.
+MOST_KEPT, BLOCK = 65_536, 8192
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -45,15 +48,34 @@ def letter_table() -> np.ndarray:
 
 
 class Trigrams:
-    """Vectors of trigrams, made when first seen."""
+    """Vectors of trigrams: the first ``most`` seen are kept, others are bound anew when needed."""
 
-    def __init__(self, width: int = WIDTH, seed: int = 7):
+    def __init__(self, width: int = WIDTH, seed: int = 7, most: int = MOST_KEPT):
+        self.most = most
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (LETTERS, width))
         self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
         self.place = np.full(LETTERS**3, -1, np.int32)
         self.rows = np.empty((1024, width), np.float32)
         self.known = 0
 
+    def bound(self, codes: np.ndarray) -> np.ndarray:
+        return self.first[codes // LETTERS**2] * self.second[codes // LETTERS % LETTERS] * self.third[codes % LETTERS]
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        at = self.place[codes]
+        kept = codes[at < 0][: self.most - self.known]
+        if len(kept):
+            while self.known + len(kept) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.place[kept] = np.arange(self.known, self.known + len(kept))
+            self.rows[self.known : self.known + len(kept)] = self.bound(kept)
+            self.known += len(kept)
+            at = self.place[codes]
+        out = self.rows[at]
+        if (missing := at < 0).any():
+            out[missing] = self.bound(codes[missing])
+        return out
+
     def profile(self, text: str) -> np.ndarray | None:
         """The normalised vector of a text; None without a letter."""
         a = letter_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
@@ -62,16 +84,10 @@ class Trigrams:
         a = np.concatenate([[0], a, [0]]).astype(np.int64)
         codes = (a[:-2] * LETTERS + a[1:-1]) * LETTERS + a[2:]
         codes, counts = np.unique(codes[a[1:-1] > 0], return_counts=True)
-        at = self.place[codes]
-        new = codes[at < 0]
-        if len(new):
-            while self.known + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.place[new] = np.arange(self.known, self.known + len(new))
-            self.rows[self.known : self.known + len(new)] = self.first[new // LETTERS**2] * self.second[new // LETTERS % LETTERS] * self.third[new % LETTERS]
-            self.known += len(new)
-            at = self.place[codes]
-        vector = counts.astype(np.float32) @ self.rows[at]
+        counts = counts.astype(np.float32)
+        vector = counts[:BLOCK] @ self.vectors(codes[:BLOCK])
+        for k in range(BLOCK, len(codes), BLOCK):
+            vector = vector + counts[k : k + BLOCK] @ self.vectors(codes[k : k + BLOCK])
         size = float(np.sqrt(vector @ vector))
         return vector / size if size else vector
 
