@@ -5,16 +5,22 @@ sequence into full pieces (the first takes the remainder) and packs the pieces b
 bounded-space online best-fit: a fixed number of bins is open; a bitset keyed by free
 space finds the tightest bin that holds a piece with two integer operations, and if
 none does while all bins are open, the fullest closes. Every partition packs for
-itself in one pass and in constant memory, so nothing is shuffled.
+itself in one pass and in constant memory, so nothing is shuffled; the pieces of one
+group of texts (GROUP_CHARS) are placed longest first.
+
+Ids are those of the tokenizers library called with add_special_tokens=False: an added
+token of the vocabulary (such as the end-of-text mark) that stands in a text is one id.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is kept;
-repeated rows are packed as often as they occur; an empty table gives no rows; columns
-other than the id and the text are not read.
+repeated rows are packed as often as they occur; a very long text becomes pieces of a
+whole sequence each; an empty table gives no rows; columns other than the id and the text
+are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -77,6 +83,26 @@ def memo(vocabulary: str, most: int = 300_000) -> Memo:
     return Memo(encode_all, most)
 
 
+@lru_cache(maxsize=2)
+def added_tokens(vocabulary: str) -> dict[str, bytes]:
+    """The texts of a vocabulary's added tokens that are matched inside other text, with their ids."""
+    with open(vocabulary, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens", [])
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in found):
+        raise ValueError("added tokens that strip, need word bounds or are normalised are not supported")
+    return {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in found}
+
+
+def encoded(texts: list[str], vocabulary: str) -> list[list[bytes]]:
+    """The ids of each text, as pieces of little-endian bytes; texts are cut at added tokens first."""
+    added = added_tokens(vocabulary)
+    if not any(a in t for t in texts for a in added):
+        return memo(vocabulary).encode(texts)
+    cut = [re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", t) for t in texts]
+    plain = iter(memo(vocabulary).encode([x for parts in cut for x in parts[::2]]))
+    return [[y for k, x in enumerate(parts) for y in ([added[x]] if k % 2 else next(plain))] for parts in cut]
+
+
 class BestFit:
     """Open bins by free space; ``place`` returns (sequence, offset)."""
 
@@ -129,26 +155,27 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = memo(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, stop in _groups(texts):
-                rows: list[tuple] = []
-                for doc_id, parts in zip(doc_ids[begin:stop], coder.encode(texts[begin:stop])):
+                found: list[list] = []
+                for doc_id, parts in zip(doc_ids[begin:stop], encoded(texts[begin:stop], vocabulary)):
                     ids = b"".join(parts) + end
                     total = len(ids) // 4
                     start = piece = 0
                     length = (total - 1) % capacity + 1
                     while start < total:
                         mine = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, piece, start, length, zlib.crc32(mine), *bins.place(length), *([np.frombuffer(mine, "<u4").astype("i8").tolist()] if with_ids else [])))
+                        found.append([doc_id, piece, start, length, zlib.crc32(mine), 0, 0, *([np.frombuffer(mine, "<u4").astype("i8").tolist()] if with_ids else [])])
                         start, piece, length = start + length, piece + 1, capacity
-                if rows:
+                for row in sorted(found, key=lambda r: -r[3]):
+                    row[5:7] = bins.place(row[3])
+                if found:
                     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
                     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *([pa.list_(pa.int64())] if with_ids else [])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, SCHEMA + (", ids array<long>" if with_ids else ""))
