@@ -4,14 +4,17 @@ Each rule rejects a document whose statistic exceeds a cutoff. Cutoffs are selec
 stratum (band of text length) on labelled holdouts: going from lax to strict, a cutoff is
 certified while the exact binomial probability of seeing so few false rejections, were
 the true rate RISK / number of rules, stays below the rule's share of LEVEL. Testing in
-this fixed order controls the error over all cutoffs, Bonferroni over rules and strata.
+this fixed order controls the error over all cutoffs, Bonferroni over rules and strata:
+with probability 1 - LEVEL no stratum loses more than RISK of its good documents.
 Among the certified cutoffs the one with the best balance of bad to good rejections is
 used, the laxest among equals; a rule without a certified or useful cutoff rejects nothing.
 
 Defined cases: a null or empty text has no words and fails the base rule; null ids match
 no label; several labels of a document count as often as they occur, null labels do not;
-repeated rows give repeated results; an empty table gives no rows; only the id and the
-text are read, so further columns may have any name.
+repeated rows give repeated results; a value equal to a cutoff is not rejected; very long
+texts are measured whole; without enough labels (RISK and LEVEL need about 500 good ones in
+a stratum) nothing is certified and only the base rule rejects; an empty table gives no
+rows; only the id and the text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from .common import SPACE_CLASS, durable, in_fold
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 RISK, LEVEL, GOOD_COST = 0.05, 0.1, 20
 FOLDS, HELD_OUT = 5, 0
-#: First words of the strata.
-STRATA = (50, 150, 600)
+#: First words of the strata; shorter texts fail the base rule.
+STRATA = (LEAST_WORDS, 150, 600)
 #: Cutoffs from lax to strict: a geometric grid.
 GRID = tuple(round(4.0 * 0.8**k, 4) for k in range(24))
 RULES = ("symbols", "capitals", "exclamations", "repeats", "lines")
@@ -113,7 +116,7 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
 def select_cutoffs(counts: dict[tuple[int, str], dict[int, list[int]]]) -> dict[tuple[int, str], float]:
     """counts: (stratum, rule) -> index of the laxest exceeded cutoff -> [good, bad] (len(GRID): none)."""
     chosen: dict[tuple[int, str], float] = {}
-    level, risk = LEVEL / (len(RULES) * (len(STRATA) + 1)), RISK / len(RULES)
+    level, risk = LEVEL / (len(RULES) * len(STRATA)), RISK / len(RULES)
     for key, cells in counts.items():
         n = sum(good for good, _ in cells.values())
         false = true = 0
@@ -128,12 +131,16 @@ def select_cutoffs(counts: dict[tuple[int, str], dict[int, list[int]]]) -> dict[
     return chosen
 
 
+def not_exceeded(value: Column) -> Column:
+    """How many cutoffs of GRID, from the laxest on, a value does not exceed."""
+    return F.size(F.filter(F.array(*map(F.lit, GRID)), lambda cutoff: cutoff >= value))
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame) -> dict[tuple[int, str], float]:
     """Selected on labelled rows outside the held-out fold that pass the base rule."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
     rows = stats.where(~in_fold("doc_id", FOLDS, HELD_OUT) & ~base_failed()).join(known, F.col("doc_id") == F.col("__id"))
-    grid = F.array(*map(F.lit, GRID))
-    values = F.array(*[F.struct(F.lit(name).alias("rule"), F.size(F.filter(grid, lambda c, v=value: c >= v)).alias("cell")) for name, value in rule_values().items()])
+    values = F.array(*[F.struct(F.lit(name).alias("rule"), not_exceeded(value).alias("cell")) for name, value in rule_values().items()])
     cells = rows.select(stratum().alias("s"), "label", F.explode(values).alias("v")).groupBy("s", "v.rule", "v.cell", "label").count()
     counts: dict[tuple[int, str], dict[int, list[int]]] = {}
     for row in cells.collect():  # at most strata x rules x cutoffs x 2
@@ -160,8 +167,13 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    rid = F.xxhash64("doc_id", "text")  # rows equal in both are judged alike
-    stats = durable(with_statistics(docs.select("doc_id", rid.alias("__rid"), "text")), "rules")
-    kept = judged(stats, cutoffs(stats, labels)).where("kept").select("__rid").distinct()
-    return docs.join(kept, rid == F.col("__rid"), "left_semi")
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Two passes over the texts, the first for the cutoffs; no text is shuffled or stored.
+    """
+    limits = cutoffs(durable(with_statistics(docs.select("doc_id", "text")), "rules"), labels)
+    names = [f"__{k}" for k in range(len(docs.columns))]  # clear of the statistics' names
+    measured = with_statistics(docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")])))
+    # Above a generator the verdict is a plain column, which the filter cannot take apart.
+    verdicts = judged(measured, limits).select(*names, F.explode_outer(F.array("kept")).alias("verdict"))
+    return verdicts.where("verdict").select(*names).toDF(*docs.columns)
