@@ -6,13 +6,17 @@ differences within the proportional share of the distance: 0, 0, 1, 1, 1, 2, 2,
 segments in a row agree and of the next three at most one differs. Each fingerprint is
 therefore listed under 24 keys of 32 bits (8 chain starts, 3 choices of the segment that
 may differ); within a key, pairs must pass the chain's budgets up to the full check.
-Links inside one bucket are reduced to a spanning forest before they leave the task, and
-buckets over BLOCK fingerprints are worked off in pairs of blocks by several tasks, so no
-group is ever in one task or emitted as pairs. Distinct fingerprints only are compared.
+Buckets of over BLOCK fingerprints get a second key: of the four segments that the first
+leaves open at least one agrees as well, since at most three bits differ, so such buckets are
+listed again under each of these with its value. What is still over BLOCK then is worked off
+in pairs of blocks by several tasks. Links inside one bucket are reduced to a spanning forest
+before they leave the task, so no group is ever in one task or emitted as pairs. Distinct
+fingerprints only are compared.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links
 like any other; fewer than three words are one shingle; a null doc_id takes part but never
-names a component; repeated rows give repeated results; an empty table gives no rows; only
+names a component; repeated rows give repeated results; very long texts are hashed STEP
+shingles at a time; exactly DISTANCE differing bits link; an empty table gives no rows; only
 the id and the text are read.
 """
 
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -77,6 +81,15 @@ def chain_keys(f: Column) -> Column:
     return F.array(*keys)
 
 
+def second_keys(f: Column, key: Column) -> Column:
+    """array<long>: a first key with each segment that it leaves open, and that segment's value."""
+    which = F.shiftrightunsigned(key, 32).cast("int")
+    start, free = F.floor(which / 3).cast("int"), F.pmod(which, F.lit(3)) + 2
+    at = lambda k: F.pmod(start + k, F.lit(SEGMENTS)) * 8
+    value = lambda k: F.call_function("shiftrightunsigned", f, at(k)).bitwiseAND(255)
+    return F.array(*[F.xxhash64(key, F.lit(n), value(k)) for n, k in enumerate((free, F.lit(5), F.lit(6), F.lit(7)))])
+
+
 def linked(values: np.ndarray, start: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of distinct fingerprints that pass the chain from ``start``."""
     n = len(values)
@@ -101,14 +114,21 @@ def linked(values: np.ndarray, start: int) -> list[tuple[int, int]]:
     return [(int(values[k]), int(values[r])) for k, r in enumerate(root) if k != r]
 
 
+def _counted(listed: DataFrame) -> DataFrame:
+    """(f, key, bucket) with the size n of its bucket, for buckets of two or more."""
+    counts = listed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "k")
+    return listed.join(counts, F.col("bucket") == F.col("k")).select("f", "key", "bucket", "n")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """distinct (f) -> (a, b): enough links to connect all fingerprints within DISTANCE bits."""
     keyed = distinct.select("f", F.explode(chain_keys(F.col("f"))).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    full = keyed.join(counts, F.col("key") == F.col("k")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    first = durable(_counted(keyed.withColumn("bucket", F.col("key"))), "buckets")
+    again = _counted(first.where(F.col("n") > BLOCK).select("f", "key", F.explode(second_keys(F.col("f"), F.col("key"))).alias("bucket")))
+    full = first.where(F.col("n") <= BLOCK).unionByName(again).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y")))
-    groups = full.select("f", "key", F.explode(cells).alias("cell")).groupBy("key", "cell").agg(F.collect_list("f").alias("fs"))
+    groups = full.select("f", "key", "bucket", F.explode(cells).alias("cell")).groupBy("key", "bucket", "cell").agg(F.collect_list("f").alias("fs"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +161,14 @@ def group_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` of each component: the smallest (doc_id, hash of the text); rows without an id stay."""
-    least = _grouped(docs).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("least"))
-    chosen = least.select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__of")).distinct()
-    marked = docs.withColumn("__h", F.xxhash64("text"))
-    kept = marked.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__of")), "left_semi").dropDuplicates(["doc_id", "__h"])
-    return kept.drop("__h").unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` of each component: the smallest (doc_id, hash of the text), null ids last.
+
+    So rows without an id are copies like any other, and of rows equal in both one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    chosen = _grouped(docs).groupBy("root").agg(F.min(order).alias("o")).select(*[F.col(f"o.{c}").alias(f"__c_{c}") for c in ("none", "id", "h")])
+    mine = {"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "h": F.xxhash64("text")}
+    marked = docs.withColumns({f"__m_{c}": x for c, x in mine.items()})
+    kept = marked.join(chosen, [F.col(f"__m_{c}") == F.col(f"__c_{c}") for c in mine], "left_semi")
+    by = [f"__m_{c}" for c in mine]  # the join's keys, so no further exchange
+    return kept.withColumn("__one", F.row_number().over(Window.partitionBy(*by).orderBy(*by))).where("__one = 1").select(*docs.columns)
