@@ -18,8 +18,12 @@ Neighbouring windows with one anchor are a segment; segments are found in one pa
    anchor which agree to the left.
 
 Anchors with more than HOT different segments are not merged in one task: the windows of
-those are counted by a 128-bit hash in a partial aggregation, which is exact up to hash
-collisions as are the 64-bit hashes elsewhere.
+those are counted by a 128-bit hash in a partial aggregation. Whole segments are equal by
+two independent 64-bit hashes (of the anchor's gram, of all bytes) and their shape, so
+equality is decided by 128 bits in both ways.
+
+Frequent keys never meet in one task: in every join with counts, keys that hold more than
+one in FREQUENT rows, which are fewer than FREQUENT, are broadcast; the others are shuffled.
 
 Defined cases: a null text is empty; texts under LEAST bytes keep everything; repeated
 rows are copies of each other and lose every window; a null doc_id is kept; very long
@@ -37,10 +41,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import durable, partitions
 
 LEAST, K, HOT, STRETCH = 200, 50, 4000, 1 << 18
+FREQUENT = 1000
+#: Low bits of an anchor's sort key that hold its place, the same for texts of every length.
+PLACE_BITS = (STRETCH + LEAST).bit_length()
+#: Segments that one merging task takes, on average.
+MERGED = 50_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SPAN = LEAST - K + 1  # K-grams in a window
@@ -88,16 +98,16 @@ def segments(data: bytes) -> tuple[np.ndarray, ...]:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(letters[own] * power[:n], out=sums[1:])
         grams = _mixed((sums[K:] - sums[:-K]) * inverse[: n - K + 1])
-        bits = np.uint64(n.bit_length())
-        low = (np.uint64(1) << bits) - np.uint64(1)
+        low = np.uint64((1 << PLACE_BITS) - 1)
         places = np.arange(len(grams), dtype=np.uint64)
         anchors = (_sliding_minimum((grams & ~low) | places, _SPAN) & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
         last = np.concatenate([first[1:], [len(anchors)]]) - 1
         at = anchors[first]
-        content = (sums[last + LEAST] - sums[first]) * inverse[first]
-        content = _mixed(content ^ _mixed(((last - first) * LEAST + at - first).astype(np.uint64)))
-        parts.append((grams[at], content, first + begin, last - first + LEAST, at - first))
+        length = last - first + LEAST
+        whole = memoryview(data)
+        content = np.array([xxh3_64_intdigest(whole[a:b]) for a, b in zip((first + begin).tolist(), (first + begin + length).tolist())], np.uint64)
+        parts.append((grams[at], _mixed(content ^ _mixed((length * LEAST + at - first).astype(np.uint64))), first + begin, length, at - first))
     if not parts:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -241,8 +251,7 @@ def repeated_windows(shared: np.ndarray, before: list[bytes], windows: np.ndarra
 
 def compared(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(rid, start, stop) of repeated bytes in segments that share an anchor but differ."""
-    spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    parts = max(4 * partitions(docs.sparkSession), wanted.count() // MERGED)
     by_row = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "at", "shape")).alias("items")).withColumnRenamed("rid", "r")
     cut = _rows(docs).join(by_row, F.col("rid") == F.col("r")).select("rid", "data", "items")
     run_schema = "part int, rids array<long>, ats array<long>, windows array<int>, before array<binary>, shared array<int>, rests array<binary>"
@@ -313,23 +322,36 @@ def counted(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(own, pa.int64()), *map(pa.array, signed)], ["rid", "start", "x", "y"])
 
     found = durable(rows.mapInArrow(windows, "rid long, start long, x long, y long"), "windows")
-    repeated = found.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select(F.col("x").alias("rx"), F.col("y").alias("ry"))
-    return found.join(repeated, (F.col("x") == F.col("rx")) & (F.col("y") == F.col("ry"))).select("rid", "start", (F.col("start") + LEAST).alias("stop"))
+    repeated = durable(found.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    return with_count(found, repeated, "x", "y").select("rid", "start", (F.col("start") + LEAST).alias("stop"))
+
+
+def with_count(rows: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys are in ``counts`` (keys, n), with n; frequent keys are joined without a shuffle.
+
+    A key with n * FREQUENT above the sum of all n is broadcast: fewer than FREQUENT can be.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    named = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "n")
+    on = [F.col(k) == F.col(f"__{k}") for k in keys]
+    frequent = F.broadcast(named.where(F.col("n") * FREQUENT > total))
+    rest = rows.join(frequent, on, "left_anti").join(named.where(F.col("n") * FREQUENT <= total), on)
+    return rows.join(frequent, on).unionByName(rest).select(*rows.columns, "n")
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(rid, spans): byte ranges (start, stop) that cover what repeats, in any order."""
     found = durable(anchored(docs), "segments")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("th"))
-    shared = durable(found.join(twice, F.col("h") == F.col("th"), "left_semi"), "shared")
+    twice = durable(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    shared = durable(with_count(found, twice, "h").drop("n"), "shared")
     kinds = durable(shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "shape")).alias("one")), "kinds")
-    copies = kinds.where("n > 1").select(F.col("h").alias("ch"), F.col("c").alias("cc"))
-    whole = shared.join(copies, (F.col("h") == F.col("ch")) & (F.col("c") == F.col("cc")), "left_semi")
+    whole = with_count(shared, kinds.where("n > 1").select("h", "c", "n"), "h", "c")
     whole = whole.select("rid", F.col("at").alias("start"), (F.col("at") + F.shiftright("shape", 8) + LEAST).alias("stop"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("h").alias("mh"), "m")
-    wanted = durable(kinds.join(several, F.col("h") == F.col("mh")).select("h", "m", "one.*"), "wanted")
+    several = durable(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    wanted = durable(with_count(kinds.select("h", "one"), several, "h").select("h", F.col("n").alias("m"), "one.*"), "wanted")
     spans = whole.union(compared(wanted.where(F.col("m") <= hot), docs)).union(counted(wanted.where(F.col("m") > hot), docs))
-    return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # Rows equal in id and text have one rid: their equal spans are told once.
+    return spans.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def strip(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, int, int]:
