@@ -13,8 +13,9 @@ the whole hashes, found by place, so they do not depend on the text's length.
 Defined cases: a null text is empty; a text of fewer than K words has one k-mer, all its
 words; without words the text itself is the k-mer; the next of the last document is the
 first, of a single document itself; equal ids follow each other in order of their texts;
-null ids come first; repeated rows give repeated rows; an empty table gives no rows; only
-the id and the text are read.
+null ids come first; repeated rows give repeated rows; very long texts are sorted whole, as
+arrays of numbers inside one row; an empty table gives no rows; only the id and the text
+are read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, partitions
 
+#: Bytes of a text that sort it into a range within one much repeated id.
+PREFIX = 7
+
 K, LANES, LANE_BITS, TUPLE = 2, 64, 6, 2
 #: Powers of two for the search of a k-mer's first place among its equals, largest first.
 STEPS = 31
@@ -82,39 +86,68 @@ def as_text(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), 12, "0")), "")
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """Add ``next_text`` and ``next_signature`` in order of (doc_id, text), the first after the last.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _below(value: Column, marks: list) -> Column:
+    """How many marks lie below a value."""
+    return F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < value)) if marks else F.lit(0)
+
+
+def with_range(rows: DataFrame) -> DataFrame:
+    """Add ``__part``: numbers of ranges of (doc_id, text), in their order.
 
-    Ids are cut into ranges by approximate percentiles and each range is a window of its
-    own; only the first row of each range is looked up from the range before it.
+    Ids are cut by approximate percentiles. An id (or null) that holds two percentiles or
+    more, so more than a range's share of the rows, is cut again by the first bytes of its
+    texts; there are fewer of these than ranges.
     """
     ids = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     ranges = 8 * partitions(rows.sparkSession)
-    marks = rows.agg(F.percentile_approx(ids, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    shares = [k / ranges for k in range(1, ranges)]
+    marks = rows.agg(F.percentile_approx(ids, shares, 10_000)).first()[0] or []
+    hot = sorted({m for m, n in zip(marks, marks[1:]) if m == n})
     marks = sorted(set(marks))
-    part = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < ids)) if marks else F.lit(0)
-    parted = rows.withColumn("__part", part)
+    if not hot:
+        return rows.withColumn("__part", _below(ids, marks).cast("long"))
+    start = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("long")
+    found = rows.where(ids.isin(hot)).groupBy(ids.alias("id")).agg(F.percentile_approx(start, shares, 10_000).alias("m")).collect()  # one row per id in ``hot``
+    inner = F.lit(0)
+    for row in found:
+        inner = F.when(ids == row.id, _below(start, sorted(set(row.m)))).otherwise(inner)
+    # A hot id has a range of its own between those of the smaller and of the larger ids.
+    outer = 2 * _below(ids, marks) + F.when(ids.isin(hot), 0).otherwise(F.lit(-1))
+    return rows.withColumn("__part", (outer + 1).cast("long") * ranges + inner)
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """Add ``signature``, and ``next_text`` and ``next_signature`` in order of (doc_id, text), the first after the last.
+
+    Each range is a window of its own; only the first row of each range, found before
+    anything is signed, is looked up from the range before it.
+    """
+    parted = with_range(rows)
+    ids = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     heads = parted.groupBy("__part").agg(F.min(ids).alias("__head"))
-    chain = heads.withColumn("__before", F.coalesce(F.lag("__part").over(Window.orderBy("__part")), F.max("__part").over(Window.partitionBy())))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    firsts = parted.join(F.broadcast(chain.withColumnRenamed("__part", "__p")), (F.col("__part") == F.col("__p")) & (ids == F.col("__head"))).withColumn("__rank", rank).where("__rank = 1")
+    chain = heads.withColumn("__before", F.coalesce(F.lag("__part").over(Window.orderBy("__part")), F.max("__part").over(Window.partitionBy())))  # one row per range
+    least = parted.join(F.broadcast(chain.withColumnRenamed("__part", "__p")), (F.col("__part") == F.col("__p")) & (ids == F.col("__head")))
+    firsts = with_signature(least.groupBy("__before").agg(F.min("text").alias("text")), "text", "signature")
     firsts = firsts.select(F.col("__before").alias("__of"), F.struct("text", "signature").alias("__first"))
     following = F.lead(F.struct("text", "signature")).over(Window.partitionBy("__part").orderBy(*order))
-    joined = parted.withColumn("__lead", following).join(firsts, F.col("__part") == F.col("__of"), "left")
+    joined = with_signature(parted, "text", "signature").withColumn("__lead", following).join(firsts, F.col("__part") == F.col("__of"), "left")
     found = F.coalesce("__lead", "__first")
-    return joined.select(*rows.columns, found["text"].alias("next_text"), found["signature"].alias("next_signature"))
+    return joined.select(*rows.columns, "signature", found["text"].alias("next_text"), found["signature"].alias("next_signature"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and ``signature`` of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return with_signature(rows, "text", "signature")
+    return with_signature(_texts(docs), "text", "signature")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Every document with its edited text's digest, both fingerprints and their likeness."""
-    rows = with_next(fingerprints(docs))
+    rows = with_next(_texts(docs))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "signature", "next_signature", edited.alias("edited"))
