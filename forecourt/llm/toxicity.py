@@ -2,21 +2,25 @@
 
 Document labels are turned into token labels first: words and word beginnings whose
 document frequency among toxic training documents is significantly above their base
-rate (exact binomial tail, corrected for the number of units tried) mark the tokens of
-toxic documents. The frequencies are counted over all labelled training rows. The field
+rate (exact binomial tail, false discovery rate controlled over all units tried) mark the
+tokens of toxic documents. The frequencies are counted over all labelled training rows. The field
 (two states, features of the word: itself, beginnings, ending) is trained on these by
 gradient ascent with forward-backward expectations; a marked word whose units the field's
 sample lacks has the mean weight of the marked words that it holds.
+
+The field's weights are fitted on a bounded sample of the labelled rows' tokens: texts of
+any length are cut into pieces of PIECE tokens, of which a hash chooses about MOST_TOXIC
+from toxic and MOST_CLEAN from clean rows, at most twice as many.
 Texts are scored in chains of CHAIN tokens, each with up to MARGIN tokens more on either
 side, so that messages cross the cuts; the marginals of all
 tokens of the whole text are computed, the highest is the document's score, and the
 tokens at or above one half are the offending offsets.
 
 Defined cases: a null, empty or wordless text scores 0 and has no spans; a null doc_id
-is in no fold and matches no label; repeated rows give repeated results; without
-significant units every score is 0; an empty table gives no rows; only the id and the
-text are read. The field's weights are fitted on about MOST_TOXIC + MOST_CLEAN labelled rows (at most twice
-as many) of at most LONGEST characters, chosen by a hash of the id; counting and scoring see everything.
+is in no fold and matches no label; repeated rows give repeated results; several labels of
+a document count as often as they occur, null labels do not; very long texts count, train
+and are scored whole; without significant units every score is 0; a score of exactly one
+half is toxic; an empty table gives no rows; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -29,16 +33,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, hash_sample, in_fold
+from xxhash import xxh64_intdigest
+
+from .common import durable, in_fold
 
 FOLDS, HELD_OUT, CUTOFF = 5, 0, 0.5
-MOST_TOXIC, MOST_CLEAN, LONGEST, MOST_FEATURES = 1200, 2400, 12_000, 100_000
+MOST_TOXIC, MOST_CLEAN, PIECE = 8000, 16_000, 64
 CHAIN, MARGIN, SLOTS, MOST_WORDS = 32, 16, 7, 300_000
 MOST_COUNTED = 200_000
-_ROW = ""  # the key that counts rows
+_ROW, _SAMPLED = "", "\x01"  # the key that counts rows; what stands before a piece of the sample
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,12 +59,28 @@ def units(words: set[str]) -> set[str]:
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """Upper bound by Chernoff of P(X >= k) for a binomial X of n trials; 1 if k is not above the mean."""
-    q = k / n
-    if q <= p:
+    """P(X >= k) for a binomial X of n trials, from the exact terms; 1 if k is not above the mean."""
+    if k <= n * p:
         return 1.0
-    divergence = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0)
-    return math.exp(-n * divergence)
+    term = n * math.log(p)
+    terms = [term]
+    for j in range(n - k):  # j misses become j + 1
+        term += math.log((n - j) / (j + 1) * (1 - p) / p)
+        terms.append(term)
+    return math.fsum(map(math.exp, terms))
+
+
+def tail_column(k: Column, n: Column, p: float) -> Column:
+    """The same as a column; the terms are as many as n - k."""
+    log_terms = F.aggregate(
+        F.sequence(F.lit(0), (n - k - 1).cast("int")),
+        F.struct((n * math.log(p)).alias("term"), F.exp(n * math.log(p)).alias("sum")),
+        lambda got, j: F.struct(
+            (got["term"] + F.log((n - j) / (j + 1) * ((1 - p) / p))).alias("term"),
+            (got["sum"] + F.exp(got["term"] + F.log((n - j) / (j + 1) * ((1 - p) / p)))).alias("sum"),
+        ),
+    )
+    return F.when(k <= n * p, 1.0).when(n == k, F.exp(n * math.log(p))).otherwise(log_terms["sum"])
 
 
 def significant_units(toxic: list[set[str]], clean: list[set[str]], level: float = 0.01) -> set[str]:
@@ -66,12 +88,36 @@ def significant_units(toxic: list[set[str]], clean: list[set[str]], level: float
         return set()
     base = len(toxic) / (len(toxic) + len(clean))
     hot, cold = (Counter(u for words in side for u in units(words)) for side in (toxic, clean))
-    tried = sum(n >= 3 for n in hot.values()) or 1
-    return {u for u, n in hot.items() if n >= 3 and cold[u] <= 0.1 * n and tail(n, n + cold[u], base) * tried <= level}
+    chances = {u: tail(n, n + cold[u], base) for u, n in hot.items() if n >= 3 and cold[u] <= 0.1 * n}
+    most = discovery_limit(Counter(_grade(x) for x in chances.values()), sum(n >= 3 for n in hot.values()), level)
+    return {u for u, x in chances.items() if x <= most}
+
+
+def _grade(chance: float) -> int:
+    """Powers of two that a chance lies below one."""
+    return min(1000, int(-math.log2(max(chance, 1e-300))))
+
+
+def discovery_limit(grades: dict[int, int], tried: int, level: float) -> float:
+    """The step-up limit of Benjamini and Hochberg for chances, rounded down to a power of two.
+
+    ``grades``: how many of ``tried`` chances have each grade. Of what is below the limit at
+    most the share ``level`` is expected to be there by chance.
+    """
+    below, limit = 0, 0.0
+    for grade in sorted(grades, reverse=True):
+        below += grades[grade]
+        if 2.0**-grade * tried <= below * level:
+            limit = 2.0**-grade
+    return limit
 
 
-def corpus_units(rows: DataFrame, level: float = 0.01) -> set[str]:
-    """``significant_units`` by document frequencies over all rows (text, label), counted in Spark."""
+def read_labelled(rows: DataFrame, shares: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(unit, hot, cold) from all rows (text, label): document frequencies, and the sample of pieces.
+
+    ``shares``: how much of the pieces of clean and of toxic rows is sampled. A piece is a
+    row of its own whose unit is _SAMPLED and its words, so one pass over the texts serves both.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -85,23 +131,32 @@ def corpus_units(rows: DataFrame, level: float = 0.01) -> set[str]:
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                of = counts[label]
-                of.update(units({w.lower() for w in _WORD.findall(text or "")}))
+                of, words = counts[label], _WORD.findall(text or "")
+                of.update(units({w.lower() for w in words}))
                 of[_ROW] += 1
+                most = shares[label] * 2**64
+                for k in range(0, len(words), PIECE):
+                    piece = " ".join(words[k : k + PIECE])
+                    if xxh64_intdigest(piece, k) < most:
+                        of[_SAMPLED + piece] += 1
                 if len(counts[0]) + len(counts[1]) > MOST_COUNTED:
                     yield from flush()
         yield from flush()
 
-    counted = durable(rows.mapInArrow(count, "unit string, hot long, cold long").groupBy("unit").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")), "units")
+    return rows.select("text", "label").mapInArrow(count, "unit string, hot long, cold long").groupBy("unit").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
+
+
+def corpus_units(counted: DataFrame, level: float = 0.01) -> set[str]:
+    """``significant_units`` by document frequencies over all rows, from ``read_labelled``."""
     whole = counted.where(F.col("unit") == _ROW).first()
     if whole is None or not whole.hot or not whole.cold:
         return set()
     base = whole.hot / (whole.hot + whole.cold)
-    hot = counted.where((F.col("unit") != _ROW) & (F.col("hot") >= 3))
-    tried = hot.count() or 1
-    n, q = F.col("hot") + F.col("cold"), F.col("hot") / (F.col("hot") + F.col("cold"))
-    clean = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    found = hot.where((F.col("cold") <= 0.1 * F.col("hot")) & (q > base) & (F.exp(-n * (q * F.log(q / base) + clean)) * tried <= level))
+    hot = counted.where((F.col("unit") != _ROW) & ~F.startswith("unit", F.lit(_SAMPLED)) & (F.col("hot") >= 3))
+    chances = hot.where(F.col("cold") <= 0.1 * F.col("hot")).select("unit", tail_column(F.col("hot"), F.col("hot") + F.col("cold"), base).alias("chance"))
+    grade = F.least(F.lit(1000), (-F.log2(F.greatest("chance", F.lit(1e-300)))).cast("int"))
+    grades = {r.grade: r.n for r in chances.groupBy(grade.alias("grade")).agg(F.count("*").alias("n")).collect()}  # at most 1000
+    found = chances.where(F.col("chance") <= discovery_limit(grades, hot.count(), level))
     return {r.unit for r in found.select("unit").collect()}  # toxic words only
 
 
@@ -144,21 +199,14 @@ def marginals(emission: np.ndarray, step: np.ndarray, start: float) -> tuple[np.
     return np.log(forward * backward + 1e-300), forward, backward
 
 
-def chain_lengths(tokens: np.ndarray) -> np.ndarray:
-    """Tokens per chain: each text's tokens are cut every CHAIN tokens."""
-    chains = -(-tokens // CHAIN)
-    out = np.full(chains.sum(), CHAIN)
-    out[np.cumsum(chains) - 1] = tokens - (chains - 1) * CHAIN
-    return out
-
-
 def padded(values: np.ndarray, lengths: np.ndarray, pad: float) -> tuple[np.ndarray, np.ndarray]:
-    """Values laid out by chain, and the flat places that hold them."""
-    first = np.repeat(np.arange(len(lengths)) * CHAIN, lengths)
+    """Values laid out by chain, one per text, and the flat places that hold them."""
+    width = int(lengths.max())
+    first = np.repeat(np.arange(len(lengths)) * width, lengths)
     within = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.full(len(lengths) * CHAIN, pad)
+    out = np.full(len(lengths) * width, pad)
     out[first + within] = values
-    return out.reshape(-1, CHAIN), first + within
+    return out.reshape(-1, width), first + within
 
 
 def overlapped(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +222,7 @@ def overlapped(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int = 80, rate: float = 0.5, ridge: float = 0.05) -> Field:
-    """Train on (text, toxic) rows; ``marks``: the significant units, by default those of the rows."""
+    """Train on (text, toxic) rows, each one chain; ``marks``: the significant units, by default those of the rows."""
     texts = [t or "" for t, _ in rows]
     words = [_WORD.findall(t) for t in texts]
     toxic = np.array([y == 1 for _, y in rows], bool)
@@ -192,21 +240,21 @@ def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int
     if not gold.any():  # all marked words are as toxic as can be
         return Field({}, -4.0, np.zeros((2, 2)), 0.0, frozenset(marks), 8.0)
     unseen = frozenset(marks.difference(*of_word))
-    common = Counter(f for fs in of_word for f in fs).most_common(MOST_FEATURES)
-    names = {f: k for k, f in enumerate(f for f, n in common if n > 1 or f in marks)}
+    names = {f: k for k, f in enumerate(f for f, n in Counter(f for fs in of_word for f in fs).items() if n > 1 or f in marks)}
     pad = len(names)
     slots = np.full((len(known), SLOTS), pad)
     for k, fs in enumerate(of_word):
         got = [names[f] for f in fs if f in names]
         slots[k, : len(got)] = got
-    lengths = chain_lengths(np.array([len(ws) for ws in words if ws]))
+    lengths = np.array([len(ws) for ws in words if ws])
     _, places = padded(np.zeros(len(flat)), lengths, 0.0)
-    real = np.zeros(len(lengths) * CHAIN, bool)
+    width = int(lengths.max())
+    real = np.zeros(len(lengths) * width, bool)
     real[places] = True
-    real = real.reshape(-1, CHAIN)
+    real = real.reshape(-1, width)
     y = np.zeros(real.size)
     y[places] = gold
-    y = y.reshape(-1, CHAIN)
+    y = y.reshape(-1, width)
     follows = real[:, 1:]
     want_step = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:]) * follows).sum(), ((1 - y[:, :-1]) * y[:, 1:] * follows).sum()], [(y[:, :-1] * (1 - y[:, 1:]) * follows).sum(), (y[:, :-1] * y[:, 1:] * follows).sum()]])
     theta = np.zeros(pad + 1 + 1 + 4 + 1)  # features, pad, bias, transitions, start
@@ -217,7 +265,7 @@ def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int
         by_word = theta[slots].sum(1) + theta[pad + 1]
         e = np.full(real.size, -60.0)
         e[places] = by_word[flat]
-        e = e.reshape(-1, CHAIN)
+        e = e.reshape(-1, width)
         odds, forward, backward = marginals(e, step, start)
         p = 1 / (1 + np.exp(-odds))
         error = (y - p).ravel()[places]
@@ -241,15 +289,21 @@ def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
+    """The field, from one pass over the labelled texts outside the held-out fold."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~in_fold("doc_id", FOLDS, HELD_OUT))
-    labelled = docs.select(F.col("doc_id").alias("__id"), "text").join(known, F.col("__id") == F.col("doc_id"))
-    marks = corpus_units(labelled.select("text", "label"))
+    of_label = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).first()
+    per_row = (size.chars or 0) / max(size.rows, 1) / (7 * PIECE)  # pieces of the mean text
+    shares = tuple(min(1.0, most / max(of_label.get(y, 0) * per_row, 1e-9)) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC)))
+    # The same plan at every size: labels are hashed, texts pass by.
+    labelled = docs.select(F.col("doc_id").alias("__id"), "text").join(known.hint("shuffle_hash"), F.col("__id") == F.col("doc_id"))
+    counted = durable(read_labelled(labelled, shares), "units")
+    marks = corpus_units(counted)
     if not marks:
         return fit([])
-    chosen = hash_sample(known.where("label = 1"), MOST_TOXIC).union(hash_sample(known.where("label = 0"), MOST_CLEAN))
-    rows = docs.select(F.col("doc_id").alias("__id"), "text").where(F.length("text") <= LONGEST)
-    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "label", "doc_id").collect()
-    return fit([(r.text, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.label, r.text))], marks)
+    sample = counted.where(F.startswith("unit", F.lit(_SAMPLED)))
+    found = [r for what, most in (("hot", MOST_TOXIC), ("cold", MOST_CLEAN)) for r in sample.where(F.col(what) > 0).limit(2 * most).select("unit", F.lit(int(what == "hot")).alias("y")).collect()]
+    return fit(sorted((r.unit[1:], r.y) for r in found), marks)
 
 
 def score_texts(texts: list[str], field: Field, memo: dict[str, float]) -> list[tuple[float, list[dict]]]:
@@ -281,7 +335,7 @@ def score_texts(texts: list[str], field: Field, memo: dict[str, float]) -> list[
 def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     from .packing import _groups
 
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # at most MOST_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # weights of the sample's words, so bounded by its size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, {}
