@@ -18,6 +18,7 @@ from forecourt.llm import byte_bpe, language_id, language_model, order_minhash,
 from forecourt.llm.components import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, score double"
@@ -85,6 +86,43 @@ def test_language_id(docs, empty):
     assert language_id.identify_documents(empty).count() == 0
 
 
+def brute_profile(text, width=language_id.WIDTH):
+    """One trigram at a time: the product of three shifted letter vectors, summed."""
+    letters = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (language_id.LETTERS, width)).astype(int)
+    codes = [0, *(int(language_id.letter_table()[ord(c)]) for c in text), 0]
+    out = np.zeros(width)
+    for k in range(1, len(codes) - 1):
+        if codes[k]:
+            out += np.roll(letters[codes[k - 1]], 2) * np.roll(letters[codes[k]], 1) * letters[codes[k + 1]]
+    return out / (np.linalg.norm(out) or 1)
+
+
+def test_language_id_against_brute_force(docs):
+    sums = {}
+    for i, t, lang in ROWS:
+        if i is not None and crc(i) % 4 != 2 and lang and any(c.isalpha() for c in t or ""):
+            sums[lang] = sums.get(lang, 0) + brute_profile(t)
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    protos = {k: unit(v) for k, v in sorted(sums.items())}
+    mean = np.mean(list(protos.values()), axis=0)
+    protos = {k: unit(v - mean) for k, v in protos.items()}
+    texts = {i: t for i, t, _ in ROWS}
+    for r in language_id.identify_documents(docs).collect():
+        if r.lang_pred != "und":
+            cosines = {k: v @ brute_profile(texts[r.doc_id]) for k, v in protos.items()}
+            best = max(cosines, key=cosines.get)
+            assert r.lang_pred == best
+            assert r.score == pytest.approx(1 / sum(np.exp(language_id.SHARPNESS * (c - cosines[best])) for c in cosines.values()), abs=1e-3)
+
+
+def test_bounded_trigram_memory():
+    """Texts with more trigrams than are kept, and than are bound at a time, have the same vectors."""
+    text = "".join(chr(97 + k * k % 26) + chr(0xE0 + k % 23) + chr(97 + k // 7 % 26) for k in range(9000))
+    small, whole = language_id.Trigrams(most=100), language_id.Trigrams()
+    assert np.allclose(small.profile(text), whole.profile(text), atol=1e-6) and small.known <= 100 and len(small.rows) <= 1024
+    assert np.allclose(small.profile(text), brute_profile(text), atol=1e-5)
+
+
 def test_permutation_tells_order():
     t = language_id.Trigrams()
     assert t.profile("abc") @ t.profile("cba") < 0.9 and t.profile("é").any() and t.profile("12") is None
@@ -172,9 +210,10 @@ def test_attention_is_trained_on_all_rows(spark, monkeypatch):
 
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    marked = [(300, "a <|endoftext|> b"), (301, "<|endoftext|>"), (302, "x<|endoftext|><|endoftext|>  y\n<|endoftext"), (303, "<|endoftext|> " * 700)]
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(marked, EMPTY))
     got = packing.pack_documents(docs, with_ids=True).collect()
-    ids = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for i, t, _ in ROWS)
+    ids = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in [*((i, t) for i, t, _ in ROWS), *marked])
     pieces = {}
     for r in got:
         assert r.length == len(r.ids) <= 1024 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
@@ -192,6 +231,8 @@ def test_packing(docs, empty):
             at += length
         assert at <= 1024
     assert packing.pack_documents(empty).count() == 0
+    total = sum(r.length for r in got)
+    assert len(bins) <= -(-total // 1024) + 4 * docs.rdd.getNumPartitions()  # little more than a full one for each
 
 
 def spans(n):
@@ -243,6 +284,64 @@ def test_quality_rules(spark, docs, empty, labels):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept and r.doc_id not in (200, 201)}
 
 
+def brute_cutoffs(rows):
+    """The laxest best certified cutoffs from (statistics, label) rows, one at a time."""
+    from fractions import Fraction
+    from math import comb
+
+    def at_most(k, n, p):
+        return float(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+    risk, level = Fraction(1, 100), quality_rules.LEVEL / 15
+    out = {}
+    for s, first in enumerate((50, 150, 600), 1):
+        own = [(v, y) for n, v, y in rows if n >= first and (s == 3 or n < (50, 150, 600)[s])]
+        good = sum(y for _, y in own)
+        for rule in quality_rules.RULES:
+            best = 0
+            for cutoff in quality_rules.GRID:
+                false, true = (sum(v[rule] > cutoff for v, y in own if y == kind) for kind in (1, 0))
+                if false > good / 100 or at_most(false, good, risk) > level:
+                    break
+                if true - quality_rules.GOOD_COST * false > best:
+                    best, out[s, rule] = true - quality_rules.GOOD_COST * false, cutoff
+    return out
+
+
+def test_rules_are_selected_as_by_brute_force(spark):
+    """Cutoffs that reject, equal to a plain selection; few good documents of the held-out fold go."""
+    r = random.Random(9)
+    rows = []
+    for i in range(1700):
+        words = [f"{w}{i}" for w in text_of("en", r, 60 if i % 3 else 170).split()]
+        bad = i % 9 < 2
+        if bad or i == 2:
+            words = [w + "#" * (k % 2) for k, w in enumerate(words)]
+        rows.append((i, " ".join(words), int(not bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], EMPTY).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    measured = []
+    for i, t, y in rows:
+        n, chars, symbols, lines, repeats = brute_rules(t)
+        if crc(i) % 5 and n >= 50 and 100 * repeats <= 50 * n:
+            values = {"symbols": symbols / n, "capitals": len(re.findall("[A-Z]", t)) / chars, "exclamations": t.count("!") / n, "repeats": repeats / n, "lines": lines / max(1, sum(bool(x.split()) for x in t.split("\n")))}
+            measured.append((n, values, y))
+    want = brute_cutoffs(measured)
+    assert (1, "symbols") in want
+    stats = quality_rules.durable(quality_rules.with_statistics(docs), "rules")
+    assert quality_rules.cutoffs(stats, labels) == want
+    got = by_id(quality_rules.judge_documents(docs, labels))
+    for i, t, _ in rows:
+        n, _, symbols, _, _ = brute_rules(t)
+        s = 1 if n < 150 else 2
+        assert got[i].kept == (not got[i].base_failed and symbols / n <= want.get((s, "symbols"), 9))
+    good = [got[i] for i, _, y in rows if y and crc(i) % 5 == 0 and not got[i].base_failed]
+    assert sum(not r.kept for r in good) <= quality_rules.RISK * len(good)
+    assert not any(got[i].kept for i, t, y in rows if not y and len(t.split()) < 150)
+    kept = quality_rules.keep_documents(docs, labels)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_cutoffs_are_certified():
     assert quality_rules.binomial_at_most(0, 3, 0.5) == pytest.approx(0.125)
     assert quality_rules.binomial_at_most(3, 3, 0.5) == 1.0
@@ -329,7 +428,34 @@ def test_units_as_in_memory(spark):
     rows = toxic_rows()
     cut = [{w for w in re.findall(r"[^\W\d_]+", t)} for t, _ in rows]
     want = toxicity.significant_units([w for w, (_, y) in zip(cut, rows) if y], [w for w, (_, y) in zip(cut, rows) if not y])
-    assert want and toxicity.corpus_units(spark.createDataFrame(rows, "text string, label int")) == want
+    counted = toxicity.read_labelled(spark.createDataFrame(rows, "text string, label int"), (1.0, 0.5))
+    assert want and toxicity.corpus_units(counted) == want
+    pieces = [r for r in counted.collect() if r.unit.startswith(toxicity._SAMPLED)]
+    assert sum(r.cold for r in pieces) == sum(-(-len(re.findall(r"[^\W\d_]+", t)) // toxicity.PIECE) for t, y in rows if not y)
+    assert 0 < sum(r.hot for r in pieces) < sum(y for _, y in rows)
+
+
+def test_exact_tails(spark):
+    from math import comb
+
+    p = 0.2
+    pairs = [(3, 3), (3, 4), (7, 9), (1, 9), (40, 43)]
+    want = [sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)) if k > n * p else 1.0 for k, n in pairs]
+    assert [toxicity.tail(k, n, p) for k, n in pairs] == pytest.approx(want)
+    df = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(pairs)], "i int, k long, n long")
+    assert [r.x for r in df.select("i", toxicity.tail_column(F.col("k"), F.col("n"), p).alias("x")).orderBy("i").collect()] == pytest.approx(want)
+    # Step-up: of 100 tried, two chances under 2^-13 pass at level 0.02, one of 2^-6 does not.
+    assert toxicity.discovery_limit({14: 1, 13: 1, 6: 1}, 100, 0.02) == 2.0**-13
+
+
+def test_toxicity_of_awkward_rows(spark):
+    """Repeated rows, clashing columns, null labels and ids, several labels of one document."""
+    rows = toxic_rows(120)
+    docs = spark.createDataFrame([*((i, t, "x", 0.5) for i, (t, _) in enumerate(rows)), *((1, rows[1][0], "x", 0.5) for _ in range(3)), (None, None, None, None)], "doc_id long, text string, label string, score double")
+    known = spark.createDataFrame([*((i, y) for i, (_, y) in enumerate(rows)), (0, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, toxicity.train(docs, known)).collect()
+    assert len(got) == len(rows) + 4 and len({(r.score, r.predicted) for r in got if r.doc_id == 1}) == 1
+    assert np.mean([r.predicted == rows[r.doc_id][1] for r in got if r.doc_id is not None]) > 0.95
 
 
 def test_messages_cross_chain_cuts():
@@ -353,7 +479,7 @@ def test_marginals_against_enumeration():
     weight = {}
     for k in range(16):
         y = [k >> j & 1 for j in range(4)]
-        weight[tuple(y)] = np.exp(start * y[0] + sum(e[j] * y[j] for j in range(4)) + sum(step[y[j], y[j + 1]] for j in range(3)) + step[y[3], 0])
+        weight[tuple(y)] = np.exp(start * y[0] + sum(e[j] * y[j] for j in range(4)) + sum(step[y[j], y[j + 1]] for j in range(3)))
     for j in range(4):
         one = sum(w for y, w in weight.items() if y[j])
         assert got[j] == pytest.approx(np.log(one / (sum(weight.values()) - one)), abs=1e-6)
@@ -389,6 +515,22 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(root.values()))
 
 
+def test_second_keys_of_hot_buckets(spark):
+    """Fingerprints within the distance that share a first key share a second one as well."""
+    r = random.Random(6)
+    pairs = []
+    for _ in range(60):
+        f = r.getrandbits(64)
+        g = f
+        for b in r.sample(range(64), 3):
+            g ^= 1 << b
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (f, g)))
+    keys = lambda name: F.transform(simhash.chain_keys(F.col(name)), lambda k: F.struct(k.alias("k"), simhash.second_keys(F.col(name), k).alias("s")))
+    for row in spark.createDataFrame(pairs, "a long, b long").select(keys("a").alias("a"), keys("b").alias("b")).collect():
+        shared = [(x, y) for x in row.a for y in row.b if x.k == y.k]
+        assert shared and all(set(x.s) & set(y.s) for x, y in shared)
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_links_lose_nothing(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -472,13 +614,36 @@ def test_loser_tree(lists):
     assert [n for _, _, n, _ in got[1:]] == [suffix_dedup.common_prefix(a, b, 0) for a, b in zip(words, words[1:])]
 
 
-def test_stretches_agree(monkeypatch):
+@pytest.mark.parametrize("stretch", [1 << 18, 250, 700])
+def test_stretches_agree(monkeypatch, stretch):
+    """Every window has one anchor, the same in texts of any length and on either side of a cut."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     r = random.Random(8)
     data = bytes(r.choice(b"abc ") for _ in range(1500))
-    whole = set()
-    for _, _, at, n, _ in zip(*suffix_dedup.segments(data)):
-        whole |= set(range(at, at + n - 199))
-    assert whole == set(range(len(data) - 199))
+    anchors = {}
+    for h, _, at, n, off in zip(*suffix_dedup.segments(data)):
+        for p in range(at, at + n - 199):
+            assert anchors.setdefault(p, (at + off, h)) == (at + off, h)
+    assert set(anchors) == set(range(len(data) - 199))
+    for p in range(0, 1300, 53):
+        (h,), _, _, (n,), (off,) = suffix_dedup.segments(data[p : p + 200])
+        assert anchors[p] == (p + off, h) and n == 200
+
+
+@pytest.mark.parametrize("stretch,frequent", [(250, 1000), (1 << 18, 2), (1 << 18, 10**9)])
+def test_suffix_dedup_of_long_and_repeated_rows(spark, monkeypatch, stretch, frequent):
+    """Texts of many stretches, 40 equal rows, and keys that go by broadcast or by shuffle."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdef ") for _ in range(900))
+    fresh = lambda n: "".join(r.choice("ghijkl ") for _ in range(n))
+    texts = [fresh(700) + passage + fresh(300), passage[100:] + fresh(400), fresh(900) + passage[:500] + fresh(100) + passage[300:], "z" * 900, fresh(250), *[fresh(80)] * 2]
+    rows = [*enumerate(texts), *[(50, texts[4])] * 40]
+    rows = [(i, t) for i, t in rows]
+    want = Counter(zip((i for i, _ in rows), brute_strip([t for _, t in rows])))
+    got = Counter((x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in suffix_dedup.strip_documents(spark.createDataFrame(rows, EMPTY).repartition(4)).collect())
+    assert got == want
 
 
 # 10
@@ -503,6 +668,72 @@ def test_order_minhash(spark, docs, empty):
     assert order_minhash.fingerprint_documents(empty).count() == 0
 
 
+def brute_signature(t):
+    """Lane -> hash of its two least numbered 2-grams in text order, with xxHash as Spark computes it."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+    longs = lambda *xs, seed=42: _fold(xs, seed)
+
+    def _fold(xs, seed):
+        for x in xs:
+            seed = xxhash.xxh64_intdigest((x & mask).to_bytes(8, "little"), seed)
+        return seed
+
+    def with_int(x, n):
+        return xxhash.xxh64_intdigest((n & 0xFFFFFFFF).to_bytes(4, "little"), longs(x))
+
+    words = t.encode().split() if re.search(r"[^\x20\x09-\x0D]", t) else [t.encode()]
+    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    grams = [longs(*h[i : i + 2]) for i in range(max(1, len(h) - 1))]
+    seen, numbered = Counter(), []
+    for place, g in enumerate(grams):
+        numbered.append((with_int(g, seen[g]), place))
+        seen[g] += 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    lanes = {}
+    for v, place in sorted(numbered, key=lambda x: signed(x[0])):
+        lanes.setdefault(signed(v) >> 58, []).append((v, place))
+    ring = [x for lane in sorted(lanes) for x in lanes[lane][:2]]
+    firsts = {lane: sum(len(lanes[k][:2]) for k in lanes if k < lane) for lane in lanes}
+
+    def pair(k):
+        (v, p), (w, q) = ring[k], ring[(k + 1) % len(ring)]
+        return longs(v, w) if p < q else longs(w, v) if p > q else longs(v)
+
+    out = []
+    for lane in range(-32, 32):
+        at = next((firsts[k] for k in sorted(firsts) if k >= lane), 0)
+        out.append((lane + 32) << 40 | pair(at) >> 24)
+    return out
+
+
+def test_order_minhash_against_brute_force(spark, docs):
+    """Signatures, fingerprints and both likenesses, for every row of the fixture."""
+    rows = sorted(((i, t or "") for i, t, _ in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    like = lambda a, b: len(set(a) & set(b)) / len({x >> 40 for x in [*a, *b]})
+    as_text = lambda s: "".join(f"{x:012X}" for x in s)
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        nxt, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        own, edited, after = (brute_signature(x) for x in (t, t[: len(t) - half] + nxt[:half], nxt))
+        want[i, as_text(own), as_text(edited), round(like(own, edited), 9), round(like(own, after), 9)] += 1
+    got = Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in order_minhash.fingerprint_documents(docs).collect())
+    assert got == want
+
+
+def test_next_of_a_much_repeated_id(spark):
+    """A third of all rows with one id, and null ids, are cut into ranges by their texts; the order stays."""
+    r = random.Random(12)
+    rows = [(None if k % 4 == 0 else 7 if k % 4 < 3 else k, "".join(r.choice("abé ") for _ in range(r.randint(0, 12)))) for k in range(400)]
+    df = spark.createDataFrame(rows, EMPTY).repartition(5)
+    assert order_minhash.with_range(df).groupBy("__part").count().agg(F.max("count")).first()[0] < 60
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    got = Counter((x.doc_id, x.text, x.next_text) for x in order_minhash.with_next(df).collect())
+    assert got == want
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(300)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[150:] + words[:150])), (3, " ".join([*words[:280], *(f"n{i}" for i in range(20))]))], EMPTY)
@@ -540,11 +771,19 @@ def test_order_minhash_of_two_words(spark):
 
 
 def test_keep_one_tells_equal_ids_apart(spark):
-    """Different texts with one id are in different components: both stay, and copies go."""
-    one, two = text_of("en", random.Random(1)), text_of("de", random.Random(2))
-    df = spark.createDataFrame([(5, one), (5, two), (5, two), (6, one), (7, two), (None, one)], EMPTY).repartition(3)
+    """Different texts with one id are in different components: both stay; copies go, also those without an id."""
+    one, two, three = text_of("en", random.Random(1)), text_of("de", random.Random(2)), text_of("fr", random.Random(3))
+    df = spark.createDataFrame([(5, one), (5, two), (5, two), (6, one), (7, two), (None, one), (None, three), (None, three)], EMPTY).repartition(3)
     got = Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
-    assert got == Counter([(5, one), (5, two), (None, one)])
+    assert got == Counter([(5, one), (5, two), (None, three)])
+
+
+def test_pipeline_of_nothing(spark, tmp_path, empty, labels):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark, tmp_path, docs, labels):
