@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from . import byte_bpe, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, rules_sql, simhash, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -67,4 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the rules can be said in SQL whole: the others need models, tokenisers or hashes that it lacks."""
+    return {"op4_quality_rules": rules_sql.SQL}
