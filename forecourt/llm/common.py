@@ -70,14 +70,3 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hash_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows (never more than twice as many), chosen by a hash of doc_id.
-
-    Only for fitting models; the share is set by one count, so no task ranks all rows.
-    """
-    total = rows.count()
-    if total > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    return rows.limit(2 * most)
