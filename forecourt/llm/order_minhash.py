@@ -27,6 +27,8 @@ from .common import SPACE_CLASS, partitions
 
 #: Bytes of a text that sort it into a range within one much repeated id.
 PREFIX = 7
+#: Rows of a range, and of a task that orders ranges, on average where there are many.
+RANGE_ROWS, TASK_ROWS = 10_000, 40_000
 
 K, LANES, LANE_BITS, TUPLE = 2, 64, 6, 2
 #: Powers of two for the search of a k-mer's first place among its equals, largest first.
@@ -91,27 +93,31 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _below(value: Column, marks: list) -> Column:
-    """How many marks lie below a value."""
-    return F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < value)) if marks else F.lit(0)
+    """How many of the sorted marks lie below a value, by bisection."""
+    if not marks:
+        return F.lit(0)
+    held = F.array(*map(F.lit, marks))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(marks).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda got, step: F.when(F.coalesce(F.get(held, got + step - 1) < value, F.lit(False)), got + step).otherwise(got))
 
 
 def with_range(rows: DataFrame) -> DataFrame:
-    """Add ``__part``: numbers of ranges of (doc_id, text), in their order.
+    """Add ``__part``: numbers of ranges of (doc_id, text), in their order; as many as the rows call for.
 
     Ids are cut by approximate percentiles. An id (or null) that holds two percentiles or
     more, so more than a range's share of the rows, is cut again by the first bytes of its
     texts; there are fewer of these than ranges.
     """
     ids = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    ranges = 8 * partitions(rows.sparkSession)
-    shares = [k / ranges for k in range(1, ranges)]
-    marks = rows.agg(F.percentile_approx(ids, shares, 10_000)).first()[0] or []
+    ranges = max(8 * partitions(rows.sparkSession), rows.count() // RANGE_ROWS)
+    shares, accuracy = [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)
+    marks = rows.agg(F.percentile_approx(ids, shares, accuracy)).first()[0] or []
     hot = sorted({m for m, n in zip(marks, marks[1:]) if m == n})
     marks = sorted(set(marks))
     if not hot:
         return rows.withColumn("__part", _below(ids, marks).cast("long"))
     start = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("long")
-    found = rows.where(ids.isin(hot)).groupBy(ids.alias("id")).agg(F.percentile_approx(start, shares, 10_000).alias("m")).collect()  # one row per id in ``hot``
+    found = rows.where(ids.isin(hot)).groupBy(ids.alias("id")).agg(F.percentile_approx(start, shares, accuracy).alias("m")).collect()  # one row per id in ``hot``
     inner = F.lit(0)
     for row in found:
         inner = F.when(ids == row.id, _below(start, sorted(set(row.m)))).otherwise(inner)
@@ -126,6 +132,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     Each range is a window of its own; only the first row of each range, found before
     anything is signed, is looked up from the range before it.
     """
+    tasks = max(partitions(rows.sparkSession), rows.count() // TASK_ROWS)
     parted = with_range(rows)
     ids = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
@@ -135,7 +142,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     firsts = with_signature(least.groupBy("__before").agg(F.min("text").alias("text")), "text", "signature")
     firsts = firsts.select(F.col("__before").alias("__of"), F.struct("text", "signature").alias("__first"))
     following = F.lead(F.struct("text", "signature")).over(Window.partitionBy("__part").orderBy(*order))
-    joined = with_signature(parted, "text", "signature").withColumn("__lead", following).join(firsts, F.col("__part") == F.col("__of"), "left")
+    joined = with_signature(parted, "text", "signature").repartition(tasks, "__part").withColumn("__lead", following).join(firsts, F.col("__part") == F.col("__of"), "left")
     found = F.coalesce("__lead", "__first")
     return joined.select(*rows.columns, "signature", found["text"].alias("next_text"), found["signature"].alias("next_signature"))
 
