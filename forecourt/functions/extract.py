@@ -171,9 +171,9 @@ def listings_of_pages(pages: DataFrame, *, as_of_year: int, scraped_at: Column,
     else:
         step = step.withColumns({n: F.col(f"own.{n}") for n in ("year", "make", "model")})
     located = profile != "template"
-    out = step.select(
-        "dealer_name",
-        "dealer_website",
+    columns = [
+        F.col("dealer_name"),
+        F.col("dealer_website"),
         F.col("url").alias("vehicle_url"),
         F.coalesce("year", F.lit(as_of_year)).alias("year"),
         F.coalesce("make", F.lit("Unknown")).alias("make"),
@@ -184,9 +184,9 @@ def listings_of_pages(pages: DataFrame, *, as_of_year: int, scraped_at: Column,
         drive(text).alias("drivetrain"),
         transmission(text).alias("transmission"),
         body_style(text).alias("body_style"),
-        "f.prices.msrp",
-        "f.prices.sale_price",
-        "f.prices.total_price",
+        F.col("f.prices.msrp"),
+        F.col("f.prices.sale_price"),
+        F.col("f.prices.total_price"),
         F.lit("USD").alias("currency"),
         F.lit(None).cast("string").alias("price_note"),
         vin(text, value("vin")).alias("vin"),
@@ -202,5 +202,7 @@ def listings_of_pages(pages: DataFrame, *, as_of_year: int, scraped_at: Column,
         F.col("f.features").alias("features"),
         F.col("f.images").alias("images"),
         scraped_at.cast("timestamp_ntz").alias("scraped_at"),
-    )
+    ]
+    # A generator of one row: what is built on a listing reads columns, not the cascades again.
+    out = step.select(F.inline_outer(F.array(F.struct(*columns))))
     return out if profile != "generic" else out.where("make != 'Unknown' or model != 'Unknown'")

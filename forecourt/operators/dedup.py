@@ -118,6 +118,11 @@ def latest_per_key(rows: DataFrame, key: str, time: str, *ties: str) -> DataFram
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def ranked(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows with their place within a key's group, so that a filter's order can be shown."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
 def distinct_in_order(values: Column) -> Column:
     """An array without repeats, first places kept."""
     return F.array_distinct(values)

@@ -298,8 +298,7 @@ _INT = f"CAST(trunc(TRY_CAST(replace({_first(patterns.PRICE)}, ',', '') AS DOUBL
 _VINS = f"upper({_first(patterns.VIN)})"
 for _name, _make, _sql in (
     ("x17_ev_words", lambda: {"ev": N.names_electric(F.col("body"))}, f"regexp_matches(body, '{patterns.ELECTRIC}') AS ev"),
-    ("x18_digits_price", lambda: {"price": N.digits_to_price(F.substring("body", 1, 30))}, "coalesce(TRY_CAST(regexp_replace(substr(body, 1, 30), '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
-    ("x18_digits_price_whole", lambda: {"price": N.digits_to_price(F.col("body"))}, "coalesce(TRY_CAST(regexp_replace(body, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
+    ("x18_digits_price", lambda: {"price": N.digits_to_price(F.col("body"))}, "coalesce(TRY_CAST(regexp_replace(body, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
     ("x18_digits_price_match", lambda: {"price": N.digits_to_price(text.first_group("body", patterns.PRICE))}, f"coalesce(TRY_CAST(regexp_replace({_first(patterns.PRICE)}, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS price"),
     ("x19_year", lambda: {"year": X.year_of(F.col("body"), YEAR)}, f"coalesce(CAST(nullif(regexp_extract(body, '{patterns.YEAR}', 1), '') AS INT), {YEAR}) AS year"),
     ("x23_vin_cascade", lambda: {"vin": X.vin(F.col("body"))}, f"{_VINS} AS vin"),
@@ -344,22 +343,22 @@ add("h1_json_ld", lambda spark, d: _facts(spark, d).select("page_id", F.try_vari
 
 
 def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Each page points to the page 7 ids further, in a cycle of 50."""
+    """All pages, each pointing to the page 7 ids further, in a cycle of 50."""
     pages = table(spark, d, "pages")
     other = pages.select(F.col("page_id").alias("o"), F.col("url").alias("next_url"))
     edges = pages.join(other, F.floor(F.col("page_id") / 50) * 50 + (F.col("page_id") + 7) % 50 == F.col("o")).select("url", "next_url")
-    return pages.where("page_id % 25 = 0").select(F.col("page_id").alias("id"), "url"), edges
+    return pages.select(F.col("page_id").alias("id"), "url"), edges
 
 
 def h11(spark: SparkSession, d: str) -> DataFrame:
     starts, edges = _chain(spark, d)
-    return pages_plan.follow(starts, edges, 5)
+    return pages_plan.follow(starts, edges)
 
 
 add(
     "h11_next_closure",
     h11,
-    "WITH RECURSIVE edges AS (SELECT p.url, o.url AS next_url FROM pages p JOIN pages o ON p.page_id // 50 * 50 + (p.page_id + 7) % 50 = o.page_id), chain AS (SELECT page_id AS id, 0 AS level, url, [url] AS seen FROM pages WHERE page_id % 25 = 0 UNION ALL SELECT id, level + 1, next_url, list_append(seen, next_url) FROM chain JOIN edges USING (url) WHERE level < 5 AND NOT list_contains(seen, next_url)) SELECT id, level, url FROM chain WHERE level > 0",
+    "WITH RECURSIVE edges AS (SELECT p.url, o.url AS next_url FROM pages p JOIN pages o ON p.page_id // 50 * 50 + (p.page_id + 7) % 50 = o.page_id), chain AS (SELECT page_id AS id, 0 AS level, url, [url] AS seen FROM pages UNION ALL SELECT id, level + 1, next_url, list_append(seen, next_url) FROM chain JOIN edges USING (url) WHERE level < 50 AND NOT list_contains(seen, next_url)) SELECT id, level, url FROM chain WHERE level > 0",
 )
 # The real operator: every page, the default of 50 steps, links read from html. No SQL: it cannot read them.
 add("h11_next_closure_all", lambda spark, d: pages_plan.next_closure(table(spark, d, "pages").select(F.col("page_id").alias("id"), "url"), table(spark, d, "pages")))

@@ -4,21 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import slug
 from ..functions.extract import listings_of_pages
 from ..operators import dedup, quality, stats
 from ..operators.filters import FilterSpec, filter_listings, remaining
 from ..operators.lookups import unknown_sites
-from ..operators.robots import allowed_pages
+from ..operators.robots import allowed_pages, url_host
 from ..schema import is_constructible
+from .pages import details, listing_urls, summaries
+
+#: Tells listings of pages apart: by address, then by what the page says.
+PAGE_ORDER = ("vehicle_url", "scraped_at", "vin", "stock_number", "year", "make", "model", "msrp")
 
 Site = Callable[[DataFrame], DataFrame]
 _SITES: dict[str, Site] = {}
 
 
+@dataclass(frozen=True)
+class SitePlan:
+    """The three points where a site may differ, each with the general way as its default.
+
+    ``urls``: (dealers, pages) to (id, url) of list pages; ``cards``: list pages (url, html,
+    base) to (page_url, detail_url, title, price); ``details``: detail pages (url, html,
+    dealer_name, dealer_website, city) to listings. A plan is a plug-in: called with captured
+    pages (url, html, dealer_name, dealer_website, city) it goes from one to the next.
+    """
+
+    details: Callable[[DataFrame], DataFrame]
+    urls: Callable[[DataFrame, DataFrame], DataFrame] = listing_urls
+    cards: Callable[[DataFrame], DataFrame] = summaries
+
+    def __call__(self, pages: DataFrame) -> DataFrame:
+        dealers = pages.select(F.col("dealer_name").alias("id"), F.col("dealer_website").alias("website"), F.lit(None).cast("string").alias("new_inventory_url")).distinct()
+        wanted = self.urls(dealers, pages).select(F.col("url").alias("__url")).distinct()
+        found = self.cards(pages.join(wanted, F.col("url") == F.col("__url"), "left_semi").withColumn("base", F.col("dealer_website")))
+        return self.details(details(found, pages))
+
+
+@dataclass(frozen=True)
+class _Dealer:
+    """A plug-in made from a row of the dealer dimension."""
+
+    name: str
+    website: str
+    city: str | None
+    extract: Site
+
+    def __call__(self, pages: DataFrame) -> DataFrame:
+        return _of_dealers(pages, [self])
+
+
+def _of_dealers(pages: DataFrame, dealers: Sequence[_Dealer]) -> DataFrame:
+    """One join of the pages with all the dealers, by host; a page belongs to the dealer whose address it starts with."""
+    side = pages.sparkSession.createDataFrame([(d.name, d.website, d.city) for d in dealers], "dealer_name string, dealer_website string, city string")
+    side = side.withColumn("__host", url_host("dealer_website"))
+    rows = pages.select("url", "html").join(F.broadcast(side), (url_host("url") == F.col("__host")) & F.startswith("url", F.col("dealer_website"))).drop("__host")  # named by the caller, so few
+    return dealers[0].extract(rows)
+
+
 def register_site(name: str, extract: Site) -> None:
     """A plug-in from captured pages to listings; the last one of a name counts."""
     _SITES[name] = extract
@@ -30,16 +78,10 @@ def sites() -> list[str]:
 
 def register_dealers(dealers: DataFrame, *, as_of_year: int, scraped_at: Column, profile: str = "generic") -> list[str]:
     """A plug-in for each dealer of a (small) dimension, under its slug."""
-    from ..functions.columns import slug
-
+    extract = partial(listings_of_pages, as_of_year=as_of_year, scraped_at=scraped_at, profile=profile)
     names = []
     for row in dealers.select(slug("name").alias("slug"), "name", "website", "city").collect():
-
-        def extract(pages: DataFrame, row=row) -> DataFrame:
-            own = pages.where(F.startswith("url", F.lit(row.website))).withColumns({"dealer_name": F.lit(row.name), "dealer_website": F.lit(row.website), "city": F.lit(row.city)})
-            return listings_of_pages(own, as_of_year=as_of_year, scraped_at=scraped_at, profile=profile)
-
-        register_site(row.slug, extract)
+        register_site(row.slug, _Dealer(row.name, row.website, row.city, extract))
         names.append(row.slug)
     return names
 
@@ -81,12 +123,20 @@ def run_pages(pages: DataFrame, dealers: DataFrame, done: DataFrame, spec: Filte
     fetched = allowed_pages(pages, rules) if rules is not None else pages
     side = left.select(F.col("id").alias("__id"), F.col("name").alias("dealer_name"), F.col("website").alias("dealer_website"), "city")
     rows = fetched.join(side, F.col("dealer_id") == F.col("__id")).drop("__id")
-    return run_listings(listings_of_pages(rows, as_of_year=as_of_year, scraped_at=scraped_at, profile=profile), ("vehicle_url",), spec, as_of_year=as_of_year)
+    return run_listings(listings_of_pages(rows, as_of_year=as_of_year, scraped_at=scraped_at, profile=profile), PAGE_ORDER, spec, as_of_year=as_of_year)
 
 
 def run_sites(pages: DataFrame, names: Sequence[str], spec: FilterSpec | None = None, *, as_of_year: int) -> Result:
-    """Entry B: the named plug-ins over captured pages; an unknown name is an error."""
+    """Entry B: the named plug-ins over captured pages; an unknown name is an error.
+
+    Plug-ins of dealers that were registered together read the pages once.
+    """
     unknown = unknown_sites(names, sites())
     if unknown:
         raise ValueError(f"unknown sites {unknown}; known are {sites()}")
-    return run_listings(dedup.union_sites(*[_SITES[n](pages) for n in names]), ("vehicle_url",), spec, as_of_year=as_of_year)
+    together: dict[int, list[_Dealer]] = {}
+    others = []
+    for site in (_SITES[n] for n in names):
+        together.setdefault(id(site.extract), []).append(site) if isinstance(site, _Dealer) else others.append(site)
+    found = [site(pages) for site in others] + [_of_dealers(pages, group) for group in together.values()]
+    return run_listings(dedup.union_sites(*found), PAGE_ORDER, spec, as_of_year=as_of_year)

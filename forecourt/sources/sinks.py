@@ -34,7 +34,7 @@ def csv_row(listings: DataFrame) -> DataFrame:
 def write_csv(listings: DataFrame, path: str, mode: str = "overwrite", single: bool = False) -> None:
     """K2: CSV with a header, also for no rows; one file only if asked for."""
     rows = csv_row(listings)
-    (rows.coalesce(1) if single or rows.isEmpty() else rows).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    (rows.coalesce(1) if single else rows).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_rows(listings: DataFrame) -> DataFrame:
@@ -48,34 +48,50 @@ def write_jsonl(listings: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def json_document(listings: DataFrame, timestamp: str, source: str = "multi-dealership", pretty: bool = True) -> DataFrame:
-    """K1: one row, ``value``: {metadata, cars}, with one car a line if pretty.
+    """K1: ``value``: a document {metadata, cars} for each partition of the rows, with one car a line if pretty.
 
-    The document is one value by nature, so it is only for results that one task can hold;
-    larger ones are written as JSON lines.
+    A document is one value by nature, so each holds what a task holds and counts its own
+    cars; a single one is ``listings.coalesce(1)``. Readers take all documents of a folder.
     """
-    cars = json_rows(listings).agg(F.collect_list(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("cars"))
+    rows = json_rows(listings).select(F.spark_partition_id().alias("part"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("car"))
+    cars = rows.groupBy("part").agg(F.collect_list("car").alias("cars"))
     meta = F.to_json(F.struct(F.lit(timestamp).alias("timestamp"), F.size("cars").alias("total_listings"), F.lit(source).alias("source")))
     line = "\n" if pretty else ""
     return cars.select(F.concat(F.lit('{"metadata":'), meta, F.lit(f',"cars":[{line}'), F.array_join("cars", f",{line}"), F.lit(f"{line}]}}")).alias("value"))
 
 
-def write_json(listings: DataFrame, path: str, timestamp: str, pretty: bool = True) -> None:
-    json_document(listings, timestamp, pretty=pretty).write.mode("overwrite").text(path)
+def write_json(listings: DataFrame, path: str, timestamp: str, pretty: bool = True, mode: str = "overwrite") -> None:
+    """One document a file, since a document spans lines."""
+    documents = json_document(listings, timestamp, pretty=pretty)
+    documents.repartition(max(1, listings.rdd.getNumPartitions()), "value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
-def save(listings: DataFrame, path: str, format: str | None = None, timestamp: str = "1970-01-01T00:00:00") -> None:
+def write_state(listings: DataFrame, done: DataFrame, path: str) -> None:
+    """S2's counterpart: documents {completed_dealerships, scraped_listings}; names and rows in documents of their own."""
+    cars = json_rows(listings).select(F.spark_partition_id().alias("part"), F.struct(*COLUMNS).alias("car")).groupBy("part").agg(F.collect_list("car").alias("scraped_listings"))
+    names = done.select(F.spark_partition_id().alias("part"), F.col("name")).groupBy("part").agg(F.collect_list("name").alias("completed_dealerships"))
+    text = lambda rows: rows.select(F.to_json(F.struct("*")).alias("value"))
+    text(names.drop("part")).union(text(cars.drop("part"))).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def save(listings: DataFrame, path: str, format: str | None = None, timestamp: str = "1970-01-01T00:00:00", mode: str = "overwrite") -> None:
     """K4: by format, or by the path's ending: .csv, .jsonl (lines, Q9), anything else JSON."""
     kind = format if format and format != "auto" else "csv" if path.endswith(".csv") else "jsonl" if path.endswith(".jsonl") else "json"
     if kind == "csv":
-        write_csv(listings, path)
+        write_csv(listings, path, mode)
     elif kind == "jsonl":
-        write_jsonl(listings, path)
+        write_jsonl(listings, path, mode)
     elif kind == "json":
-        write_json(listings, path, timestamp)
+        write_json(listings, path, timestamp, mode=mode)
     else:
         raise ValueError(f"unknown format {kind!r}")
 
 
+def append(listings: DataFrame, path: str, format: str | None = None, timestamp: str = "1970-01-01T00:00:00") -> None:
+    """K5: put rows behind what a path holds, as further files (CSV, lines) or documents; nothing is rewritten."""
+    save(listings, path, format, timestamp, mode="append")
+
+
 def count_saved(spark: SparkSession, path: str, format: str) -> int:
     """K7: rows in an output."""
     if format == "csv":

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import vin_key
+from ..schema import LISTING
 
 
 def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
@@ -50,8 +51,21 @@ def ingest_pages(pages: DataFrame, state: str, checkpoint: str, extract: Callabl
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _held(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the state; empty if there is none yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def completed(spark: SparkSession, state: str) -> DataFrame:
-    return spark.read.schema("name string, batch long").parquet(f"{state}/done").select("name").distinct()
+    return _held(spark, f"{state}/done", "name string, batch long").select("name").distinct()
+
+
+def gathered(spark: SparkSession, state: str) -> DataFrame:
+    """The listings so far."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING)
+    return _held(spark, f"{state}/listings", f"{columns}, batch long").drop("batch")
 
 
 def clear(spark: SparkSession, state: str) -> None:
