@@ -198,3 +198,53 @@ def test_dealers(spark, tmp_path):
     (tmp_path / "e.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError, match="header"):
         dealers.read_dealers(spark, str(tmp_path / "e.csv"))
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    """Listings to listings, with settings, an explicit option on top, appending, and what goes wrong."""
+    from forecourt.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    cars = [{"vehicle_url": f"https://d.net/{k}", "vin": f"1HGCM82X00000{k:04}".replace("0000", "4444"), "fuel_type": "electric", "msrp": 20000.0 + 10000 * k, "mileage": 10} for k in range(5)]
+    at = lambda name: str(tmp_path / name)  # noqa: E731 - Spark has a working folder of its own
+    sinks.save(rows(spark, *cars), at("in.csv"))
+    assert main(["--create-config", "c.json"]) == 0
+    assert main(["--as-of-year", "2024"]) == 2
+    assert main(["--input", at("in.csv"), "--as-of-year", "2024", "--config", "none.json"]) == 1
+    args = ["--input", at("in.csv"), "--as-of-year", "2024", "--config", "c.json", "--output", at("out.jsonl"), "--log-file", "run.log"]
+    assert main([*args, "--max-price", "35000"], spark) == 0
+    assert sinks.count_saved(spark, at("out.jsonl"), "jsonl") == 2
+    assert main([*args, "--append"], spark) == 0
+    assert sinks.count_saved(spark, at("out.jsonl"), "jsonl") == 2 + 5
+    assert "5 kept" in (tmp_path / "run.log").read_text()
+
+
+def test_command_line_of_pages(spark, tmp_path, monkeypatch):
+    from forecourt.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "d.csv").write_text("id,name,base_url,city\na,A,https://a.net,Portland\nb,B,https://b.net,X\n")
+    spark.createDataFrame([("https://a.net/v/1", PAGE), ("https://b.net/v/1", PAGE), ("https://a.network/v/1", PAGE)], "url string, html string").write.parquet(at("pages"))
+    args = ["--pages", at("pages"), "--dealers", at("d.csv"), "--as-of-year", "2024", "--output", at("out.csv"), "--include-used"]
+    assert main(args, spark) == 0 and sinks.count_saved(spark, at("out.csv"), "csv") == 2
+    assert main([*args, "--site", "b"], spark) == 0 and sinks.count_saved(spark, at("out.csv"), "csv") == 1
+    with pytest.raises(ValueError, match="unknown sites"):
+        main([*args, "--site", "zzz"], spark)
+
+
+def test_rows_equal_in_their_order(spark):
+    """Of rows that the order does not tell apart one stays; a key that holds most rows is no matter."""
+    df = rows(spark, *[{"vin": "A", "stock_number": "7"}] * 30, {"vin": None, "vehicle_url": "https://d.net/2", "stock_number": "8"}, {"vin": "", "vehicle_url": "https://d.net/2", "stock_number": "9"})
+    assert sorted(r.stock_number for r in dedup.deduplicate(df, ["stock_number"]).collect()) == ["7", "8"]
+    assert sorted(r.stock_number for r in dedup.deduplicate_by_vin(df, ["stock_number"]).collect()) == ["7", "8", "9"]
+    assert dedup.dedup_stats(df, ["stock_number"]).first().total == 32
+    assert dedup.deduplicate(df.limit(0), ["stock_number"]).count() == 0
+
+
+def test_empty_outputs(spark, tmp_path):
+    nothing = rows(spark, {}).limit(0)
+    for kind in ("csv", "json", "jsonl"):
+        sinks.save(nothing, str(tmp_path / f"x.{kind}"))
+        assert sinks.count_saved(spark, str(tmp_path / f"x.{kind}"), kind) == 0
+    assert listings.read_csv(spark, str(tmp_path / "x.csv"), as_of_year=2024).count() == 0
