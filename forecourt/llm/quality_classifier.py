@@ -9,9 +9,10 @@ factors that are computed once.
 
 Defined cases: a null or empty text has the zero vector and is scored like any other;
 a null doc_id is in no fold and matches no label; several labels of a document count as
-often as they occur, null labels do not; without labels of both kinds every score is
-the share of label 1 (0.5 without any); an empty table gives no rows; only the id and
-the text are read.
+often as they occur, null labels do not; repeated rows train as often as they occur and
+are scored alike; very long texts are measured whole; a score equal to the cutoff is good;
+without labels of both kinds every score is the share of label 1 (0.5 without any); an
+empty table gives no rows; only the id and the text are read.
 """
 
 from __future__ import annotations

@@ -148,6 +148,60 @@ def test_language_model(spark, docs, empty, monkeypatch):
     assert language_model.score_documents(empty).count() == 0
 
 
+def brute_score(model, text, counts):
+    """A text's log10 probability token by token: one query, its own context, no batches, no masks."""
+    m, a = language_model, model.attention
+    ids, sizes = (x[0] for x in m.token_ids([m.words_of(text)]))
+    stream = [m._BLANK, *ids[:-1].tolist()]
+    at = lambda i: a.by_class[a.classes[i]] + a.by_id[i]
+    logs, starts = [], []
+    for t, target in enumerate(ids.tolist()):
+        seen = stream[max(0, (t // m.STRIDE - 1) * m.STRIDE) : t + 1]
+        x = at(stream[t])
+        weights = np.array([x @ a.query @ (at(i) @ a.key) / np.sqrt(m.WIDTH) + a.distance[len(seen) - 1 - k] for k, i in enumerate(seen)])
+        weights = np.exp(weights - weights.max())
+        context = sum(w * (at(i) @ a.value) for w, i in zip(weights / weights.sum(), seen))
+        logits = np.concatenate([context, x]) @ a.out + a.bias
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        before = int(a.classes[stream[t]])
+        logs.append(np.log10(p[a.classes[target]]) + model.inside[before, target])
+        starts.append(np.log10(p @ model.starting[before]))
+    total, place = 0.0, 0
+    for word, n in [*zip(m.words_of(text), sizes.tolist()), (None, 1)]:
+        attended = sum(logs[place : place + n]) - starts[place] + (starts[place + n] if word is not None else 0.0)
+        share = (counts[word] + 1) / 10**model.each
+        total += np.log10(model.share * share + (1 - model.share) * 10.0**attended)
+        place += n
+    return total
+
+
+def test_scores_against_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "STEPS", 40)
+    monkeypatch.setattr(language_model, "MOST_WORDS", 20)
+    counts = Counter(w for i, t, _ in ROWS if i is not None and crc(i) % 7 != 2 for w in [*language_model.words_of(t), None])
+    models, trained = [], language_model.train
+    monkeypatch.setattr(language_model, "train", lambda d: (models.append(trained(d)), models[-1])[1])
+    got = language_model.score_documents(docs).collect()
+    texts = {i: t for i, t, _ in ROWS}
+    for r in got:
+        assert r.score == pytest.approx(brute_score(models[0][0], texts[r.doc_id], counts), rel=1e-3, abs=1e-2)
+
+
+def test_training_helps(spark, monkeypatch):
+    """Held-out texts are likelier after training than before."""
+    r = random.Random(15)
+    rows = [(i, text_of("en", r, 150)) for i in range(150)]
+    df = spark.createDataFrame(rows, EMPTY)
+    model, _ = language_model.train(df)
+    held = [language_model.words_of(t) for i, t in rows if crc(i) % 7 == 2]
+    ids, _ = language_model.token_ids(held)
+    fresh = language_model.Attention.fresh(model.attention.classes)
+    before = language_model.Model(fresh, model.inside, model.starting, model.words, model.tokens, model.distinct, model.ends)
+    after, untrained = (language_model.score_ids(ids, m, m.attention.tables())[0].mean() for m in (model, before))
+    assert after > untrained + 0.05
+
+
 def test_words_share_a_probability():
     """The windows score each token once, and class shares add up."""
     ids = [np.arange(5), np.arange(40), np.array([language_model.END])]
@@ -576,6 +630,26 @@ def test_quality_classifier(spark, empty, labels):
     assert by_id(quality_classifier.score_documents(docs, labels.limit(0)))[0].score == 0.5
 
 
+def test_quality_classifier_against_brute_force(spark):
+    """Scores from plain class moments and densities; repeated rows and clashing columns are no matter."""
+    r = random.Random(11)
+    rows = [(i, text_of("en", r, 40 + i) + "#!" * (r.random() < 0.7 if i % 3 == 0 else r.random() < 0.2), int(i % 3 > 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t, _ in rows] + [(5, rows[5][1], "y", 2.0)] * 3, "doc_id long, text string, features string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, 1), (None, 0), (8, None)], "doc_id long, quality int")
+    named = [(i, t, y) for i, t, y in [*rows, *[rows[5]] * 3, rows[7]] if crc(i) % 5]
+    x, y = np.array([quality_classifier.features(t) for _, t, _ in named]), np.array([y for *_, y in named])
+    width, scale, parts = x.shape[1], x.var(0).clip(1e-6), []
+    for k in (0, 1):
+        own = x[y == k]
+        shrink = max(0.1, width / (width + len(own)))
+        cov = (1 - shrink) * np.cov(own.T, bias=True) + shrink * np.diag(scale) + 1e-6 * np.eye(width)
+        parts.append((own.mean(0), np.linalg.inv(cov), np.log(len(own) / len(y)) - 0.5 * np.linalg.slogdet(cov)[1]))
+    for row in quality_classifier.score_documents(docs, labels).collect():
+        v = np.array(quality_classifier.features(rows[row.doc_id][1]))
+        bad, good = (c - 0.5 * (v - m) @ inverse @ (v - m) for m, inverse, c in parts)
+        assert row.score == pytest.approx(1 / (1 + np.exp((bad - good) / width)), abs=1e-6) and row.predicted == int(row.score >= 0.3)
+
+
 # 9
 
 
