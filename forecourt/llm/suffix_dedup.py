@@ -17,10 +17,15 @@ Neighbouring windows with one anchor are a segment; segments are found in one pa
    from the anchor, which windows agree to the right, and hashes of the bytes before the
    anchor which agree to the left.
 
-Anchors with more than HOT different segments are not merged in one task: the windows of
-those are counted by a 128-bit hash in a partial aggregation. Whole segments are equal by
-two independent 64-bit hashes (of the anchor's gram, of all bytes) and their shape, so
-equality is decided by 128 bits in both ways.
+Anchors with more than HOT different segments are not merged in one task. Their segments are
+cut into BANDS of windows by the distance to the anchor. All windows of a band contain one
+core of bytes around the anchor, so equal ones have equal cores, and the hash of the core
+replaces the anchor's: the parts are segments again and go the same way. The bands get
+narrower until no group is larger than HOT; in the last one a part is a single window, and
+parts of one core are equal as a whole.
+
+Segments are equal as a whole by two independent 64-bit hashes (of the anchor's gram or the
+core, and of all bytes) and their shape.
 
 Frequent keys never meet in one task: in every join with counts, keys that hold more than
 one in FREQUENT rows, which are fewer than FREQUENT, are broadcast; the others are shuffled.
@@ -46,6 +51,8 @@ from xxhash import xxh3_64_intdigest
 from .common import durable, partitions
 
 LEAST, K, HOT, STRETCH = 200, 50, 4000, 1 << 18
+#: Widths of the bands of windows into which the segments of hot anchors are cut, one after the other.
+BANDS = (38, 10, 3, 1)
 FREQUENT = 1000
 #: Low bits of an anchor's sort key that hold its place, the same for texts of every length.
 PLACE_BITS = (STRETCH + LEAST).bit_length()
@@ -304,26 +311,31 @@ def compared(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return runs.groupBy("part").applyInArrow(merge_runs, "rid long, start long, stop long")
 
 
-def counted(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The same for anchors with very many different segments: windows counted by 128-bit hashes."""
-    by_row = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "shape")).alias("items")).withColumnRenamed("rid", "r")
+def parted(segments: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rid, h, c, at, shape) of the parts of segments whose windows lie in one band of ``width`` distances."""
+    by_row = segments.groupBy("rid").agg(F.collect_list(F.struct("h", "at", "shape")).alias("items")).withColumnRenamed("rid", "r")
     rows = _rows(docs).join(by_row, F.col("rid") == F.col("r")).select("rid", "data", "items")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple[int, int, int, int, int]] = []
             for rid, data, items in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = sorted({p for i in items for p in range(i["at"], i["at"] + (i["shape"] >> 8) + 1)})
-                for k in range(0, len(starts), 50_000):
-                    own = starts[k : k + 50_000]
-                    digests = [xxh3_128_intdigest(data[p : p + LEAST]) for p in own]
-                    signed = [np.array([d >> s & _MASK for d in digests], np.uint64).view(np.int64) for s in (0, 64)]
-                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(own, pa.int64()), *map(pa.array, signed)], ["rid", "start", "x", "y"])
-
-    found = durable(rows.mapInArrow(windows, "rid long, start long, x long, y long"), "windows")
-    repeated = durable(found.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    return with_count(found, repeated, "x", "y").select("rid", "start", (F.col("start") + LEAST).alias("stop"))
+                for item in items:
+                    windows, off = (item["shape"] >> 8) + 1, item["shape"] & 255
+                    anchor = item["at"] + off
+                    for band in range((off - windows + 1) // width, off // width + 1):
+                        near, far = band * width, band * width + width - 1
+                        core = data[anchor - near : anchor - far + LEAST]
+                        low, high = max(near, off - windows + 1), min(far, off)
+                        part = data[anchor - high : anchor - low + LEAST]
+                        name = item["h"].to_bytes(8, "little", signed=True) + bytes([band])
+                        out.append((rid, xxh3_64_intdigest(name + core), xxh3_64_intdigest(part, len(part)), anchor - high, (high - low) * 256 + high))
+            if out:
+                rids, h, c, at, shape = zip(*out)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), signed(h), signed(c), pa.array(at, pa.int64()), pa.array(shape, pa.int32())], ["rid", "h", "c", "at", "shape"])
+
+    return rows.mapInArrow(cut, "rid long, h long, c long, at long, shape int")
 
 
 def with_count(rows: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
@@ -339,17 +351,28 @@ def with_count(rows: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
     return rows.join(frequent, on).unionByName(rest).select(*rows.columns, "n")
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(rid, spans): byte ranges (start, stop) that cover what repeats, in any order."""
-    found = durable(anchored(docs), "segments")
+def judged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of segments (rid, h, c, at, shape): the spans of whole repeats, and one of each kind that shares its anchor (h, m: kinds of it)."""
     twice = durable(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     shared = durable(with_count(found, twice, "h").drop("n"), "shared")
-    kinds = durable(shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "shape")).alias("one")), "kinds")
-    whole = with_count(shared, kinds.where("n > 1").select("h", "c", "n"), "h", "c")
+    kinds = durable(shared.groupBy("h", "c", "shape").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "kinds")
+    whole = with_count(shared, kinds.where("n > 1").select("h", "c", "shape", "n"), "h", "c", "shape")
     whole = whole.select("rid", F.col("at").alias("start"), (F.col("at") + F.shiftright("shape", 8) + LEAST).alias("stop"))
     several = durable(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    wanted = durable(with_count(kinds.select("h", "one"), several, "h").select("h", F.col("n").alias("m"), "one.*"), "wanted")
-    spans = whole.union(compared(wanted.where(F.col("m") <= hot), docs)).union(counted(wanted.where(F.col("m") > hot), docs))
+    return whole, durable(with_count(kinds.select("h", "shape", "one"), several, "h").select("h", F.col("n").alias("m"), "one.*", "shape"), "wanted")
+
+
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(rid, spans): byte ranges (start, stop) that cover what repeats, in any order."""
+    found, spans = durable(anchored(docs), "segments"), None
+    for width in (*BANDS, None):
+        whole, wanted = judged(found)
+        more = whole.union(compared(wanted.where(F.col("m") <= hot), docs))
+        spans = more if spans is None else spans.union(more)
+        over = wanted.where(F.col("m") > hot)
+        if width is None or over.isEmpty():
+            break
+        found = durable(parted(over, docs, width), "parts")
     # Rows equal in id and text have one rid: their equal spans are told once.
     return spans.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 

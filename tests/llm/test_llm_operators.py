@@ -667,7 +667,7 @@ def brute_strip(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 0])
+@pytest.mark.parametrize("hot", [4000, 2, 0])
 def test_suffix_dedup(docs, empty, hot):
     want = Counter(zip((i for i, _, _ in ROWS), brute_strip(TEXTS)))
     got = Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.strip_documents(docs, hot).collect())
@@ -677,6 +677,18 @@ def test_suffix_dedup(docs, empty, hot):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+@pytest.mark.parametrize("hot", [3, 10])
+def test_hot_anchors_in_parts(spark, hot):
+    """One passage of 230 bytes in 25 different surroundings: its anchors are cut into bands; other texts stay."""
+    r = random.Random(21)
+    fresh = lambda n: "".join(r.choice("mnopqr ") for _ in range(n))
+    passage = "".join(r.choice("abcdef ") for _ in range(230))
+    rows = [(i, fresh(r.randint(0, 300)) + passage[: 230 - i % 4 * 12] + fresh(r.randint(0, 300))) for i in range(25)] + [(90 + i, fresh(500)) for i in range(3)]
+    want = Counter(zip((i for i, _ in rows), brute_strip([t for _, t in rows])))
+    got = Counter((x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in suffix_dedup.strip_documents(spark.createDataFrame(rows, EMPTY).repartition(4), hot).collect())
+    assert got == want and any(n[1][1] for n in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.text("ab", max_size=6).map(str.encode), max_size=9), max_size=6))
 def test_loser_tree(lists):
