@@ -16,12 +16,12 @@ from ..operators.filters import FilterSpec
 from ..sources import config, sinks
 from ..sources import dealers as dealer_source
 from ..sources import listings as sources
+from ..sources.shared import scratch, stored
 from ..streaming import ingest
 from . import made_pages as M
 from . import pages as plan
 from . import pipeline
 from .catalogue import _L, YEAR, add
-from .streaming_queries import scratch
 from .views import KEYS, listings, table
 
 _C = f"WITH cars AS ({M.duckdb(M.CARS)}) "
@@ -139,8 +139,7 @@ def saved_as(kind: str, spark: SparkSession, d: str) -> DataFrame:
 
 def saved_counts(spark: SparkSession, d: str) -> DataFrame:
     home, rows = scratch(spark), []
-    extracted(spark, d).write.parquet(f"{home}/cars")
-    cars = spark.read.parquet(f"{home}/cars")
+    cars = stored(extracted(spark, d))
     for kind in ("csv", "json", "jsonl"):
         for times in (1, 2):
             sinks.append(cars, f"{home}/saved.{kind}")

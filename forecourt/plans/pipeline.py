@@ -16,6 +16,7 @@ from ..operators.filters import FilterSpec, filter_listings, remaining
 from ..operators.lookups import unknown_sites
 from ..operators.robots import allowed_pages, url_host
 from ..schema import is_constructible
+from ..sources.shared import stored
 from .pages import details, listing_urls, summaries
 
 #: Tells listings of pages apart: by address, then by what the page says.
@@ -118,12 +119,15 @@ def run_listings(listings: DataFrame, order: Sequence[str], spec: FilterSpec | N
 
 
 def run_pages(pages: DataFrame, dealers: DataFrame, done: DataFrame, spec: FilterSpec | None = None, *, as_of_year: int, scraped_at: Column, rules: DataFrame | None = None, profile: str = "generic") -> Result:
-    """Entry A: captured pages (dealer_id, url, html) of dealers that are not yet done."""
+    """Entry A: captured pages (dealer_id, url, html) of dealers that are not yet done.
+
+    Pages are parsed once: their listings are stored before duplicates are decided.
+    """
     left = remaining(dealers, done)
     fetched = allowed_pages(pages, rules) if rules is not None else pages
     side = left.select(F.col("id").alias("__id"), F.col("name").alias("dealer_name"), F.col("website").alias("dealer_website"), "city")
     rows = fetched.join(side, F.col("dealer_id") == F.col("__id")).drop("__id")
-    return run_listings(listings_of_pages(rows, as_of_year=as_of_year, scraped_at=scraped_at, profile=profile), PAGE_ORDER, spec, as_of_year=as_of_year)
+    return run_listings(stored(listings_of_pages(rows, as_of_year=as_of_year, scraped_at=scraped_at, profile=profile)), PAGE_ORDER, spec, as_of_year=as_of_year)
 
 
 def run_sites(pages: DataFrame, names: Sequence[str], spec: FilterSpec | None = None, *, as_of_year: int) -> Result:
@@ -139,4 +143,4 @@ def run_sites(pages: DataFrame, names: Sequence[str], spec: FilterSpec | None =
     for site in (_SITES[n] for n in names):
         together.setdefault(id(site.extract), []).append(site) if isinstance(site, _Dealer) else others.append(site)
     found = [site(pages) for site in others] + [_of_dealers(pages, group) for group in together.values()]
-    return run_listings(dedup.union_sites(*found), PAGE_ORDER, spec, as_of_year=as_of_year)
+    return run_listings(stored(dedup.union_sites(*found)), PAGE_ORDER, spec, as_of_year=as_of_year)

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import listings as sources
 from ..sources import sinks
+from ..sources.shared import scratch
 from ..streaming import ingest
 from .catalogue import SQL, YEAR
 from .views import listings, table
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="forecourt-")
-        atexit.register(shutil.rmtree, root, True)
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 def k5_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events appended to a table by a stream that reads what is there and stops."""
     home = scratch(spark)
