@@ -223,30 +223,33 @@ def overlapped(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int = 80, rate: float = 0.5, ridge: float = 0.05) -> Field:
     """Train on (text, toxic) rows, each one chain; ``marks``: the significant units, by default those of the rows."""
-    texts = [t or "" for t, _ in rows]
-    words = [_WORD.findall(t) for t in texts]
     toxic = np.array([y == 1 for _, y in rows], bool)
     if marks is None:
-        marks = significant_units([set(w) for w, y in zip(words, toxic) if y], [set(w) for w, y in zip(words, toxic) if not y])
-    empty = Field({}, -60.0, np.zeros((2, 2)), 0.0)
+        cut = [set(_WORD.findall(t or "")) for t, _ in rows]
+        marks = significant_units([w for w, y in zip(cut, toxic) if y], [w for w, y in zip(cut, toxic) if not y])
     if not marks:
-        return empty
+        return Field({}, -60.0, np.zeros((2, 2)), 0.0)
+    # Words become numbers text by text, and features are made anew where needed, so the sample stands in memory once.
     known: dict[str, int] = {}
-    flat = np.array([known.setdefault(w.lower(), len(known)) for ws in words for w in ws], np.int64)
-    of_word = [word_features(w) for w in known]
-    marked = np.array([any(f in marks for f in fs) for fs in of_word], bool)
-    owner = np.repeat(toxic, [len(w) for w in words])
+    numbered = [np.array([known.setdefault(w, len(known)) for w in map(str.lower, _WORD.findall(t or ""))], np.int32) for t, _ in rows]
+    tokens = np.array([len(x) for x in numbered])
+    flat = np.concatenate([*numbered, np.empty(0, np.int32)])
+    del numbered
+    often = Counter(f for w in known for f in word_features(w))
+    marked = np.array([not marks.isdisjoint(word_features(w)) for w in known], bool)
+    owner = np.repeat(toxic, tokens)
     gold = marked[flat] & owner
     if not gold.any():  # all marked words are as toxic as can be
         return Field({}, -4.0, np.zeros((2, 2)), 0.0, frozenset(marks), 8.0)
-    unseen = frozenset(marks.difference(*of_word))
-    names = {f: k for k, f in enumerate(f for f, n in Counter(f for fs in of_word for f in fs).items() if n > 1 or f in marks)}
+    unseen = frozenset(m for m in marks if m not in often)
+    names = {f: k for k, f in enumerate(f for f, n in often.items() if n > 1 or f in marks)}
+    del often
     pad = len(names)
-    slots = np.full((len(known), SLOTS), pad)
-    for k, fs in enumerate(of_word):
-        got = [names[f] for f in fs if f in names]
+    slots = np.full((len(known), SLOTS), pad, np.int32)
+    for k, w in enumerate(known):
+        got = [names[f] for f in word_features(w) if f in names]
         slots[k, : len(got)] = got
-    lengths = np.array([len(ws) for ws in words if ws])
+    lengths = tokens[tokens > 0]
     _, places = padded(np.zeros(len(flat)), lengths, 0.0)
     width = int(lengths.max())
     real = np.zeros(len(lengths) * width, bool)
@@ -274,11 +277,11 @@ def fit(rows: list[tuple[str, int]], marks: set[str] | None = None, rounds: int
         gradient[: pad + 1] = np.bincount(slots.ravel(), np.repeat(of_words, SLOTS), pad + 1)
         gradient[pad] = 0
         gradient[pad + 1] = error.sum()
-        right = np.exp(e[:, 1:].clip(-60, 60)) * backward[:, 1:]
+        right, left = np.exp(e[:, 1:].clip(-60, 60)) * backward[:, 1:], forward[:, :-1]
         t = np.exp(step)
-        joint = np.stack([np.broadcast_to(t[0, 0], right.shape), t[0, 1] * right, t[1, 0] * forward[:, :-1], t[1, 1] * forward[:, :-1] * right], -1)
-        joint = joint / joint.sum(-1, keepdims=True) * follows[..., None]
-        gradient[pad + 2 : pad + 6] = (want_step.ravel() - joint.sum((0, 1)))
+        share = follows / (t[0, 0] + t[0, 1] * right + t[1, 0] * left + t[1, 1] * left * right)
+        joint = [t[0, 0] * share.sum(), t[0, 1] * np.vdot(right, share), t[1, 0] * np.vdot(left, share), t[1, 1] * np.vdot(left * right, share)]
+        gradient[pad + 2 : pad + 6] = want_step.ravel() - joint
         gradient[-1] = (y[:, 0] - p[:, 0]).sum()
         gradient -= ridge * theta
         memory += gradient**2
