@@ -25,11 +25,11 @@ from .catalogue import _L, YEAR, add
 from .views import KEYS, listings, table
 
 _C = f"WITH cars AS ({M.duckdb(M.CARS)}) "
-_NOW = F.lit("2024-01-01 00:00:00")
+_now = lambda: F.lit("2024-01-01 00:00:00")  # noqa: E731 - a column needs a session
 
 
 def extracted(spark: SparkSession, sf_dir: str, profile: str = "generic") -> DataFrame:
-    return listings_of_pages(M.details(spark, sf_dir), as_of_year=YEAR, scraped_at=_NOW, profile=profile)
+    return listings_of_pages(M.details(spark, sf_dir), as_of_year=YEAR, scraped_at=_now(), profile=profile)
 
 
 def facts(spark: SparkSession, sf_dir: str, profile: str = "generic") -> DataFrame:
@@ -100,18 +100,18 @@ def entry_a(spark: SparkSession, d: str) -> DataFrame:
     done = M.dealers(spark, d).where("id % 4 = 0").select("name")
     hosts = M.lists(spark, d).select(robots.url_host("url").alias("host"), F.lit(_RULES).alias("robots"))
     pages = M.details(spark, d).select(F.col("s").alias("dealer_id"), "url", "html")
-    return pipeline.run_pages(pages, M.dealers(spark, d), done, _SPEC, as_of_year=YEAR, scraped_at=_NOW, rules=robots.parse_rules(hosts)).filtered.select("vehicle_url", "vin", "sale_price")
+    return pipeline.run_pages(pages, M.dealers(spark, d), done, _SPEC, as_of_year=YEAR, scraped_at=_now(), rules=robots.parse_rules(hosts)).filtered.select("vehicle_url", "vin", "sale_price")
 
 
 def entry_b(spark: SparkSession, d: str) -> DataFrame:
     """The plug-ins of registered dealers over all captured pages."""
-    names = pipeline.register_dealers(M.dealers(spark, d), as_of_year=YEAR, scraped_at=_NOW)
+    names = pipeline.register_dealers(M.dealers(spark, d), as_of_year=YEAR, scraped_at=_now())
     return pipeline.run_sites(_captured(spark, d).where("url like '%/vehicle/%'"), names, _SPEC, as_of_year=YEAR).filtered.select("vehicle_url", "vin", "sale_price")
 
 
 def site_plan(spark: SparkSession, d: str) -> DataFrame:
     """A site's plan from list pages over cards to details, with cards of its own."""
-    own = pipeline.SitePlan(details=partial(listings_of_pages, as_of_year=YEAR, scraped_at=_NOW), cards=partial(plan.summaries, profile="rendered"))
+    own = pipeline.SitePlan(details=partial(listings_of_pages, as_of_year=YEAR, scraped_at=_now()), cards=partial(plan.summaries, profile="rendered"))
     pipeline.register_site("own_plan", own)
     return own(_captured(spark, d)).select("vehicle_url", "vin")
 
@@ -188,7 +188,7 @@ def ingested(clear: bool, spark: SparkSession, d: str) -> DataFrame:
     home = scratch(spark)
     pages = M.details(spark, d).select("url", F.when(F.col("s") % 3 == 0, F.lit("")).otherwise(F.col("html")).alias("html"), "dealer_name", "dealer_website", "city")
     pages.write.parquet(f"{home}/pages")
-    extract = partial(listings_of_pages, as_of_year=YEAR, scraped_at=_NOW)
+    extract = partial(listings_of_pages, as_of_year=YEAR, scraped_at=_now())
     for _ in range(2):  # the second finds nothing new
         stream = spark.readStream.schema(pages.schema).parquet(f"{home}/pages")
         ingest.ingest_pages(stream, f"{home}/state", f"{home}/checkpoint", extract).awaitTermination()
