@@ -122,28 +122,28 @@ def by_keyword(node: Node, field: str, tag: str | None = None, part: str | None
     return [x for x in node.all(*([tag] if tag else []), part=part.lower() if part else None) if (t := x.joined()) and has_keyword(t, field)]
 
 
+#: Fixed: elements that label a value, and elements that may hold it when they follow.
+LABELS, VALUES = ("dt", "th", "label"), ("dd", "td", "span", "div")
+
+
+def _labelled(root: Node, field: str) -> Iterator[str]:
+    """What stands behind labels: all labels' next elements first, then the first cells of headers' rows."""
+    nothing = Node("", {}, None)
+    labels = [x for x in root.all(*LABELS) if has_keyword(x.joined(), field)]
+    yield from ((x.next_sibling(*VALUES) or nothing).joined() for x in labels)
+    yield from (((x.up("tr") or nothing).find("td") or nothing).joined() for x in labels if x.name == "th")
+
+
 def field_value(root: Node, field: str, text: str) -> str | None:
-    """X34: "label: value" in the text, else what follows a label element, else its row's first cell."""
+    """X34: "label: value" in the text, else what a labelling element labels."""
     words = KEYWORDS.get(field, ())
     if not words:
         return None
-    found = re.search(rf"({'|'.join(map(re.escape, words))})\s*:?\s*([^\n\r<]+)", text, re.IGNORECASE)
-    if found:
-        value = re.sub(r"\s+", " ", found[2].strip())
-        if value and value not in words:
-            return value
-    for label in root.all("dt", "th", "label"):
-        if has_keyword(label.joined(), field):
-            after = label.next_sibling("dd", "td", "span", "div")
-            if after is not None and (value := after.joined()):
-                return value
-    for label in root.all("th"):
-        row = label.up("tr")
-        if row is not None and has_keyword(label.joined(), field):
-            cell = row.find("td")
-            if cell is not None and (value := cell.joined()):
-                return value
-    return None
+    found = re.search(rf"(?:{'|'.join(map(re.escape, words))})\s*:?\s*([^\n\r<]+)", text, re.IGNORECASE)
+    written = re.sub(r"\s+", " ", found[1].strip()) if found else ""
+    if written and written not in words:
+        return written
+    return next(filter(None, _labelled(root, field)), None)
 
 
 # List pages.
@@ -244,6 +244,7 @@ def list_cards(html: str | None, base: str, profile: str = "generic") -> list[tu
 
 # Prices of a detail page.
 
+#: Fixed: the kinds of prices in the order in which they are tried, and the words around them.
 _CONTEXTS = (("msrp", ("msrp", "manufacturer", "sticker", "retail")), ("sale", ("sale", "our price", "internet", "e-price", "dealer price", "special")), ("total", ("total", "final", "out the door", "otd")))
 
 
@@ -264,21 +265,15 @@ def price_triple(text: str, elements: list[str] | None = None, compat: bool = Fa
                 spans += [(float(value), m.start(), m.end()) for m in re.finditer(rf"\$\s*{re.escape(str(value))}", text)]
     else:
         spans = [(v, m.start(), m.end()) for m in _PRICE.finditer(text) if (v := float(int(float(m[1].replace(",", ""))))) > 0]
-    found: dict[str, float | None] = {"msrp": None, "sale": None, "total": None}
+    by_kind: dict[str, list[float]] = {"msrp": [], "sale": [], "total": []}
     for value, start, end in spans:
         around = text[max(0, start - 50) : end + 50].lower()
         kind = next((k for k, words in _CONTEXTS if any(w in around for w in words)), None)
-        if kind == "msrp":
-            found["msrp"] = max(found["msrp"] or value, value)
-        elif kind == "sale":
-            found["sale"] = min(found["sale"] or value, value)
-        elif kind == "total":
-            found["total"] = value
-        elif found["sale"] is None:
-            found["sale"] = value
-    if found["total"] is None and found["sale"]:
-        found["total"] = found["sale"]
-    return found["msrp"], found["sale"], found["total"]
+        if kind or not by_kind["sale"]:  # an amount of no kind counts as a sale price if it is the first
+            by_kind[kind or "sale"].append(value)
+    msrp, sale = max(by_kind["msrp"], default=None), min(by_kind["sale"], default=None)
+    total = by_kind["total"][-1] if by_kind["total"] else None
+    return msrp, sale, sale if total is None and sale else total
 
 
 # Facts of a detail page.
@@ -383,8 +378,11 @@ def facts(html: str | None, base: str, address: str, profile: str = "generic") -
 
 # Pagination.
 
+#: Fixed: texts of next links, parts of addresses that count pages, and the addresses of counted pages.
 NEXT_WORDS = ("next", ">", "»", "more", "show more")
 PAGE_MARKS = ("page=", "p=", "/page/", "/p/", "?page", "&page")
+PAGE_SHAPES = ("{stem}?page={n}", "{stem}?p={n}", "{stem}/page/{n}", "{stem}/p/{n}")
+MOST_PAGES = 50
 
 
 def _is_pager(link: Node) -> bool:
@@ -399,11 +397,7 @@ def _is_pager(link: Node) -> bool:
 def page_links(html: str | None, address: str) -> list[str]:
     """Addresses of the other pages of a list: numbered and next links, pager links, and, where
     the address counts pages, the synthetic ones of pages 2 to 50."""
-    root, out = parse(html), []
-
-    def add(full: str) -> None:
-        if full not in out and full != address:
-            out.append(full)
+    links = [(a, a.attributes["href"], a.joined()) for a in parse(html).all("a") if "href" in a.attributes]
 
     def resolved(href: str) -> str | None:
         try:
@@ -411,27 +405,20 @@ def page_links(html: str | None, address: str) -> list[str]:
         except ValueError:
             return None
 
-    links = [a for a in root.all("a")]
-    for link in links:
-        href, text = link.attributes.get("href"), link.joined()
-        if href is None or (full := resolved(href)) is None:
-            continue
-        if text.isdigit() and text.isascii() and 1 <= int(text) <= 200 and any(m in href.lower() for m in PAGE_MARKS):
-            add(full)
-        if text.lower() in NEXT_WORDS:
-            add(full)
-    for link in links:
-        href = link.attributes.get("href", "")
-        if href and _is_pager(link) and (full := resolved(href)) and full.startswith(("http://", "https://")) and not any(p in full.lower() for p in OTHER_PARTS[:-1]):
-            add(full)
-    parsed = urlparse(address)
+    def numbered(href: str, text: str) -> bool:
+        return text.isdigit() and text.isascii() and 1 <= int(text) <= 200 and any(m in href.lower() for m in PAGE_MARKS)
+
+    def other_list(full: str) -> bool:
+        return full.startswith(("http://", "https://")) and not any(p in full.lower() for p in OTHER_PARTS[:-1])
+
+    named = (resolved(href) for _, href, text in links if numbered(href, text) or text.lower() in NEXT_WORDS)
+    pagers = (resolved(href) for link, href, _ in links if href and _is_pager(link))
+    linked = [full for full in named if full is not None] + [full for full in pagers if full is not None and other_list(full)]
+    parsed, counted = urlparse(address), []
     if "page" in parsed.query.lower() or "/page/" in parsed.path.lower():
         stem = address.split("?")[0].rsplit("/page/", 1)[0]
-        for n in range(2, 51):
-            for full in (f"{stem}?page={n}", f"{stem}?p={n}", f"{stem}/page/{n}", f"{stem}/p/{n}"):
-                if full not in out:
-                    out.append(full)
-    return out
+        counted = [shape.format(stem=stem, n=n) for n in range(2, MOST_PAGES + 1) for shape in PAGE_SHAPES]
+    return list(dict.fromkeys([*(full for full in linked if full != address), *counted]))
 
 
 def next_link(html: str | None, address: str) -> str | None:

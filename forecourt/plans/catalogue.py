@@ -197,7 +197,8 @@ add(
 
 _HTTP = "coalesce(starts_with({0}, 'http'), false)"
 _MODELS = ", ".join(f"'{m}'" for m in quality.ELECTRIC_MODELS)
-_LIKELY = f"(make IN ('Tesla', 'Rivian', 'Lucid', 'Polestar') OR model IN ({_MODELS}) OR regexp_matches(lower(model), 'electric|ev|e-tron|eq|id\\.|i4|ix|ioniq|mach-e|lightning|bolt|leaf') OR coalesce(regexp_matches(lower(fuel_type), 'electric|ev|plug'), false) OR {_ELECTRIC})"
+_MAKES = ", ".join(f"'{m}'" for m in quality.ELECTRIC_MAKES)
+_LIKELY = f"(make IN ({_MAKES}) OR model IN ({_MODELS}) OR regexp_matches(lower(model), 'electric|ev|e-tron|eq|id\\.|i4|ix|ioniq|mach-e|lightning|bolt|leaf') OR coalesce(regexp_matches(lower(fuel_type), 'electric|ev|plug'), false) OR {_ELECTRIC})"
 _HOLDER = "(" + " OR ".join(f"coalesce(regexp_matches(lower({f}), 'test|example|sample|placeholder|demo|xxx|zzz|abc123|000000|999999'), false)" for f in quality.PLACEHOLDER_FIELDS) + ")"
 _RANGES = ", ".join(f"('{a}', '{b}', {lo} * 0.6E0, {hi} * 1.3E0)" for a, b, lo, hi in quality.PRICE_RANGES)
 _DOLLAR = "'$' || format('{{:,.0f}}', {0})"
