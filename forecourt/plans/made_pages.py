@@ -75,7 +75,8 @@ def _made(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _made(spark, sf_dir, DETAILS)
+    """Dealt out, since many pages come from a small table and each is parsed in Python."""
+    return _made(spark, sf_dir, DETAILS).repartition(spark.sparkContext.defaultParallelism)
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def register_dealers(dealers: DataFrame, *, as_of_year: int, scraped_at: Column,
 
 @dataclass(frozen=True)
 class Result:
-    """Lazy outcomes of a run. ``unique`` is read by several of them: persist it to run once."""
+    """Outcomes of a run. ``unique`` is read by several of them: persist it to decide once."""
 
     validated: DataFrame
     unique: DataFrame
@@ -110,10 +110,14 @@ class Result:
 
 
 def run_listings(listings: DataFrame, order: Sequence[str], spec: FilterSpec | None = None, *, as_of_year: int, strict: bool = False) -> Result:
-    """Entry C: validate, then deduplicate, then filter. The order matters and is kept."""
+    """Entry C: validate, then deduplicate, then filter. The order matters and is kept.
+
+    Valid rows are stored, since deciding duplicates reads them three times and the rules
+    are dear; the rest of the result is lazy.
+    """
     sound = listings.where(is_constructible(as_of_year))
     validated = quality.validate(sound, as_of_year=as_of_year, strict=strict)
-    valid = validated.where("is_valid").select(*listings.columns)
+    valid = stored(validated.where("is_valid").select(*listings.columns))
     unique = dedup.deduplicate(valid, order)
     return Result(validated, unique, filter_listings(unique, spec, as_of_year=as_of_year), dedup.dedup_stats(valid, order))
 
