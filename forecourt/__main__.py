@@ -24,8 +24,8 @@ from .sources import sinks
 from .sources.config import RunSpec
 from .sources.dealers import read_dealers
 
-#: Fixed: settings that are read from the working folder if none are named; miles of a new car without settings.
-SETTINGS, NEW_MILES = "scraper_config.json", 100
+#: Settings that are read from the working folder if none are named; miles of a new car without settings.
+SETTINGS, NEW_MILES = "forecourt.json", 100
 log = logging.getLogger("forecourt")
 
 
