@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, rules_sql, simhash, suffix_dedup, toxicity
+from . import byte_bpe, chunked_bpe, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, rules_sql, simhash, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -51,6 +51,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.encode_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_order_minhash": op10_order_minhash,
+        "op11_chunked_bpe": op11_chunked_bpe,
     }
 
 
