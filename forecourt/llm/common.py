@@ -22,6 +22,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -49,8 +53,8 @@ def _root(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """Write a frame as Parquet in the shared folder and read it back; also the folder, for ``remove``.
 
     This cuts the lineage: a lost executor costs no recomputation of what stands
     below, and a frame that is read twice is computed once. The folder is removed
@@ -59,13 +63,23 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     try:
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     except Exception:  # noqa: BLE001 - a store without delete-on-exit keeps the table
         pass
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """A frame whose rows stand in the shared folder."""
+    return stored(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunked_bpe, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, rules_sql, simhash, suffix_dedup, toxicity
-from .common import documents, labels
+from . import byte_bpe, chunked_bpe, clustering, hard_negatives, language_id, language_model, order_minhash, packing, quality_classifier, quality_rules, rules_sql, simhash, suffix_dedup, toxicity, vector_sql
+from .common import documents, embeddings, labels
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encode_documents(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(embeddings(spark, sf_dir))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -68,9 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_order_minhash": op10_order_minhash,
         "op11_chunked_bpe": op11_chunked_bpe,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_exponion": op13_exponion,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the rules can be said in SQL whole: the others need models, tokenisers or hashes that it lacks."""
-    return {"op4_quality_rules": rules_sql.SQL}
+    """The rules and the operators on vectors can be said in SQL whole: the others need models, tokenisers or hashes that it lacks."""
+    return {"op4_quality_rules": rules_sql.SQL, "op12_hard_negatives": vector_sql.MINING, "op13_exponion": vector_sql.clustering()}
