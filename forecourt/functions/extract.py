@@ -9,7 +9,7 @@ from . import patterns as P
 from .columns import clean_city, state_of_city
 from .html import json_ld, page_facts
 from .normalize import condition, drivetrain, fuel, hints_electric, names_electric, price_to_int
-from .text import blank_to_null, contains_any, first_group, strip
+from .text import blank_to_null, contains_any, first_group, once, strip
 
 
 def year_of(text: Column, as_of_year: int) -> Column:
@@ -66,22 +66,23 @@ def mileage_text(raw: Column) -> Column:
 
 def mileage(text: Column, labelled: Column | None = None) -> Column:
     """struct(value, unit): a number before miles in the text, else the labelled one."""
-    found = price_to_int(first_group(text, P.MILEAGE)).try_cast("int")
-    direct = F.struct(found.alias("value"), F.lit("mi").alias("unit"))
-    return direct if labelled is None else F.when(found.isNotNull() | labelled.isNull(), direct).otherwise(mileage_text(labelled))
+    direct = F.struct(price_to_int(first_group(text, P.MILEAGE)).try_cast("int").alias("value"), F.lit("mi").alias("unit"))
+    if labelled is None:
+        return direct
+    return once(direct, lambda found: F.when(found["value"].isNotNull() | labelled.isNull(), found).otherwise(mileage_text(labelled)))
 
 
 def new_used(text: Column, title: Column | None = None, labelled: Column | None = None) -> Column:
     """By a condition word in the text, in the title, by the label; else new."""
     def known(raw):
-        return F.when(raw.isNotNull(), condition(raw))
+        return once(raw, lambda found: F.when(found.isNotNull(), condition(found)))
 
     steps = [known(first_group(text, P.CONDITION))]
     if title is not None:
         low = F.lower(title)
         steps.append(known(first_group(title, P.CONDITION)))
-        whole = condition(title)
-        steps.append(F.when(contains_any(low, [k.lower() for k in P.KEYWORDS["condition"]]) & (whole != "new"), whole))
+        named = contains_any(low, [k.lower() for k in P.KEYWORDS["condition"]])
+        steps.append(once(condition(title), lambda whole: F.when(named & (whole != "new"), whole)))
     if labelled is not None:
         steps.append(known(labelled))
     return F.coalesce(*steps, F.lit("new"))
@@ -89,21 +90,26 @@ def new_used(text: Column, title: Column | None = None, labelled: Column | None
 
 def fuel_type(text: Column, structured: Column | None = None, labelled: Column | None = None, engines: Column | None = None) -> Column:
     """Structured data decides if it names a fuel at all; else label, word, engine, labelled value, engine elements."""
-    engine = first_group(text, P.ENGINE)
-    steps = [fuel(first_group(text, P.FUEL_LABEL)), fuel(first_group(text, P.FUEL_VALUE)), F.when(names_electric(engine), fuel(engine))]
-    out = F.coalesce(*steps[:2])
-    # An electric engine is final even if it gives no known fuel; so is a labelled value.
-    rest = F.when(names_electric(engine), fuel(engine))
-    if labelled is not None:
-        rest = rest.when(blank_to_null(labelled).isNotNull(), fuel(labelled))
-    if engines is not None:
-        hit = F.get(F.filter(engines, lambda t: hints_electric(t) | names_electric(t)), F.lit(0))
-        rest = rest.otherwise(fuel(hit))
-    out = F.coalesce(out, rest)
+
+    def by_engine(engine: Column) -> Column:
+        # An electric engine is final even if it gives no known fuel; so is a labelled value.
+        rest = F.when(names_electric(engine), fuel(engine))
+        if labelled is not None:
+            rest = rest.when(labelled != "", fuel(labelled))
+        if engines is not None:
+            hit = F.get(F.filter(engines, lambda t: hints_electric(t) | names_electric(t)), F.lit(0))
+            rest = rest.otherwise(fuel(hit))
+        return rest
+
+    out = F.coalesce(fuel(first_group(text, P.FUEL_LABEL)), fuel(first_group(text, P.FUEL_VALUE)), once(first_group(text, P.ENGINE), by_engine))
     return out if structured is None else F.when(structured.isNotNull(), fuel(structured)).otherwise(out)
 
 
-def _status(low: Column, coming: bool) -> Column:
+def _status(raw: Column, coming: bool) -> Column:
+    return once(F.lower(raw), lambda low: _status_of(low, coming))
+
+
+def _status_of(low: Column, coming: bool) -> Column:
     return (
         F.when(contains_any(low, ("transit", "way", "arriving", "coming") if coming else ("transit", "way")), "in_transit")
         .when(low.contains("sold"), "sold")
@@ -114,11 +120,11 @@ def _status(low: Column, coming: bool) -> Column:
 
 def availability(text: Column, labelled: Column | None = None, elements: Column | None = None) -> Column:
     """By a phrase in the text, the labelled value, or the first status element that says one."""
-    steps = [_status(F.lower(first_group(text, P.AVAILABILITY)), True)]
+    steps = [_status(first_group(text, P.AVAILABILITY), True)]
     if labelled is not None:
-        steps.append(_status(F.lower(labelled), False))
+        steps.append(_status(labelled, False))
     if elements is not None:
-        steps.append(F.get(F.filter(F.transform(elements, lambda t: _status(F.lower(t), False)), lambda s: s.isNotNull()), F.lit(0)))
+        steps.append(F.get(F.filter(F.transform(elements, lambda t: _status(t, False)), lambda s: s.isNotNull()), F.lit(0)))
     return F.coalesce(*steps)
 
 

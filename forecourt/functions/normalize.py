@@ -6,15 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import DRIVETRAINS, ELECTRIC, EV_HINTS, KEYWORDS
-from .text import contains_any, false_if_null, strip
+from .text import contains_any, false_if_null, once, strip
 
 
 def drivetrain(raw: Column) -> Column:
-    """AWD, FWD, RWD or 4WD by the first known word that the text contains."""
-    text = F.replace(strip(F.lower(raw)), F.lit("-"), F.lit(" "))
-    # A whole match is also a contained one; whole matches are looked for first.
-    out = F.coalesce(*[F.when(text == word, F.lit(code)) for word, code in DRIVETRAINS], *[F.when(text.contains(word), F.lit(code)) for word, code in DRIVETRAINS])
-    return out
+    """AWD, FWD, RWD or 4WD by the first known word that the text contains.
+
+    No word is part of another one, so a text that is a word contains no earlier one: whole
+    matches need no search of their own.
+    """
+    table = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(code).alias("code")) for word, code in DRIVETRAINS])
+    plain = F.replace(F.lower(raw), F.lit("-"), F.lit(" "))
+    return once(plain, lambda text: F.get(F.filter(table, lambda known: text.contains(known["word"])), F.lit(0))["code"])
 
 
 def price_to_int(raw: Column) -> Column:
@@ -29,25 +32,28 @@ def digits_to_price(raw: Column) -> Column:
 
 def fuel(raw: Column) -> Column:
     """Electric, phev, hybrid, gasoline, diesel or null, by contained words."""
-    text = F.lower(raw)
-    plug = contains_any(text, ("plug-in", "phev"))
-    return (
-        F.when(contains_any(text, ("electric", "ev")), F.when(plug, "phev").otherwise("electric"))
-        .when(text.contains("hybrid"), F.when(plug, "phev").otherwise("hybrid"))
-        .when(text.contains("gas"), "gasoline")
-        .when(text.contains("diesel"), "diesel")
-    )
+
+    def named(text: Column) -> Column:
+        plug = contains_any(text, ("plug-in", "phev"))
+        return (
+            F.when(contains_any(text, ("electric", "ev")), F.when(plug, "phev").otherwise("electric"))
+            .when(text.contains("hybrid"), F.when(plug, "phev").otherwise("hybrid"))
+            .when(text.contains("gas"), "gasoline")
+            .when(text.contains("diesel"), "diesel")
+        )
+
+    return once(F.lower(raw), named)
 
 
 def condition(raw: Column) -> Column:
     """Cpo, used or new; new for nothing (and for "pre owned" with a blank)."""
-    text = F.lower(raw)
-    return F.when(contains_any(text, ("certified", "cpo", "c.p.o")), "cpo").when(contains_any(text, ("used", "pre-owned")), "used").otherwise("new")
+    named = lambda text: F.when(contains_any(text, ("certified", "cpo", "c.p.o")), "cpo").when(contains_any(text, ("used", "pre-owned")), "used").otherwise("new")
+    return once(F.lower(raw), named)
 
 
 def hints_electric(raw: Column) -> Column:
     """Whether a text contains an electric hint."""
-    return false_if_null(contains_any(F.lower(raw), EV_HINTS))
+    return once(F.lower(raw), lambda text: false_if_null(contains_any(text, EV_HINTS)))
 
 
 def is_vin(raw: Column) -> Column:
@@ -69,5 +75,8 @@ def keywords(field: Column) -> Column:
 def has_keyword(text: Column, field: str, case_sensitive: bool = False) -> Column:
     """Whether a text contains a keyword of a field."""
     words = KEYWORDS.get(field, ())
-    return false_if_null(contains_any(text, words) if case_sensitive else contains_any(F.lower(text), map(str.lower, words)))
+    if case_sensitive:
+        return false_if_null(contains_any(text, words))
+    low = [word.lower() for word in words]
+    return once(F.lower(text), lambda t: false_if_null(contains_any(t, low)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import next_page, page_facts, pagination, vehicle_cards
 from ..operators.filters import is_vehicle_url
+from ..sources.shared import stored
 
 #: Fixed: where inventories usually are, in the order in which they are tried.
 INVENTORY_PATHS = ("/inventory", "/new-inventory", "/inventory/new", "/new-vehicles", "/vehicles/new", "/search/new", "/inventory/index.htm", "/new")
@@ -47,27 +48,33 @@ def next_closure(starts: DataFrame, pages: DataFrame, most: int = 50) -> DataFra
 
 
 def follow(starts: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """The closure over captured edges (url, next_url), as one recursive query.
+    """The closure over captured edges (url, next_url), by pointer doubling.
 
-    Every page has one next link, so a path is a chain; a chain stops where it meets a page
-    it has been to, which the array of visited pages tells.
+    A table of jumps leads from each address to the one 2**k steps on; joined with itself it
+    gives the next table. Chains known up to 2**k steps, joined with it once, are known up to
+    twice as many: six rounds for 50 steps, each written before the next one reads it, and no
+    row but those of the result and of cycles.
+
+    A chain ends where it meets a page it has been to. From there on it only repeats itself,
+    so what counts is each address's first level in a chain. Of several captures of an
+    address the smallest next link counts; repeated starts give repeated rows; a null or
+    unknown address leads nowhere.
     """
-    spark = starts.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(id, level, url, seen) MAX RECURSION LEVEL 1000 AS (
-          SELECT id, 0, url, array(url) FROM {starts}
-          UNION ALL
-          SELECT c.id, c.level + 1, e.next_url, array_append(c.seen, e.next_url)
-          FROM chain c JOIN {edges} e ON c.url = e.url
-          WHERE e.next_url IS NOT NULL AND c.level < {most} AND NOT array_contains(c.seen, e.next_url)
-        )
-        SELECT id, level, url FROM chain WHERE level > 0
-        """,
-        starts=starts.select("id", "url"),
-        edges=edges.select("url", "next_url"),
-        most=most,
-    )
+    links = edges.where("next_url IS NOT NULL AND url <> next_url").groupBy("url").agg(F.min("next_url").alias("next_url"))
+    jumps, step = stored(links.select(F.col("url").alias("at"), F.col("next_url").alias("to"))), 1
+    begun = starts.select(F.col("url").alias("start")).distinct()
+    chains = stored(begun.join(jumps, F.col("start") == F.col("at")).select("start", F.lit(1).alias("level"), F.col("to").alias("url")))
+    while step < most:
+        more = stored(chains.where(F.col("level") + step <= most).join(jumps, F.col("url") == F.col("at")).select("start", (F.col("level") + step).alias("level"), F.col("to").alias("url")))
+        if more.isEmpty():
+            break
+        chains, step = chains.union(more), 2 * step
+        if step < most:
+            on = jumps.select(F.col("at").alias("via"), F.col("to").alias("on"))
+            jumps = stored(jumps.join(on, F.col("to") == F.col("via")).select("at", F.col("on").alias("to")))
+    first = chains.where("url <> start").groupBy("start", "url").agg(F.min("level").alias("level"))
+    named = starts.select("id", F.col("url").alias("__start"))
+    return named.join(first, F.col("__start") == F.col("start")).select("id", "level", "url")
 
 
 def summaries(list_pages: DataFrame, profile: str = "generic") -> DataFrame:
