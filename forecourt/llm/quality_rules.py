@@ -67,6 +67,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.length(F.bin(F.size("w").cast("long"))).alias("bits"),
+        "w",
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     counted = [*sums, "n_words", "n_lines", "n_dup_lines"]
@@ -74,17 +75,24 @@ def with_statistics(rows: DataFrame) -> DataFrame:
         *kept,
         *counted,
         "bits",
+        "w",
         F.transform(F.slice("h", F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)])).alias("windows"),
     )
-    # Equal windows stand side by side once hash and place are packed in one sorted number.
+    # Equal windows stand side by side once hash and place are packed in one sorted number. Long
+    # texts leave few bits for the hash, so what it finds is compared by its words.
     packed = F.sort_array(F.transform("windows", lambda x, i: F.call_function("shiftleft", x, F.col("bits")).bitwiseOR(i.cast("long"))))
-    fourth = third.select(*kept, *counted, "bits", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), packed).alias("packed"))
+    fourth = third.select(*kept, *counted, "bits", "w", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), packed).alias("packed"))
     of = lambda x: F.call_function("shiftrightunsigned", x, F.col("bits"))
     at = lambda i: F.coalesce(of(F.get("packed", i)), F.lit(-1))
-    places = F.filter("packed", lambda x, i: (of(x) == at(i - 1)) | (of(x) == at(i + 1)))
+    likely = F.filter("packed", lambda x, i: (of(x) == at(i - 1)) | (of(x) == at(i + 1)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    covered = F.flatten(F.transform(places, lambda x: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: x.bitwiseAND(mask) + k)))
-    return fourth.select(*kept, *counted, F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long").alias("n_repeat_words")).select(
+    place = lambda x: x.bitwiseAND(mask).cast("int")
+    words = lambda p: F.concat_ws(" ", *[F.get("w", p + k) for k in range(WINDOW)])
+    fifth = fourth.select(*kept, *counted, F.array_sort(F.transform(likely, lambda x: F.struct(words(place(x)).alias("words"), place(x).alias("place")))).alias("likely"))
+    beside = lambda i: F.get("likely", i)["words"]
+    places = F.filter("likely", lambda x, i: F.coalesce(x["words"] == beside(i - 1), F.lit(False)) | F.coalesce(x["words"] == beside(i + 1), F.lit(False)))
+    covered = F.flatten(F.transform(places, lambda x: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: x["place"] + k)))
+    return fifth.select(*kept, *counted, F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long").alias("n_repeat_words")).select(
         *kept, *STATS[:-3], *STATS[-3:]
     )
 

@@ -884,3 +884,23 @@ def test_pipeline(spark, tmp_path, docs, labels):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in frame.collect()}
     rules = quality_rules.judge_documents(docs, labels).where("kept").count()
     assert 0 < frame.select("doc_id").distinct().count() <= rules
+
+
+def test_repeats_in_very_long_texts_are_compared_by_words(spark):
+    """Over 3 million words leave 42 bits for a window's hash: some different windows share one."""
+    for n in (1_000_007, 3_000_007):
+        text = "q r s " + " ".join(map(str, range(n - 6))) + " q r s"
+        got = quality_rules.with_statistics(spark.createDataFrame([(text, 1)], "text string, other int")).first()
+        assert (got.n_words, got.n_repeat_words, got.other) == (n, 6, 1)
+
+
+def test_windows_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+    """With nearly no bits of the hash left the counts stay exact."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdef") for _ in range(n)) for n in (0, 1, 2, 3, 4, 20, 200)]
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    got = {r.text2: r.n_repeat_words for r in quality_rules.with_statistics(spark.createDataFrame([(t, t) for t in texts], "text string, text2 string")).collect()}
+    for text in texts:
+        w = text.split()
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        assert got[text] == len({i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)})
