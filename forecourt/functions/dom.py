@@ -7,7 +7,10 @@ module serves what needs elements: selectors, siblings, and attributes (H3, H4,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from heapq import merge
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
@@ -18,98 +21,200 @@ _HIDDEN = {"script", "style", "template"}
 _PRICE = re.compile(PRICE)
 
 
+#: Elements that a page's functions may look at: so many, and so many times the page's own number.
+MOST_STEPS, STEPS_PER_ELEMENT = 1_000_000, 200
+
+
+class PageTooComplex(ValueError):
+    """A page whose nesting asks for more work than any page of its size should."""
+
+
+class Text:
+    """The strings of a page in document order, as they are and stripped; elements are slices of it.
+
+    What scripts, styles and templates hold is a text of its own, so it is in no outer slice.
+    """
+
+    def __init__(self):
+        self.pieces: tuple[list[str], list[str]] = ([], [])
+        self.length = (0, 0)
+        self.found: dict[str, list[tuple[int, list[int]]] | None] = {}
+
+    def add(self, piece: str) -> None:
+        stripped = piece.strip()
+        self.pieces[0].append(piece)
+        self.pieces[1].append(stripped)
+        self.length = (self.length[0] + len(piece), self.length[1] + len(stripped))
+
+    def close(self) -> None:
+        self.raw, self.stripped = map("".join, self.pieces)
+
+    def keyword_places(self, field: str) -> list[tuple[int, list[int]]] | None:
+        """Per keyword its length and all its places in the stripped text; None if lower-casing moves places."""
+        if field not in self.found:
+            low = self.stripped.lower()
+            places = []
+            for word in KEYWORDS.get(field, ()):
+                word = word.lower()
+                places.append((len(word), [m.start() for m in re.finditer(f"(?={re.escape(word)})", low)]))
+            self.found[field] = places if len(low) == len(self.stripped) else None
+        return self.found[field]
+
+
+class Page:
+    """All elements in document order: an element's descendants are the ones from its number to its end."""
+
+    def __init__(self):
+        self.order: list[Node] = []
+        self.named: dict[str, list[int]] = {}
+        self.texts: list[Text] = []
+        self.steps = 0
+
+    def spend(self, steps: int) -> None:
+        self.steps += steps
+        if self.steps > MOST_STEPS + STEPS_PER_ELEMENT * len(self.order):
+            raise PageTooComplex(f"over {MOST_STEPS + STEPS_PER_ELEMENT * len(self.order)} steps for {len(self.order)} elements")
+
+
 class Node:
-    __slots__ = ("attributes", "children", "name", "parent")
+    __slots__ = ("attributes", "children", "end", "enter", "in_pager", "leave", "low_classes", "name", "number", "page", "parent", "place", "row", "texts")
 
-    def __init__(self, name: str, attributes: dict[str, str], parent: Node | None):
-        self.name, self.attributes, self.parent = name, attributes, parent
+    def __init__(self, name: str, attributes: dict[str, str], parent: Node | None, page: Page, texts: Text):
+        self.name, self.attributes, self.parent, self.page, self.texts = name, attributes, parent, page, texts
         self.children: list[Node | str] = []
+        self.number = self.end = len(page.order)
+        self.enter = self.leave = texts.length
+        self.low_classes = attributes.get("class", "").lower().split()
+        self.place = len(parent.children) if parent else 0
+        self.row = None if parent is None else parent if parent.name == "tr" else parent.row
+        self.in_pager = parent is not None and (parent.in_pager or not {"pagination", "pager", "page-nav"}.isdisjoint(parent.classes()))
+        page.order.append(self)
+        page.named.setdefault(name, []).append(self.number)
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-
-    def strings(self) -> Iterator[str]:
-        stack: list[Node | str] = list(reversed(self.children))
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                yield x
-            elif x.name not in _HIDDEN:
-                stack += reversed(x.children)
+        for n in range(self.number + 1, self.end):
+            self.page.spend(1)
+            yield self.page.order[n]
 
     def text(self) -> str:
-        return "".join(self.strings())
+        self.page.spend((self.leave[0] - self.enter[0]) >> 6)
+        return self.texts.raw[self.enter[0] : self.leave[0]]
 
     def joined(self) -> str:
         """All strings stripped and put together."""
-        return "".join(s.strip() for s in self.strings())
+        self.page.spend((self.leave[1] - self.enter[1]) >> 6)
+        return self.texts.stripped[self.enter[1] : self.leave[1]]
 
     def find(self, *names: str) -> Node | None:
         return next(self.all(*names), None)
 
     def all(self, *names: str, part: str | None = None) -> Iterator[Node]:
         """Elements of the given names (any if none) with a class that contains ``part``."""
-        for node in self.walk():
-            if (not names or node.name in names) and (part is None or node.class_has(part)):
+        for node in self.of_names(*names) if names else self.walk():
+            if part is None or node.class_has(part):
                 yield node
 
+    def of_names(self, *names: str) -> Iterator[Node]:
+        def below(name: str) -> Iterator[int]:
+            numbers = self.page.named.get(name, [])
+            for at in range(bisect_left(numbers, self.number + 1), len(numbers)):
+                if numbers[at] >= self.end:
+                    return
+                yield numbers[at]
+
+        for n in below(names[0]) if len(names) == 1 else merge(*map(below, names)):
+            self.page.spend(1)
+            yield self.page.order[n]
+
     def classes(self) -> list[str]:
         return self.attributes.get("class", "").split()
 
     def class_has(self, part: str) -> bool:
-        return any(part in c.lower() for c in self.classes())
+        return any(part in c for c in self.low_classes)
 
     def next_sibling(self, *names: str) -> Node | None:
         siblings = self.parent.children if self.parent else []
-        after = False
-        for x in siblings:
-            if after and isinstance(x, Node) and x.name in names:
-                return x
-            after = after or x is self
+        for n in range(self.place + 1, len(siblings)):
+            self.page.spend(1)
+            if isinstance(siblings[n], Node) and siblings[n].name in names:
+                return siblings[n]
         return None
 
-    def up(self, name: str) -> Node | None:
-        node = self.parent
-        while node and node.name != name:
-            node = node.parent
-        return node
+    def holds_keyword(self, field: str) -> bool:
+        """Whether the stripped text holds a keyword of a field: by the keywords' places in the whole text."""
+        places = self.texts.keyword_places(field)
+        if places is None:
+            return has_keyword(self.joined(), field)
+        enter, leave = self.enter[1], self.leave[1]
+        return any((at := bisect_left(starts, enter)) < len(starts) and starts[at] + length <= leave for length, starts in places)
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.page = Page()
+        self.texts = [self._text()]
+        self.root = self.at = Node("", {}, None, self.page, self.texts[0])
+        self.open: Counter[str] = Counter()
+
+    def _text(self) -> Text:
+        self.page.texts.append(Text())
+        return self.page.texts[-1]
+
+    def _new(self, tag, attrs) -> Node:
+        if tag in _HIDDEN and tag not in _VOID:
+            self.texts.append(self._text())
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.page, self.texts[-1])
+        self.at.children.append(node)
+        return node
+
+    def _leave(self) -> None:
+        node = self.at
+        node.end, node.leave = len(self.page.order), node.texts.length
+        if node.name in _HIDDEN:
+            self.texts.pop()
+        self.open[node.name] -= 1
+        self.at = node.parent
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
+        node = self._new(tag, attrs)
+        if tag in _VOID:
+            node.end = len(self.page.order)
+        else:
+            self.open[tag] += 1
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        node = self._new(tag, attrs)
+        node.end = len(self.page.order)
+        if tag in _HIDDEN:
+            self.texts.pop()
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.name != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        if self.open[tag] > 0:
+            while self.at.name != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data):
         self.at.children.append(data)
+        self.texts[-1].add(data)
+
+    def finish(self) -> Node:
+        while self.at.parent is not None:
+            self._leave()
+        self.root.end, self.root.leave = len(self.page.order), self.root.texts.length
+        for text in self.page.texts:
+            text.close()
+        return self.root
 
 
 def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
-    return builder.root
+    return builder.finish()
 
 
 def has_keyword(text: str, field: str) -> bool:
@@ -119,7 +224,7 @@ def has_keyword(text: str, field: str) -> bool:
 
 def by_keyword(node: Node, field: str, tag: str | None = None, part: str | None = None) -> list[Node]:
     """H3: elements whose text holds a keyword of a field."""
-    return [x for x in node.all(*([tag] if tag else []), part=part.lower() if part else None) if (t := x.joined()) and has_keyword(t, field)]
+    return [x for x in node.all(*([tag] if tag else []), part=part.lower() if part else None) if x.holds_keyword(field)]
 
 
 #: Fixed: elements that label a value, and elements that may hold it when they follow.
@@ -128,10 +233,11 @@ LABELS, VALUES = ("dt", "th", "label"), ("dd", "td", "span", "div")
 
 def _labelled(root: Node, field: str) -> Iterator[str]:
     """What stands behind labels: all labels' next elements first, then the first cells of headers' rows."""
-    nothing = Node("", {}, None)
-    labels = [x for x in root.all(*LABELS) if has_keyword(x.joined(), field)]
-    yield from ((x.next_sibling(*VALUES) or nothing).joined() for x in labels)
-    yield from (((x.up("tr") or nothing).find("td") or nothing).joined() for x in labels if x.name == "th")
+    labels = [x for x in root.all(*LABELS) if x.holds_keyword(field)]
+    beside = (x.next_sibling(*VALUES) for x in labels)
+    yield from (x.joined() for x in beside if x is not None)
+    cells = (x.row.find("td") for x in labels if x.name == "th" and x.row is not None)
+    yield from (x.joined() for x in cells if x is not None)
 
 
 def field_value(root: Node, field: str, text: str) -> str | None:
@@ -333,7 +439,9 @@ def features(root: Node, profile: str) -> list[str]:
     for word in ("feature", "option", "equipment", "standard", "included"):
         for box in root.all("ul", "div", "dl", part=word):
             items = list(box.all("li")) or list(box.all("span", "div", "dt", "dd"))
-            out += [t for x in items if 2 < len(t := x.joined()) < 100]
+            out += [x.joined() for x in items if 2 < x.leave[1] - x.enter[1] < 100]
+            if len(out) >= 20:
+                break
         if out:
             break
     return out[:20]
@@ -387,11 +495,7 @@ MOST_PAGES = 50
 
 def _is_pager(link: Node) -> bool:
     label, classes = link.attributes.get("aria-label", ""), link.attributes.get("class", "")
-    inside, node = False, link.parent
-    while node is not None and not inside:
-        inside = bool({"pagination", "pager", "page-nav"} & set(node.classes()))
-        node = node.parent
-    return inside or any(w in label for w in ("next", "Next", "page", "Page")) or "next" in link.attributes.get("rel", "").split() or "next" in classes or "page" in classes or "Next" in link.classes()
+    return link.in_pager or any(w in label for w in ("next", "Next", "page", "Page")) or "next" in link.attributes.get("rel", "").split() or "next" in classes or "page" in classes or "Next" in link.classes()
 
 
 def page_links(html: str | None, address: str) -> list[str]:

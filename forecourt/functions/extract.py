@@ -159,9 +159,10 @@ def listings_of_pages(pages: DataFrame, *, as_of_year: int, scraped_at: Column,
     """Listings from rows (url, html, dealer_name, dealer_website, city).
 
     A page is parsed once into facts; everything else is Spark expressions over these.
-    Pages without make and model are left out, but for the rendered and template profiles.
+    Pages without make and model are left out, but for the rendered and template profiles;
+    so are pages that cannot be read, which ``plans.pages.failed_pages`` lists (E4).
     """
-    read = pages.select("url", "dealer_name", "dealer_website", "city", page_facts("html", "dealer_website", "url", profile).alias("f"))
+    read = pages.select("url", "dealer_name", "dealer_website", "city", page_facts("html", "dealer_website", "url", profile).alias("f")).where("f.error IS NULL")
     value = lambda name: F.try_element_at(F.col("f.values"), F.lit(name))
     text = F.col("f.text")
     structured = F.try_variant_get(json_ld(F.col("f.json_ld")), "$.fuelType", "string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,14 @@ FACTS = T.StructType(
         T.StructField("description", _S),
         T.StructField("features", _A),
         T.StructField("inventory", T.BooleanType()),
+        T.StructField("error", _S),
     ]
 )
 CARDS = T.ArrayType(T.StructType([T.StructField("detail_url", _S), T.StructField("title", _S), T.StructField("price", T.DoubleType())]))
 _ARROW_FACTS = pa.struct(
     [("text", pa.string()), ("title", pa.string()), ("heading", pa.string()), ("json_ld", pa.list_(pa.string())), ("values", pa.map_(pa.string(), pa.string()))]
     + [(n, pa.list_(pa.string())) for n in ("names", "statuses", "colors", "engines")]
-    + [("prices", pa.struct([(n, pa.float64()) for n in ("msrp", "sale_price", "total_price")])), ("images", pa.list_(pa.string())), ("description", pa.string()), ("features", pa.list_(pa.string())), ("inventory", pa.bool_())]
+    + [("prices", pa.struct([(n, pa.float64()) for n in ("msrp", "sale_price", "total_price")])), ("images", pa.list_(pa.string())), ("description", pa.string()), ("features", pa.list_(pa.string())), ("inventory", pa.bool_()), ("error", pa.string())]
 )
 
 
@@ -37,34 +40,46 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def attempt(read: Callable, *page) -> tuple[object, str | None]:
+    """What a function finds in a page, and no error; or nothing, and why. One page never fails the others."""
+    try:
+        return read(*page), None
+    except (ValueError, AssertionError, RecursionError, LookupError, TypeError, OverflowError) as error:
+        return None, f"{type(error).__name__}: {error}"[:300]
+
+
 def page_facts(html: str | Column, base: str | Column, url: str | Column, profile: str = "generic") -> Column:
-    """One struct of all facts that need a document tree; a page is parsed once."""
+    """One struct of all facts that need a document tree; a page is parsed once.
+
+    ``error`` says why a page could not be read; the other facts are null then.
+    """
 
     @F.arrow_udf(FACTS)
     def read(pages: pa.Array, bases: pa.Array, urls: pa.Array) -> pa.Array:
-        rows = [dom.facts(h, b or "", u or "", profile) for h, b, u in zip(pages.to_pylist(), bases.to_pylist(), urls.to_pylist())]
-        return pa.array([r | {"values": list(r["values"].items())} for r in rows], _ARROW_FACTS)
+        rows = [attempt(dom.facts, h, b or "", u or "", profile) for h, b, u in zip(pages.to_pylist(), bases.to_pylist(), urls.to_pylist())]
+        return pa.array([{"error": e} if r is None else r | {"values": list(r["values"].items()), "error": None} for r, e in rows], _ARROW_FACTS)
 
     return read(_c(html), _c(base), _c(url))
 
 
 def vehicle_cards(html: str | Column, base: str | Column, profile: str = "generic") -> Column:
-    """H4: array of (detail_url, title, price)."""
+    """H4: array of (detail_url, title, price); null if the page cannot be read."""
 
     @F.arrow_udf(CARDS)
     def read(pages: pa.Array, bases: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("detail_url", "title", "price"), c)) for c in dom.list_cards(h, b or "", profile)] for h, b in zip(pages.to_pylist(), bases.to_pylist())]
+        found = [attempt(dom.list_cards, h, b or "", profile)[0] for h, b in zip(pages.to_pylist(), bases.to_pylist())]
+        rows = [None if cards is None else [dict(zip(("detail_url", "title", "price"), c)) for c in cards] for cards in found]
         return pa.array(rows, pa.list_(pa.struct([("detail_url", pa.string()), ("title", pa.string()), ("price", pa.float64())])))
 
     return read(_c(html), _c(base))
 
 
 def pagination(html: str | Column, url: str | Column) -> Column:
-    """Array of the other pages' addresses."""
+    """Array of the other pages' addresses; null if the page cannot be read."""
 
     @F.arrow_udf(_A)
     def read(pages: pa.Array, urls: pa.Array) -> pa.Array:
-        return pa.array([dom.page_links(h, u or "") for h, u in zip(pages.to_pylist(), urls.to_pylist())], pa.list_(pa.string()))
+        return pa.array([attempt(dom.page_links, h, u or "")[0] for h, u in zip(pages.to_pylist(), urls.to_pylist())], pa.list_(pa.string()))
 
     return read(_c(html), _c(url))
 
@@ -72,11 +87,24 @@ def pagination(html: str | Column, url: str | Column) -> Column:
 def next_page(html: str | Column, url: str | Column) -> Column:
     @F.arrow_udf(_S)
     def read(pages: pa.Array, urls: pa.Array) -> pa.Array:
-        return pa.array([dom.next_link(h, u or "") for h, u in zip(pages.to_pylist(), urls.to_pylist())], pa.string())
+        return pa.array([attempt(dom.next_link, h, u or "")[0] for h, u in zip(pages.to_pylist(), urls.to_pylist())], pa.string())
 
     return read(_c(html), _c(url))
 
 
+def page_error(html: str | Column, base: str | Column, url: str | Column, profile: str = "generic") -> Column:
+    """Why a page cannot be read, by the first of the page functions that fails; null if none does."""
+
+    def all_of(h, b, u):
+        dom.facts(h, b, u, profile), dom.list_cards(h, b, profile), dom.page_links(h, u), dom.next_link(h, u)
+
+    @F.arrow_udf(_S)
+    def read(pages: pa.Array, bases: pa.Array, urls: pa.Array) -> pa.Array:
+        return pa.array([attempt(all_of, h, b or "", u or "")[1] for h, b, u in zip(pages.to_pylist(), bases.to_pylist(), urls.to_pylist())], pa.string())
+
+    return read(_c(html), _c(base), _c(url))
+
+
 def page_text(html: str | Column) -> Column:
     """H2 without a tree: tags, comments, scripts and styles go; common entities are replaced."""
     text = F.regexp_replace(_c(html), r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
@@ -99,19 +127,32 @@ def json_ld(bodies: Column) -> Column:
     return F.get(F.filter(flat, lambda v: F.coalesce(one(v), F.lit(False))), F.lit(0))
 
 
-def register_table_functions(spark: SparkSession) -> None:
-    """vehicle_cards(html, base, profile) and page_links(html, url) for SQL's LATERAL."""
+@F.arrow_udtf(returnType="page_url string, detail_url string, title string, price double, error string")
+class CardsOfPages:
+    """The cards of a table of pages (url, html, base), a batch of a partition at a time.
+
+    A page that cannot be read gives one row with its error.
+    """
 
-    @F.udtf(returnType="detail_url: string, title: string, price: double")
-    class VehicleCards:
-        def eval(self, html: str, base: str, profile: str):
-            yield from dom.list_cards(html, base or "", profile or "generic")
+    def eval(self, pages: pa.RecordBatch):
+        column = lambda name: pages.column(pages.schema.get_field_index(name)).to_pylist()
+        rows = []
+        for url, html, base in zip(column("url"), column("html"), column("base")):
+            cards, error = attempt(dom.list_cards, html, base or "", "generic")
+            rows += [(url, *card, None) for card in cards] if error is None else [(url, None, None, None, error)]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
+        yield pa.Table.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)], ["page_url", "detail_url", "title", "price", "error"])
 
-    @F.udtf(returnType="page_url: string")
-    class PageLinks:
-        def eval(self, html: str, url: str):
-            for link in dom.page_links(html, url or ""):
-                yield (link,)
 
-    spark.udtf.register("vehicle_cards", VehicleCards)
+@F.udtf(returnType="page_url: string")
+class PageLinks:
+    """The other pages of one list page; none if it cannot be read."""
+
+    def eval(self, html: str, url: str):
+        yield from ((link,) for link in attempt(dom.page_links, html, url or "")[0] or ())
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """For SQL, ``cards_of_pages(TABLE(pages) PARTITION BY ...)`` and ``LATERAL page_links(html, url)``."""
+    spark.udtf.register("cards_of_pages", CardsOfPages)
     spark.udtf.register("page_links", PageLinks)

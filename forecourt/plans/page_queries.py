@@ -118,6 +118,34 @@ def site_plan(spark: SparkSession, d: str) -> DataFrame:
 
 add("e3_run_pages", entry_a, f"{_C} SELECT url AS vehicle_url, vin, {_SALE} AS sale_price FROM cars WHERE {_VALID} AND {_KEPT} AND s % 4 <> 0 AND m % 10 <> 3")
 add("e1_run_sites", entry_b, f"{_C} SELECT url AS vehicle_url, vin, {_SALE} AS sale_price FROM cars WHERE {_VALID} AND {_KEPT}")
+_DEEP = 20_000
+
+
+def with_bad_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The constructed pages, with every 50th dealer's list page full of open elements and two pages that no parser should take."""
+    lists = M.lists(spark, d).select("url", "html", "base")
+    deep = F.concat(F.repeat(F.lit('<div class="item">'), _DEEP), F.lit("<p>In Stock</p>"))
+    bad = M.dealers(spark, d).where("id % 50 = 1").select(F.concat("website", F.lit("/deep")).alias("url"), deep.alias("html"), F.col("website").alias("base"))
+    return lists.union(bad)
+
+
+def cards_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in SQL, over pages dealt out by host."""
+    H.register_table_functions(spark)
+    pages = M.lists(spark, d).select("url", "html", "base", robots.url_host("url").alias("host"))
+    return spark.sql("SELECT page_url, detail_url, title, price FROM cards_of_pages(TABLE({pages}) PARTITION BY host) WHERE error IS NULL", pages=pages)
+
+
+def links_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The lateral function in SQL."""
+    H.register_table_functions(spark)
+    return spark.sql("SELECT s, l.page_url AS url FROM {pages}, LATERAL page_links(html, url) l", pages=M.lists(spark, d))
+
+
+add("e4_all_pages_read", lambda spark, d: with_bad_pages(spark, d).select("url", H.page_facts("html", "base", "url")["inventory"].alias("inventory")), "SELECT concat('https://d', s_suppkey, '.net/inventory') AS url, true AS inventory FROM supplier UNION ALL SELECT concat('https://d', s_suppkey, '.net/deep'), true FROM supplier WHERE s_suppkey % 50 = 1")
+add("e4_failed_pages", lambda spark, d: plan.failed_pages(with_bad_pages(spark, d)), "SELECT s_name AS url, s_name AS error FROM supplier WHERE false")
+add("e1_cards_by_sql", cards_by_sql, f"SELECT page_url, detail_url, title, CASE WHEN s % 5 > 1 THEN price END AS price FROM ({_ONE})")
+add("e1_links_by_sql", links_by_sql, "SELECT s_suppkey AS s, concat('https://d', s_suppkey, '.net/inventory?page=', i) AS url FROM supplier, range(2, 4) t(i)")
 add("e2_site_plan", site_plan, f"SELECT detail_url AS vehicle_url, concat('1HGCM82', lpad(concat('X', s * 10 + i), 10, '7')) AS vin FROM ({_ONE}) WHERE s % 5 > 1")
 add("j4_unknown_sites", lambda spark, d: spark.createDataFrame([(n,) for n in lookups.unknown_sites(["a", "b", "c", "b"], ["c", "a"])], "name string"), "SELECT * FROM (VALUES ('b'), ('b')) t(name)")
 add("u2_restored_state", lambda spark, d: dedup.union_sites(extracted(spark, d).select("vehicle_url", "vin", "year"), listings(spark, d).select("vehicle_url", "make")), f"{_C.rstrip()}, {_L.removeprefix('WITH ')} SELECT url AS vehicle_url, vin, year, NULL AS make FROM cars UNION ALL SELECT vehicle_url, NULL, NULL, make FROM listings")

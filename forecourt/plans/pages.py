@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import next_page, page_facts, pagination, vehicle_cards
+from ..functions.html import next_page, page_error, page_facts, pagination, vehicle_cards
 from ..operators.filters import is_vehicle_url
 from ..sources.shared import stored
 
@@ -77,6 +77,11 @@ def follow(starts: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     return named.join(first, F.col("__start") == F.col("start")).select("id", "level", "url")
 
 
+def failed_pages(pages: DataFrame, profile: str = "generic") -> DataFrame:
+    """(url, error) of the pages (url, html) that extraction skips, with the reason: the dead letters of a run."""
+    return pages.select("url", page_error("html", "url", "url", profile).alias("error")).where("error IS NOT NULL")
+
+
 def summaries(list_pages: DataFrame, profile: str = "generic") -> DataFrame:
     """H4: (page_url, detail_url, title, price) of all cards of rows (url, html, base)."""
     return list_pages.select(F.col("url").alias("page_url"), F.inline(vehicle_cards("html", "base", profile)))

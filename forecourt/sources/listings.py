@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, strip
 from ..schema import COLUMNS, DEFAULTS, LISTING, is_constructible
+from . import documents
 
 _RAW = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, (T.ArrayType, T.IntegerType, T.DoubleType)) else T.StringType()) for f in LISTING])
 
@@ -30,13 +31,17 @@ def _checked(rows: DataFrame, as_of_year: int) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, *, as_of_year: int, key: str = "cars") -> DataFrame:
-    """The listings of a JSON document {metadata, cars}; a document without cars has none.
+    """The listings of JSON documents {metadata, cars}, split among tasks; a document without cars has none.
 
-    Computed and unknown keys are ignored (Q1); a row that breaks the constraints fails.
+    Computed and unknown keys are ignored (Q1); a row that breaks the constraints fails, and
+    so does a document that is no JSON.
     """
-    wrapped = T.StructType([T.StructField(key, T.ArrayType(_RAW))])
-    rows = spark.read.schema(wrapped).option("multiLine", True).json(path).select(F.explode(key).alias("car")).select("car.*")
-    return _checked(_typed(rows), as_of_year)
+    found = documents.pieces(spark, path, key)
+    rows = documents.items(found).select(F.from_json("text", _RAW).alias("car")).select("car.*")
+    # No row comes of the second part: it fails or is empty. Above the minimum the error stands behind the search.
+    first = documents.damaged(found).agg(F.min("document").alias("bad"))
+    bad = first.select(F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("no JSON: "), "bad"))).cast("string").alias("dealer_name")).where("dealer_name IS NOT NULL")
+    return _checked(_typed(rows), as_of_year).unionByName(bad, allowMissingColumns=True)
 
 
 def read_jsonl(spark: SparkSession, path: str, *, as_of_year: int) -> DataFrame:
@@ -45,13 +50,15 @@ def read_jsonl(spark: SparkSession, path: str, *, as_of_year: int) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(listings, completed dealers (name)) of a saved state document.
+    """(listings, completed dealers (name)) of saved state documents, split among tasks.
 
     An unreadable document is no state at all, not half of one (Q17).
     """
-    shape = T.StructType([T.StructField("completed_dealerships", T.ArrayType(T.StringType())), T.StructField("scraped_listings", T.ArrayType(_RAW)), T.StructField("__bad", T.StringType())])
-    whole = spark.read.schema(shape).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path).where("__bad is null")
-    return _typed(whole.select(F.explode("scraped_listings").alias("car")).select("car.*")), whole.select(F.explode("completed_dealerships").alias("name"))
+    found = documents.pieces(spark, path, "scraped_listings")
+    bad = documents.damaged(found)
+    rows = documents.items(found).join(bad, "document", "left_anti").select(F.from_json("text", _RAW).alias("car")).select("car.*")
+    around = documents.surroundings(found).join(bad, "document", "left_anti").select(F.from_json("text", "completed_dealerships array<string>").alias("state"))
+    return _typed(rows), around.select(F.explode("state.completed_dealerships").alias("name"))
 
 
 def read_csv(spark: SparkSession, path: str, *, as_of_year: int, now: str = "1970-01-01 00:00:00") -> DataFrame:

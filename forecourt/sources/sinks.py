@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import with_computed
 from ..schema import COLUMNS
+from . import documents
 
 
 def iso(time: Column) -> Column:
@@ -47,31 +50,22 @@ def write_jsonl(listings: DataFrame, path: str, mode: str = "overwrite") -> None
     json_rows(listings).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def json_document(listings: DataFrame, timestamp: str, source: str = "multi-dealership", pretty: bool = True) -> DataFrame:
-    """K1: ``value``: a document {metadata, cars} for each partition of the rows, with one car a line if pretty.
-
-    A document is one value by nature, so each holds what a task holds and counts its own
-    cars; a single one is ``listings.coalesce(1)``. Readers take all documents of a folder.
-    """
-    rows = json_rows(listings).select(F.spark_partition_id().alias("part"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("car"))
-    cars = rows.groupBy("part").agg(F.collect_list("car").alias("cars"))
-    meta = F.to_json(F.struct(F.lit(timestamp).alias("timestamp"), F.size("cars").alias("total_listings"), F.lit(source).alias("source")))
-    line = "\n" if pretty else ""
-    return cars.select(F.concat(F.lit('{"metadata":'), meta, F.lit(f',"cars":[{line}'), F.array_join("cars", f",{line}"), F.lit(f"{line}]}}")).alias("value"))
+def write_json(listings: DataFrame, path: str, timestamp: str, pretty: bool = True, mode: str = "overwrite", source: str = "multi-dealership") -> None:
+    """K1: one document {metadata, cars} of any size, with one car a line if pretty."""
 
+    def header(n: int) -> str:
+        return f'{{"metadata":{json.dumps({"timestamp": timestamp, "total_listings": n, "source": source}, ensure_ascii=False)},"cars":[' + "\n" * pretty
 
-def write_json(listings: DataFrame, path: str, timestamp: str, pretty: bool = True, mode: str = "overwrite") -> None:
-    """One document a file, since a document spans lines."""
-    documents = json_document(listings, timestamp, pretty=pretty)
-    documents.repartition(max(1, listings.rdd.getNumPartitions()), "value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    rows = json_rows(listings).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    documents.write_document(rows, path, header, "]}\n", mode, pretty)
 
 
 def write_state(listings: DataFrame, done: DataFrame, path: str) -> None:
-    """S2's counterpart: documents {completed_dealerships, scraped_listings}; names and rows in documents of their own."""
-    cars = json_rows(listings).select(F.spark_partition_id().alias("part"), F.struct(*COLUMNS).alias("car")).groupBy("part").agg(F.collect_list("car").alias("scraped_listings"))
-    names = done.select(F.spark_partition_id().alias("part"), F.col("name")).groupBy("part").agg(F.collect_list("name").alias("completed_dealerships"))
-    text = lambda rows: rows.select(F.to_json(F.struct("*")).alias("value"))
-    text(names.drop("part")).union(text(cars.drop("part"))).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    """S2's counterpart: a document of completed_dealerships and one of scraped_listings, side by side."""
+    cars = json_rows(listings).select(F.to_json(F.struct(*COLUMNS)))
+    names = done.select(F.to_json(F.array("name")).alias("name")).select(F.expr("substr(name, 2, length(name) - 2)"))
+    documents.write_document(cars, path, lambda n: '{"scraped_listings":[\n', "]}\n")
+    documents.write_document(names, path, lambda n: '{"completed_dealerships":[\n', "]}\n", mode="append")
 
 
 def save(listings: DataFrame, path: str, format: str | None = None, timestamp: str = "1970-01-01T00:00:00", mode: str = "overwrite") -> None:
@@ -98,4 +92,4 @@ def count_saved(spark: SparkSession, path: str, format: str) -> int:
         return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
     if format == "jsonl":
         return spark.read.text(path).where("value != ''").count()
-    return spark.read.option("multiLine", True).schema("cars array<struct<vehicle_url: string>>").json(path).select(F.explode("cars")).count()
+    return documents.items(documents.pieces(spark, path, "cars")).count()
