@@ -1,12 +1,13 @@
 """Incremental ingestion (K5, K6, C1-C3) and streaming deduplication with Structured Streaming.
 
-State lives in two tables, listings and completed dealers, appended batch by batch; the
-stream's own checkpoint says which input has been read. A batch is written under its
-number, and writing it again replaces it, so a restart neither loses nor repeats rows.
+State is a pair of tables, listings and completed dealers, in one versioned state: a batch of
+both counts from one version on. The stream's own checkpoint says which input has been read;
+a batch that is written again replaces itself, so a restart neither loses nor repeats rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,37 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import vin_key
 from ..schema import LISTING
+from ..sources import sinks
+from ..sources.shared import stored
+from .state import State
 
 
-def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
-    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+def _publish(spark: SparkSession, staging: str, target: str) -> None:
+    """Put a written folder in the place of what stands there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(path(target), True)
+    if not system.rename(path(staging), path(target)):
+        raise OSError(f"could not publish {target}")
 
 
-def append_stream(source: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True) -> StreamingQuery:
-    """K5: append a stream of rows to a table, one partition per batch."""
+def append_stream(source: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True, format: str = "parquet", timestamp: str = "1970-01-01T00:00:00") -> StreamingQuery:
+    """K5: append a stream of rows to an output: Parquet as they are, or listings as csv, json or jsonl.
+
+    Each batch is a folder named by its number. It is written out of sight and takes its place
+    by a rename, so a batch that runs again after a failure replaces itself, in any format.
+    """
+    if format not in ("parquet", "csv", "json", "jsonl"):
+        raise ValueError(f"unknown format {format!r}")
 
     def write(rows: DataFrame, batch: int) -> None:
-        _write_batch(transform(rows) if transform else rows, path, batch)
+        rows = transform(rows) if transform else rows
+        staging = f"{path}/_batch-{batch}-{uuid.uuid4().hex}"
+        if format == "parquet":
+            rows.write.parquet(staging)
+        else:
+            sinks.save(rows, staging, format, timestamp)
+        _publish(rows.sparkSession, staging, f"{path}/batch={batch}")
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -41,37 +62,27 @@ def ingest_pages(pages: DataFrame, state: str, checkpoint: str, extract: Callabl
     def write(rows: DataFrame, batch: int) -> None:
         held = rows.persist()
         try:
-            listings = extract(held)
-            _write_batch(listings, f"{state}/listings", batch)
-            done = held if mark_failed else rows.sparkSession.read.parquet(f"{state}/listings").where(F.col("batch") == batch)
-            _write_batch(done.select(F.col("dealer_name").alias("name")).distinct(), f"{state}/done", batch)
+            listings = extract(held) if mark_failed else stored(extract(held))
+            done = held if mark_failed else listings
+            State(rows.sparkSession, state).add(batch, {"listings": listings, "done": done.select(F.col("dealer_name").alias("name")).distinct()})
         finally:
             held.unpersist()
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _held(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of the state; empty if there is none yet."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
 def completed(spark: SparkSession, state: str) -> DataFrame:
-    return _held(spark, f"{state}/done", "name string, batch long").select("name").distinct()
+    return State(spark, state).read("done", "name string").distinct()
 
 
 def gathered(spark: SparkSession, state: str) -> DataFrame:
     """The listings so far."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING)
-    return _held(spark, f"{state}/listings", f"{columns}, batch long").drop("batch")
+    return State(spark, state).read("listings", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING))
 
 
 def clear(spark: SparkSession, state: str) -> None:
     """Forget everything gathered so far."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    State(spark, state).clear()
 
 
 def deduplicated_stream(listings: DataFrame, delay: str = "1 day") -> DataFrame:
