@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_electric, price
 from ..functions.normalize import is_vin
-from ..functions.text import contains_any, false_if_null
+from ..functions.text import contains_any, false_if_null, once
 
 # Fixed values of the rules.
 ELECTRIC_MAKES = ("Tesla", "Rivian", "Lucid", "Polestar", "BYD", "Nio", "Xpeng", "Fisker", "Lordstown", "Canoo", "Faraday Future")
@@ -35,18 +35,16 @@ def likely_electric() -> Column:
     return (
         false_if_null(F.col("make").isin(*ELECTRIC_MAKES))
         | false_if_null(F.col("model").isin(*ELECTRIC_MODELS))
-        | false_if_null(contains_any(F.lower("model"), MODEL_WORDS))
-        | false_if_null(contains_any(F.lower("fuel_type"), FUEL_WORDS))
+        | once(F.lower("model"), lambda model: false_if_null(contains_any(model, MODEL_WORDS)))
+        | once(F.lower("fuel_type"), lambda fuel: false_if_null(contains_any(fuel, FUEL_WORDS)))
         | is_electric()
     )
 
 
 def is_placeholder() -> Column:
     """V4: whether a field holds a word of test data."""
-    out = F.lit(False)
-    for name in PLACEHOLDER_FIELDS:
-        out = out | false_if_null(contains_any(F.lower(F.col(name)), PLACEHOLDERS))
-    return out
+    fields = F.array(*[F.lower(F.col(name)) for name in PLACEHOLDER_FIELDS])
+    return F.exists(fields, lambda text: false_if_null(contains_any(text, PLACEHOLDERS)))
 
 
 def _dollars(amount: Column) -> Column:
@@ -63,23 +61,32 @@ def with_price_range(listings: DataFrame) -> DataFrame:
     return listings.join(F.broadcast(table), (F.col("make") == F.col("__make")) & (F.col("model") == F.col("__model")), "left").drop("__make", "__model")
 
 
-def price_range_warning() -> Column:
+def price_range_warning(cost: Column | None = None) -> Column:
     """V3: a warning if the price lies outside the model's range; reads __low and __high."""
-    cost = price()
+    cost = price() if cost is None else cost
     typical = F.concat(F.lit(" for "), "make", F.lit(" "), "model", F.lit(" (typical: "), _dollars(F.col("__low")), F.lit("-"), _dollars(F.col("__high")), F.lit(")"))
     return F.when((cost > 0) & (cost < F.col("__low")), F.concat(F.lit("Price "), _dollars(cost), F.lit(" seems low"), typical)).when(
         (cost > 0) & (cost > F.col("__high")), F.concat(F.lit("Price "), _dollars(cost), F.lit(" seems high"), typical)
     )
 
 
+def with_shared(listings: DataFrame) -> DataFrame:
+    """Add __cost, __electric, __other_fuel and __placeholder, which several rules read.
+
+    They leave a generator of one row: above it they are plain columns, computed once.
+    """
+    other = once(F.lower("fuel_type"), lambda fuel: contains_any(fuel, OTHER_FUELS) & ~contains_any(fuel, ("hybrid", "phev")))
+    shared = F.struct(price().alias("__cost"), likely_electric().alias("__electric"), other.alias("__other_fuel"), is_placeholder().alias("__placeholder"))
+    return listings.select("*", F.inline_outer(F.array(shared)))
+
+
 def errors(as_of_year: int, strict: bool = False) -> Column:
-    """V1a, V1b, V1d, V1e: array of error messages, in rule order."""
-    c, cost = F.col, price()
+    """V1a, V1b, V1d, V1e: array of error messages, in rule order; reads what ``with_shared`` adds."""
+    c, cost = F.col, F.col("__cost")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     missing = lambda name: c(name).isNull() | (c(name) == "")
     unlisted = lambda name: missing(name) | (c(name) == "Unknown")
     no_http = lambda name: ~false_if_null(c(name).startswith("http"))
-    fuel = F.lower("fuel_type")
     rules = [
         F.when(unlisted("make"), "Missing or unknown make"),
         F.when(unlisted("model"), "Missing or unknown model"),
@@ -90,27 +97,27 @@ def errors(as_of_year: int, strict: bool = False) -> Column:
         F.when(no_http("vehicle_url"), "Invalid or missing vehicle URL"),
         F.when(missing("dealer_name"), "Missing dealer name"),
         F.when(no_http("dealer_website"), "Invalid dealer website"),
-        F.when(~likely_electric(), text("Vehicle does not appear to be electric: ", c("year").cast("string"), " ", F.coalesce("make", F.lit("None")), " ", F.coalesce("model", F.lit("None")))),
-        F.when(contains_any(fuel, OTHER_FUELS) & ~contains_any(fuel, ("hybrid", "phev")), text("Non-electric fuel type: ", c("fuel_type"))),
+        F.when(~c("__electric"), text("Vehicle does not appear to be electric: ", c("year").cast("string"), " ", F.coalesce("make", F.lit("None")), " ", F.coalesce("model", F.lit("None")))),
+        F.when(c("__other_fuel"), text("Non-electric fuel type: ", c("fuel_type"))),
         F.when(c("mileage") > 300000, text("Extremely high mileage: ", F.format_number("mileage", 0))),
         F.when(c("mileage") < 0, text("Negative mileage: ", c("mileage").cast("string"))),
-        F.when(is_placeholder(), "Appears to be test/placeholder data"),
+        F.when(c("__placeholder"), "Appears to be test/placeholder data"),
     ]
     return F.array_compact(F.array(*rules))
 
 
 def warnings(strict: bool = False) -> Column:
-    """Array of warning messages, in rule order; reads __low and __high."""
+    """Array of warning messages, in rule order; reads __low, __high and what ``with_shared`` adds."""
     c = F.col
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     no_vin = c("vin").isNull() | (c("vin") == "")
     rules = [
-        F.lit(None).cast("string") if strict else F.when(price() <= 0, "Missing price - may be 'call for price' listing"),
+        F.lit(None).cast("string") if strict else F.when(c("__cost") <= 0, "Missing price - may be 'call for price' listing"),
         F.when(~no_vin & ~is_vin(c("vin")), text("Invalid VIN format: ", c("vin"))),
         F.when(no_vin, "Missing VIN (harder to verify uniqueness)") if strict else F.lit(None).cast("string"),
         F.when((c("new_used") == "new") & (c("mileage") > 500), text("High mileage for new car: ", c("mileage").cast("string"))),
         F.when(~false_if_null(c("new_used").isin("new", "used", "cpo")), text("Unusual condition value: ", F.coalesce("new_used", F.lit("None")))),
-        price_range_warning(),
+        price_range_warning(c("__cost")),
     ]
     return F.array_compact(F.array(*rules))
 
@@ -122,7 +129,7 @@ def validate(listings: DataFrame, *, as_of_year: int, strict: bool = False) -> D
     per row, which the optimizer neither copies into filters nor infers constraints from.
     """
     found = F.struct(errors(as_of_year, strict).alias("__errors"), F.transform(warnings(strict), lambda w: F.concat(F.lit("WARNING: "), w)).alias("__warnings"))
-    made = with_price_range(listings).select(*listings.columns, F.inline_outer(F.array(found)))
+    made = with_shared(with_price_range(listings)).select(*listings.columns, F.inline_outer(F.array(found)))
     return made.select(*listings.columns, (F.size("__errors") == 0).alias("is_valid"), F.concat("__errors", "__warnings").alias("issues"))
 
 

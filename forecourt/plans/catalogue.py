@@ -150,11 +150,12 @@ add("p09_absolute_url", lambda spark, d: table(spark, d, "pages").select("page_i
 
 # Duplicates.
 
-_WIN = """, k AS (SELECT *, CASE WHEN vin <> '' THEN upper(trim(vin)) END AS vk, lower(trim(vehicle_url)) AS uk FROM listings),
-v AS (SELECT *, CASE WHEN vk IS NULL THEN true ELSE row_number() OVER (PARTITION BY vk ORDER BY ord) = 1 END AS rep,
-  CASE WHEN vk IS NULL THEN true ELSE row_number() OVER (PARTITION BY vk ORDER BY scraped_at DESC NULLS LAST, ord) = 1 END AS vwin FROM k),
-u AS (SELECT *, row_number() OVER (PARTITION BY uk ORDER BY ord) = 1 AS ufirst, row_number() OVER (PARTITION BY uk ORDER BY scraped_at DESC NULLS LAST, ord) = 1 AS uwin FROM v WHERE rep),
-f AS (SELECT * FROM u WHERE uwin AND vwin UNION ALL BY NAME SELECT *, NULL AS ufirst, NULL AS uwin FROM v WHERE vwin AND NOT rep) """
+#: Keys, places and times only; each step is computed once.
+_WIN = f""", k AS MATERIALIZED (SELECT {_KEYS}, ord, scraped_at, CASE WHEN vin <> '' THEN upper(trim(vin)) END AS vk, lower(trim(vehicle_url)) AS uk FROM listings),
+v AS MATERIALIZED (SELECT *, vk IS NULL OR row_number() OVER (PARTITION BY vk ORDER BY ord) = 1 AS rep,
+  vk IS NULL OR row_number() OVER (PARTITION BY vk ORDER BY scraped_at DESC NULLS LAST, ord) = 1 AS vwin FROM k),
+u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY uk ORDER BY ord) = 1 AS ufirst, row_number() OVER (PARTITION BY uk ORDER BY scraped_at DESC NULLS LAST, ord) = 1 AS uwin FROM v WHERE rep),
+f AS (SELECT {_KEYS} FROM u WHERE uwin AND vwin UNION ALL SELECT {_KEYS} FROM v WHERE vwin AND NOT rep) """
 add("d1_dedup_survivors", on_listings(lambda df: dedup.deduplicate(df, ["ord"]).select(*KEYS)), f"{_L}{_WIN} SELECT {_KEYS} FROM f")
 add(
     "d1_dedup_first_seen",
