@@ -22,7 +22,7 @@ from .plans.pipeline import Result, register_dealers, run_listings, run_sites, s
 from .sources import listings as sources
 from .sources import sinks
 from .sources.config import RunSpec
-from .sources.dealers import read_dealers
+from .sources.dealers import find_dealers, read_dealers
 
 #: Settings that are read from the working folder if none are named; miles of a new car without settings.
 SETTINGS, NEW_MILES = "forecourt.json", 100
@@ -33,8 +33,8 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="forecourt", description=__doc__.splitlines()[0])
     source = parser.add_mutually_exclusive_group()
     source.add_argument("--input", help="listings: .csv, .json or .jsonl")
-    source.add_argument("--pages", help="captured pages: Parquet (url, html); needs --dealers")
-    parser.add_argument("--dealers", help="dealer CSV, in either layout")
+    source.add_argument("--pages", help="captured pages: Parquet (url, html)")
+    parser.add_argument("--dealers", help="dealer CSV, in either layout (default: looked for in the usual places)")
     parser.add_argument("--as-of-year", type=int, help="the year that new and plausible vehicles are judged by")
     parser.add_argument("--site", action="append", dest="sites", help="a dealer's slug; may be repeated")
     parser.add_argument("--all-sites", action="store_true", default=None, help="all dealers (the default without --site)")
@@ -81,7 +81,7 @@ def run(spark: SparkSession, args: argparse.Namespace, spec: RunSpec) -> Result:
     if args.input:
         return run_listings(read(spark, args.input, args.as_of_year), ["vehicle_url", "scraped_at", "vin", "stock_number"], spec.filter, as_of_year=args.as_of_year)
     pages = spark.read.parquet(args.pages)
-    known = register_dealers(read_dealers(spark, args.dealers), as_of_year=args.as_of_year, scraped_at=F.current_timestamp())
+    known = register_dealers(read_dealers(spark, args.dealers or find_dealers(spark)), as_of_year=args.as_of_year, scraped_at=F.current_timestamp())
     wanted = list(spec.sites) if spec.sites and not args.all_sites else known
     log.info("%d of %d dealers", len(wanted), len(sites()))
     return run_sites(pages, wanted, spec.filter, as_of_year=args.as_of_year)
@@ -93,8 +93,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         RunSpec().save(args.create_config)
         print(f"default settings written to {args.create_config}")
         return 0
-    if not args.as_of_year or not (args.input or args.pages and args.dealers):
-        print("--as-of-year and --input, or --pages with --dealers, are needed", file=sys.stderr)
+    if not args.as_of_year or not (args.input or args.pages):
+        print("--as-of-year and --input or --pages are needed", file=sys.stderr)
         return 2
     try:
         spec = settings(args)

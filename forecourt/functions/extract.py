@@ -155,6 +155,53 @@ def body_style(text: Column) -> Column:
     return F.coalesce(first_group(text, P.BODY_STYLE_LABEL), first_group(text, P.BODY_STYLE_VALUE))
 
 
+#: Fixed: the kinds of prices in the order in which they are tried, and the words around them.
+PRICE_KINDS = (("msrp", "manufacturer", "sticker", "retail"), ("sale", "our price", "internet", "e-price", "dealer price", "special"), ("total", "final", "out the door", "otd"))
+_AROUND = 50
+
+
+def text_prices(text: Column) -> Column:
+    """X22 over a text: struct(msrp, sale_price, total_price) by the words around each dollar amount.
+
+    The text is split at its amounts. The 50 characters on either side of one are in the ends
+    of the pieces next to it, so pieces are cut to their ends first and no place in the text
+    is ever looked up: the work is linear in the text, in one pass over an array.
+    """
+    ends = lambda p: F.when(F.length(p) > 2 * _AROUND, F.concat(F.left(p, F.lit(_AROUND)), F.right(p, F.lit(_AROUND)))).otherwise(p)
+    parts = F.struct(
+        F.transform(F.split(text, P.PRICE, -1), ends).alias("between"),
+        F.regexp_extract_all(text, F.lit(P.PRICE), F.lit(0)).alias("found"),
+        F.regexp_extract_all(text, F.lit(P.PRICE), F.lit(1)).alias("number"),
+    )
+
+    def judged(x: Column) -> Column:
+        """Amount and kind (0 to 2, null for none) of each match."""
+        pairs = F.flatten(F.transform(x["between"], lambda p, i: F.array(p, F.coalesce(F.get(x["found"], i), F.lit("")))))
+
+        def one(number: Column, i: Column) -> Column:
+            # Element 2i + 1 of the pairs is the match; it has two characters at least, so 25 others bound 50.
+            at, most = 2 * i + 1, _AROUND + 2
+            before = F.array_join(F.slice(pairs, F.greatest(at - most, F.lit(0)) + 1, at - F.greatest(at - most, F.lit(0))), "")
+            after = F.array_join(F.slice(pairs, at + 2, F.lit(most)), "")
+            around = F.lower(F.concat(F.right(before, F.lit(_AROUND)), F.get(pairs, at), F.left(after, F.lit(_AROUND))))
+            kind = once(around, lambda t: F.coalesce(*[F.when(contains_any(t, words), F.lit(k)) for k, words in enumerate(PRICE_KINDS)]))
+            return F.struct(F.floor(F.replace(number, F.lit(","), F.lit("")).try_cast("double")).cast("double").alias("v"), kind.alias("kind"))
+
+        return F.filter(F.transform(x["number"], one), lambda p: p["v"] > 0)
+
+    def add(s: Column, p: Column) -> Column:
+        is_sale = (p["kind"] == 1) | (p["kind"].isNull() & s["sale"].isNull())
+        return F.struct(
+            F.when(p["kind"] == 0, F.greatest(s["msrp"], p["v"])).otherwise(s["msrp"]).alias("msrp"),
+            F.when(F.coalesce(is_sale, F.lit(False)), F.least(s["sale"], p["v"])).otherwise(s["sale"]).alias("sale"),
+            F.when(p["kind"] == 2, p["v"]).otherwise(s["total"]).alias("total"),
+        )
+
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("msrp"), none.alias("sale"), none.alias("total"))
+    return once(F.aggregate(once(parts, judged), start, add), lambda s: F.struct(s["msrp"].alias("msrp"), s["sale"].alias("sale_price"), F.coalesce(s["total"], s["sale"]).alias("total_price")))
+
+
 def listings_of_pages(pages: DataFrame, *, as_of_year: int, scraped_at: Column, profile: str = "generic") -> DataFrame:
     """Listings from rows (url, html, dealer_name, dealer_website, city).
 

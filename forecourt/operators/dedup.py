@@ -37,32 +37,62 @@ def _lateness(rows: DataFrame, prefer_latest: bool) -> Column:
     return F.struct(F.col("t").isNull(), F.lit("2000-01-01 00:00:00").cast(rows.schema["t"].dataType) - F.col("t"))
 
 
-def _chosen(rows: DataFrame, key: str, prefer_latest: bool, *more: str) -> DataFrame:
-    """Per key: ``r``, its first row (o, t, more), ``w``, the row that wins over it, and ``n``, its rows.
+def _minima(rows: DataFrame, key: str, prefer_latest: bool, *more: str) -> DataFrame:
+    """Per key: ``r``, its first row (o, t, more), ``late``, its newest one, and ``n``, its rows.
 
     Minima of structs, so they are combined before the exchange and a key that holds a third
-    of the rows costs one row per task. The newest row wins unless the first has no time.
+    of the rows costs one row per task; minima of parts can be combined again at any time.
     """
-    found = rows.groupBy(key).agg(
+    return rows.groupBy(key).agg(
         F.min(F.struct("o", "t", *more)).alias("r"),
         F.min(F.struct(_lateness(rows, prefer_latest).alias("late"), "o", "t", *more)).alias("late"),
         F.count("*").alias("n"),
     )
+
+
+def _combined(parts: DataFrame, key: str) -> DataFrame:
+    return parts.groupBy(key).agg(F.min("r").alias("r"), F.min("late").alias("late"), F.sum("n").alias("n"))
+
+
+def _decided(found: DataFrame, key: str, *more: str) -> DataFrame:
+    """Minima with ``w``, the row that wins over ``r``: the newest one, unless the first has no time."""
     w = F.when(F.col("r.t").isNull(), F.col("r")).otherwise(F.struct("late.o", "late.t", *[f"late.{m}" for m in more]))
     return found.select(key, "r", w.alias("w"), "n")
 
 
+def _narrow(listings: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Only keys, places and times decide."""
+    return listings.select(vin_key().alias("vk"), url_key().alias("uk"), _order(order).alias("o"), F.col("scraped_at").alias("t"))
+
+
+def _of_vins(minima: DataFrame) -> DataFrame:
+    """Representatives (o, t, uk, w: place of the VIN's winner, n) of VINs."""
+    return _decided(minima, "vk", "uk").select("r.o", "r.t", "r.uk", F.col("w.o").alias("w"), "n")
+
+
+def _alone(narrow: DataFrame) -> DataFrame:
+    """Rows without a VIN stand for themselves and go through no exchange for it."""
+    return narrow.where("vk is null").select("o", "t", "uk", F.col("o").alias("w"), F.lit(1).cast("long").alias("n"))
+
+
 def _stages(listings: DataFrame, order: Sequence[str], prefer_latest: bool) -> tuple[DataFrame, DataFrame]:
-    """Representatives (o, t, uk, w: place of its VIN's winner, n: rows of its VIN), and the choice per address.
+    """Representatives of VINs and of rows without one, and the choice per address."""
+    narrow = _narrow(listings, order)
+    representatives = _of_vins(_minima(narrow.where("vk is not null"), "vk", prefer_latest, "uk")).union(_alone(narrow))
+    return representatives, _decided(_minima(representatives, "uk", prefer_latest, "w"), "uk", "w")
 
-    Only keys, places and times are read; rows without a VIN stand for themselves and go
-    through no exchange for it.
-    """
-    narrow = listings.select(vin_key().alias("vk"), url_key().alias("uk"), _order(order).alias("o"), F.col("scraped_at").alias("t"))
-    by_vin = _chosen(narrow.where("vk is not null"), "vk", prefer_latest, "uk").select("r.o", "r.t", "r.uk", F.col("w.o").alias("w"), "n")
-    alone = narrow.where("vk is null").select("o", "t", "uk", F.col("o").alias("w"), F.lit(1).cast("long").alias("n"))
-    representatives = by_vin.union(alone)
-    return representatives, _chosen(representatives, "uk", prefer_latest, "w")
+
+def choices(listings: DataFrame, order: Sequence[str], prefer_latest: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a part of the rows says about D1: minima per VIN, and per address of rows without one."""
+    narrow = _narrow(listings, order)
+    return _minima(narrow.where("vk is not null"), "vk", prefer_latest, "uk"), _minima(_alone(narrow), "uk", prefer_latest, "w")
+
+
+def deduplicate_parts(rows: DataFrame, by_vin: DataFrame, by_url: DataFrame, order: Sequence[str], prefer_latest: bool = True) -> DataFrame:
+    """D1 over rows of many parts from the ``choices`` of each part, without deciding on the rows anew."""
+    representatives = _of_vins(_combined(by_vin, "vk"))
+    addresses = _minima(representatives, "uk", prefer_latest, "w").unionByName(by_url)
+    return _at(rows, order, _survivors(representatives, _decided(_combined(addresses, "uk"), "uk", "w")))
 
 
 def _survivors(representatives: DataFrame, by_url: DataFrame) -> DataFrame:

@@ -321,7 +321,7 @@ for _name, _make, _sql in (
     ("x21_make_model", lambda: {"make": X.make_model(F.col("body"))["make"], "model": X.make_model(F.col("body"))["model"]}, f"{_first(patterns.MAKE_MODEL)} AS make, {_first(patterns.MAKE_MODEL, group=2)} AS model"),
 ):
     add(_name, lambda spark, d, m=_make: _texts(spark, d, **m()), f"{_R} SELECT {_KEYS}, {_sql} FROM rendered")
-add("x22_page_prices", lambda spark, d: rendered(spark, d).select(*KEYS, H.page_facts("body", F.lit(""), F.lit(""))["prices"].alias("p")).select(*KEYS, "p.*"))
+add("x22_page_prices", lambda spark, d: rendered(spark, d).select(*KEYS, X.text_prices(F.col("body")).alias("p")).select(*KEYS, "p.*"))
 add("w1_keywords", lambda spark, d: spark.sql("SELECT explode(array('vin', 'price', 'other')) AS field").select("field", F.size(N.keywords(F.col("field"))).alias("n")), "SELECT * FROM (VALUES ('vin', 3), ('price', 10), ('other', 0)) t(field, n)")
 add("w2_keyword", lambda spark, d: table(spark, d, "documents").select("doc_id", N.has_keyword(F.col("text"), "fuel_type").alias("any_case"), N.has_keyword(F.col("text"), "condition", True).alias("exact")), "SELECT doc_id, regexp_matches(lower(text), 'fuel|engine|hybrid|electric|ev') OR contains(lower(text), 'phev') AS any_case, regexp_matches(text, 'Condition|New|Used|Pre-Owned|CPO') AS exact FROM documents")
 

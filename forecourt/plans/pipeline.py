@@ -64,7 +64,8 @@ def _of_dealers(pages: DataFrame, dealers: Sequence[_Dealer]) -> DataFrame:
     """One join of the pages with all the dealers, by host; a page belongs to the dealer whose address it starts with."""
     side = pages.sparkSession.createDataFrame([(d.name, d.website, d.city) for d in dealers], "dealer_name string, dealer_website string, city string")
     side = side.withColumn("__host", url_host("dealer_website"))
-    rows = pages.select("url", "html").join(F.broadcast(side), (url_host("url") == F.col("__host")) & F.startswith("url", F.col("dealer_website"))).drop("__host")  # named by the caller, so few
+    # Named by the caller, so few: Spark knows their size and broadcasts them while they are small.
+    rows = pages.select("url", "html").join(side, (url_host("url") == F.col("__host")) & F.startswith("url", F.col("dealer_website"))).drop("__host")
     return dealers[0].extract(rows)
 
 

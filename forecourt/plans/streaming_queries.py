@@ -11,7 +11,7 @@ from ..sources import sinks
 from ..sources.shared import scratch
 from ..streaming import ingest
 from .catalogue import SQL, YEAR
-from .views import listings, table
+from .views import KEYS, listings, table
 
 
 def k5_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,19 @@ def k1_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_jsonl(spark, f"{home}/cars.jsonl", as_of_year=YEAR).select("vehicle_url", "year", "vin", "msrp", "description", "features")
 
 
-STREAMING: dict[str, Callable[[SparkSession, str], DataFrame]] = {"k5_stream_append": k5_stream_append, "s3_csv_roundtrip": s3_csv_roundtrip, "k1_json_roundtrip": k1_json_roundtrip}
+def d1_streamed_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 over a stream of three batches, then the survivors of all of them."""
+    home, rows = scratch(spark), listings(spark, sf_dir)
+    for part in range(3):
+        rows.where(f"l_orderkey % 3 = {part}").write.parquet(f"{home}/in/{part}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{home}/in")
+        ingest.deduplicate_stream(stream, f"{home}/state", f"{home}/checkpoint", ["ord"]).awaitTermination()
+    return ingest.deduplicated(spark, f"{home}/state", rows, ["ord"]).select(*KEYS)
+
+
+STREAMING: dict[str, Callable[[SparkSession, str], DataFrame]] = {"k5_stream_append": k5_stream_append, "s3_csv_roundtrip": s3_csv_roundtrip, "k1_json_roundtrip": k1_json_roundtrip, "d1_streamed_survivors": d1_streamed_survivors}
 _WITH = SQL["p01_price"].split(" SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce")[0]
+SQL["d1_streamed_survivors"] = SQL["d1_dedup_survivors"]
 SQL["k5_stream_append"] = "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'"
 SQL["s3_csv_roundtrip"] = f"{_WITH} SELECT vehicle_url, year, nullif(vin, '') AS vin, msrp, replace(description, chr(10), ' ') AS description, features FROM listings WHERE year <= {YEAR + 1}"
 SQL["k1_json_roundtrip"] = f"{_WITH} SELECT vehicle_url, year, vin, msrp, description, features FROM listings WHERE year <= {YEAR + 1}"

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, strip
 
 
+#: Fixed: the dealer file's name, and where it is looked for.
+DEALER_FILES = ("dealerships.csv", "../dealerships.csv")
+
+
+def find_dealers(spark: SparkSession, *more: str, usual: Sequence[str] = DEALER_FILES) -> str:
+    """The first path that exists, of the given ones, then of the usual places; the first usual one if none does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return next((p for p in (*more, *usual) if path(p).getFileSystem(conf).exists(path(p))), usual[0])
+
+
 def read_dealers(spark: SparkSession, path: str) -> DataFrame:
     """(ord, id, name, website, new_inventory_url, city) from either layout of dealer CSV.
 

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, removed with the session; a temporary one only under a local master where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and made.isDefined():
+        root = made.get()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

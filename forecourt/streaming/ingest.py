@@ -8,12 +8,13 @@ a batch that is written again replaces itself, so a restart neither loses nor re
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import dedup
 from ..operators.dedup import vin_key
 from ..schema import LISTING
 from ..sources import sinks
@@ -85,7 +86,30 @@ def clear(spark: SparkSession, state: str) -> None:
     State(spark, state).clear()
 
 
-def deduplicated_stream(listings: DataFrame, delay: str = "1 day") -> DataFrame:
+def deduplicate_stream(listings: DataFrame, state: str, checkpoint: str, order: Sequence[str], prefer_latest: bool = True, available_now: bool = True) -> StreamingQuery:
+    """D1 over a stream: each batch adds its rows and what they say about every VIN and address.
+
+    A later row replaces an earlier one, or comes too late to do so, however far apart they
+    are: the minima of all batches are combined when ``deduplicated`` reads them. Rows and
+    minima of a batch count from one version of the state on.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        by_vin, by_url = dedup.choices(rows, order, prefer_latest)
+        State(rows.sparkSession, state).add(batch, {"rows": rows, "vins": by_vin, "urls": by_url})
+
+    writer = listings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def deduplicated(spark: SparkSession, state: str, like: DataFrame, order: Sequence[str], prefer_latest: bool = True) -> DataFrame:
+    """The survivors of D1 among all rows so far; ``like`` has the columns of the stream."""
+    held = State(spark, state)
+    by_vin, by_url = (part.schema for part in dedup.choices(like, order, prefer_latest))
+    return dedup.deduplicate_parts(held.read("rows", like.schema), held.read("vins", by_vin), held.read("urls", by_url), order, prefer_latest)
+
+
+def recent_only(listings: DataFrame, delay: str = "1 day") -> DataFrame:
     """Rows of a stream whose VIN (or, without one, address) was not seen within the delay."""
     timed = listings.withColumn("__time", F.col("scraped_at").cast("timestamp")).withWatermark("__time", delay)
     key = F.coalesce(F.concat(F.lit("v:"), vin_key()), F.concat(F.lit("u:"), F.lower("vehicle_url")))

@@ -97,3 +97,41 @@ def test_a_batch_that_fails_half_way_is_run_again(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(8))
     with pytest.raises(ValueError, match="unknown format"):
         ingest.append_stream(source(), out, checkpoint, format="xml")
+
+
+def test_duplicates_over_a_stream_are_those_of_a_batch(spark, tmp_path):
+    import random
+
+    from forecourt.operators import dedup
+    from forecourt.streaming.state import State
+
+    r = random.Random(6)
+    schema = "ord int, vin string, vehicle_url string, scraped_at timestamp_ntz, other string"
+    rows = [(n, r.choice([None, "", "a", "A ", "b", "c", "d", "e"]), r.choice(["u1", "U1", "u2", "u3", None, ""]), r.choice([None, *(f"2024-01-0{d} 00:00:00" for d in range(1, 6))]), str(n)) for n in range(120)]
+    r.shuffle(rows)
+    frame = lambda part: spark.createDataFrame([(*x[:3], None if x[3] is None else __import__("datetime").datetime.fromisoformat(x[3]), x[4]) for x in part], schema)
+    state, checkpoint, source = (str(tmp_path / x) for x in ("state", "checkpoint", "in"))
+    for n, part in enumerate((rows[:50], rows[50:60], rows[60:])):
+        frame(part).write.parquet(f"{source}/{n}")
+        ingest.deduplicate_stream(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source), state, checkpoint, ["ord"]).awaitTermination()
+        done = frame(rows[: (50, 60, 120)[n]])
+        got = ingest.deduplicated(spark, state, done, ["ord"])
+        assert sorted(x.ord for x in got.collect()) == sorted(x.ord for x in dedup.deduplicate(done, ["ord"]).collect())
+    again = ingest.deduplicate_stream(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source), state, str(tmp_path / "other"), ["ord"])
+    again.awaitTermination()  # a new checkpoint: one batch of all rows in the place of batch 0
+    got = ingest.deduplicated(spark, state, done, ["ord"])
+    assert sorted(x.ord for x in got.collect()) == sorted(x.ord for x in dedup.deduplicate(done, ["ord"]).collect())
+    held = State(spark, state)
+    parts = dedup.choices(done, ["ord"])
+    held.compact({"rows": done.schema, "vins": parts[0].schema, "urls": parts[1].schema})
+    assert len(held.version()[1]) == 1 and ingest.deduplicated(spark, state, done, ["ord"]).count() == got.count()
+
+
+def test_recent_rows_of_a_stream(spark, tmp_path):
+    """Within the delay the first row of a VIN (or address) stays."""
+    schema = "vin string, vehicle_url string, scraped_at timestamp_ntz"
+    spark.sql("SELECT * FROM VALUES ('a', 'u1', timestamp_ntz'2024-01-01 00:00:00'), ('A', 'u2', timestamp_ntz'2024-01-01 00:00:00'), (NULL, 'U3', timestamp_ntz'2024-01-01 00:00:00'), (NULL, 'u3', timestamp_ntz'2024-01-01 00:00:00') t(vin, vehicle_url, scraped_at)").write.parquet(str(tmp_path / "in"))
+    rows = ingest.recent_only(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    ingest.append_stream(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.vin or "").upper() or r.vehicle_url.lower() for r in got) == ["A", "u3"]
