@@ -414,5 +414,5 @@ _VALID = _LAX.replace("SELECT l.*,", f"SELECT l.*,").replace("FROM listings l LE
 add(
     "e_run_listings",
     run,
-    f"{_VALID}{_WIN.replace('FROM listings)', 'FROM judged WHERE len(errors) = 0)')} SELECT {_KEYS} FROM f WHERE {_ELECTRIC} AND {_PRICE} <= 90000 AND coalesce(in_stock_status, '') <> 'sold' AND new_used = 'new' AND CASE WHEN mileage IS NULL THEN year >= {YEAR - 1} ELSE mileage <= 400 END",
+    f"{_VALID}{_WIN.replace('FROM listings)', 'FROM judged WHERE len(errors) = 0)')} SELECT {_KEYS} FROM f JOIN judged USING ({_KEYS}) WHERE {_ELECTRIC} AND {_PRICE} <= 90000 AND coalesce(in_stock_status, '') <> 'sold' AND new_used = 'new' AND CASE WHEN mileage IS NULL THEN year >= {YEAR - 1} ELSE mileage <= 400 END",
 )
