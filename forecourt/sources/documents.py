@@ -31,7 +31,7 @@ _REST_OF_STRING = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
 #: Escaped signs; outside of strings there are none, so quotes count alike wherever a text begins.
 _QUOTE = re.compile(r"\\.", re.S)
 ITEM, HEAD, MORE, AROUND, END = range(5)
-_SUMMARY = "document string, file string, block long, file_size long, n long, bytes long, quotes int, outside struct<depth: int, closed: int, sections: map<int, string>>, inside struct<depth: int, closed: int, sections: map<int, string>>"
+_SUMMARY = "document string, file string, block long, file_size long, n long, bytes long, blank boolean, quotes int, outside struct<depth: int, closed: int, sections: map<int, string>>, inside struct<depth: int, closed: int, sections: map<int, string>>"
 _PIECES = "document string, file string, block long, seq long, kind int, text string"
 
 
@@ -60,6 +60,7 @@ def write_document(rows: DataFrame, path: str, header: Callable[[int], str], foo
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
+    rows = rows.toDF("value")
     spark, name = rows.sparkSession, uuid.uuid4().hex
     system, home = _files(spark, path)
     is_file = system.exists(home) and system.getFileStatus(home).isFile()
@@ -68,7 +69,7 @@ def write_document(rows: DataFrame, path: str, header: Callable[[int], str], foo
     staging = f"{path}.{STAGING}{name}" if is_file else f"{path}/{STAGING}{name}"
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
     written = F.count("*").alias("n")
-    seen = _Seen(rows.select(F.concat(F.when(first, "").otherwise(","), rows.columns[0]).alias("value")), written)
+    seen = _Seen(rows.select(F.concat(F.when(first, "").otherwise(","), "value").alias("value")), written)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     try:
         seen.rows.write.option("lineSep", "\n" if pretty else " ").text(staging)
@@ -207,8 +208,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Depths are counted from the split's beginning; only sections at or below the next depth can matter.
         ways = [Scanner(False), Scanner(True)]
         n = size = quotes = 0
+        blank = False
         closed = [0, 0]
         for length, text in fragments:
+            blank = not text.strip()
             n, size, quotes = n + 1, size + length, quotes + _QUOTE.sub("", text).count('"')
             closed = [way.run(text) for way in ways]
             for way in ways:
@@ -217,8 +220,8 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [[{"depth": way.depth, "closed": c, "sections": [(d, s) for d, s in way.sections.items() if d <= 1]}] for way, c in zip(ways, closed)]
         kind = pa.struct([("depth", pa.int32()), ("closed", pa.int32()), ("sections", pa.map_(pa.int32(), pa.string()))])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([first["document"]]), pa.array([first["file"]]), pa.array([first["block"]], pa.int64()), pa.array([first["file_size"]], pa.int64()), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([quotes % 2], pa.int32()), *[pa.array(side, kind) for side in sides]],
-            [part.split()[0] for part in ("document", "file", "block", "file_size", "n", "bytes", "quotes", "outside", "inside")],
+            [pa.array([first["document"]]), pa.array([first["file"]]), pa.array([first["block"]], pa.int64()), pa.array([first["file_size"]], pa.int64()), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([blank]), pa.array([quotes % 2], pa.int32()), *[pa.array(side, kind) for side in sides]],
+            [part.split()[0] for part in ("document", "file", "block", "file_size", "n", "bytes", "blank", "quotes", "outside", "inside")],
         )
 
 
@@ -230,7 +233,9 @@ def _beginnings(fragments: DataFrame) -> DataFrame:
     of_file = Window.partitionBy("file")
     # The last split with a fragment: those behind it are filled by the fragment that begins there.
     at_end = F.lead("block").over(of_file.orderBy("block")).isNull()
-    open_end = at_end & (F.sum(F.col("bytes") + F.col("n")).over(of_file) > F.col("file_size"))
+    # Fragments and braces make up the file, or one brace too many; not so if it is compressed.
+    total = F.sum(F.col("bytes") + F.col("n")).over(of_file)
+    open_end = at_end & F.when(total.isin(F.col("file_size"), F.col("file_size") + 1), total > F.col("file_size")).otherwise(F.col("blank"))
     known = found.withColumn("open_end", open_end).withColumn("in_string", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
     way = F.when(F.col("in_string"), F.col("inside")).otherwise(F.col("outside"))
     moved = known.withColumn("way", way).withColumn("moved", F.col("way.depth") - F.when(F.col("open_end"), F.col("way.closed")).otherwise(0))

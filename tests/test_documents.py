@@ -148,3 +148,11 @@ def test_damaged_state_is_no_state(spark, tmp_path, small_splits):
         (tmp_path / "bad.json").write_text(state[:-n])
         cars, done = listings.read_state(spark, str(tmp_path / "bad.json"))
         assert cars.count() == done.count() == 0
+
+
+def test_compressed_documents(spark, tmp_path):
+    import gzip
+
+    for n, end in enumerate(("", "\n", "  \n\n")):
+        (tmp_path / f"{n}.json.gz").write_bytes(gzip.compress((json.dumps({"cars": [CAR | {"vehicle_url": f"https://d/{n}/{i}", "model": "x" * 500} for i in range(9)]}) + end).encode()))
+    assert listings.read_json(spark, str(tmp_path), as_of_year=2024).count() == 27
