@@ -39,7 +39,7 @@ from .vectors import from_binary, quantised, to_binary
 SCALE, ANCHOR_EVERY, RELABEL_EVERY, LABELS = 256, 100, 7, 10
 POSITIVES, NEGATIVES, LEAST, MOST = 5, 10, 30, 90
 #: Rows that a task holds; anchors and rows of a tile; pairs whose products are taken at once.
-GROUP_ROWS, TILE_ANCHORS, TILE_ROWS, PAIRS = 1 << 17, 256, 8192, 1 << 14
+GROUP_ROWS, TILE_ANCHORS, TILE_ROWS, PAIRS = 1 << 19, 256, 8192, 1 << 14
 #: Rows of a group's first tile, which sets the ranks to beat; later ones double.
 FIRST_ROWS = 256
 #: Share of surviving pairs at which the products are taken rather than more components.
@@ -85,16 +85,18 @@ class Rotated:
     """Integer vectors with their rotated components and the norms of what is left after each step."""
 
     def __init__(self, vectors: np.ndarray, turn: np.ndarray):
-        self.exact = vectors
-        turned = vectors.astype(float) @ turn
-        width = turned.shape[1]
+        self.exact, (n, width) = vectors, vectors.shape
         self.steps = sorted({max(1, width // 4), max(1, width // 2), width})
-        square = np.cumsum(turned[:, ::-1] ** 2, axis=1)[:, ::-1]
-        rest = np.column_stack([square[:, s] if s < width else np.zeros(len(square)) for s in self.steps])
-        # Rounded up: no remainder and no norm is larger than it says here.
-        self.rest = (np.sqrt(rest) * (1 + 1e-6)).astype(np.float32)
-        self.norm = (np.sqrt(square[:, 0]) * (1 + 1e-6)).astype(np.float32)
-        self.turned = turned.astype(np.float32)
+        self.turned, self.rest, self.norm = (np.zeros(shape, np.float32) for shape in ((n, width), (n, len(self.steps)), n))
+        for at in range(0, n, TILE_ROWS):  # in double precision, a tile at a time
+            tile = slice(at, at + TILE_ROWS)
+            turned = vectors[tile].astype(float) @ turn
+            square = np.cumsum(turned[:, ::-1] ** 2, axis=1)[:, ::-1]
+            # Rounded up: no remainder and no norm is larger than it says here.
+            for k, step in enumerate(self.steps[:-1]):
+                self.rest[tile, k] = np.sqrt(square[:, step]) * (1 + 1e-6)
+            self.norm[tile] = np.sqrt(square[:, 0]) * (1 + 1e-6)
+            self.turned[tile] = turned
 
 
 def slack_factor(width: int) -> np.float32:
@@ -226,7 +228,8 @@ def _scan(turn: np.ndarray, most: int, least: int, largest: int, of_positives: b
                         number, parts, group = which // 2, [], None
                     parts.append(part)
                 elif which // 2 == number:
-                    group = group or Group(parts, turn)
+                    if group is None:
+                        group, parts = Group(parts, turn), []
                     anchors = Group([part], turn)
                     if of_positives:
                         yield from group.positives(anchors, most)
