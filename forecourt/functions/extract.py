@@ -101,7 +101,7 @@ def fuel_type(text: Column, structured: Column | None = None, labelled: Column |
             rest = rest.otherwise(fuel(hit))
         return rest
 
-    out = F.coalesce(fuel(first_group(text, P.FUEL_LABEL)), fuel(first_group(text, P.FUEL_VALUE)), once(first_group(text, P.ENGINE), by_engine))
+    out = once(text, lambda t: F.coalesce(fuel(first_group(t, P.FUEL_LABEL)), fuel(first_group(t, P.FUEL_VALUE)), once(first_group(t, P.ENGINE), by_engine)))
     return out if structured is None else F.when(structured.isNotNull(), fuel(structured)).otherwise(out)
 
 
@@ -142,7 +142,7 @@ def color(text: Column, side: str, labelled: Column | None = None, elements: Col
 
 def drive(text: Column) -> Column:
     """The labelled drivetrain if it is a known one, else a drivetrain word."""
-    return F.coalesce(drivetrain(first_group(text, P.DRIVETRAIN_LABEL)), drivetrain(first_group(text, P.DRIVETRAIN_VALUE)))
+    return once(text, lambda t: F.coalesce(drivetrain(first_group(t, P.DRIVETRAIN_LABEL)), drivetrain(first_group(t, P.DRIVETRAIN_VALUE))))
 
 
 def transmission(text: Column) -> Column:
@@ -152,7 +152,7 @@ def transmission(text: Column) -> Column:
 
 def body_style(text: Column) -> Column:
     """Labelled, else a body style word."""
-    return F.coalesce(first_group(text, P.BODY_STYLE_LABEL), first_group(text, P.BODY_STYLE_VALUE))
+    return once(text, lambda t: F.coalesce(first_group(t, P.BODY_STYLE_LABEL), first_group(t, P.BODY_STYLE_VALUE)))
 
 
 #: Fixed: the kinds of prices in the order in which they are tried, and the words around them.
