@@ -80,7 +80,8 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _made(spark, sf_dir, LISTS)
+    """Dealt out like ``details``."""
+    return _made(spark, sf_dir, LISTS).repartition(spark.sparkContext.defaultParallelism)
 
 
 def dealers(spark: SparkSession, sf_dir: str) -> DataFrame:

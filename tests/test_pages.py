@@ -8,6 +8,7 @@ import time
 import pytest
 from forecourt.functions import dom, html
 from forecourt.functions.html import page_error, page_facts, vehicle_cards
+from forecourt.plans import page_queries
 from forecourt.plans import pages as plan
 from pyspark.sql import functions as F
 
@@ -113,3 +114,19 @@ def test_closure_of_many_cycles(spark):
     """Cycles of 50 pages: 49 steps from each."""
     edges = spark.range(2000).select(F.col("id"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("u"), F.floor(F.col("id") / 50) * 50 + (F.col("id") + 1) % 50).alias("next_url"))
     assert plan.follow(edges.select("id", "url"), edges).count() == 2000 * 49
+
+
+def _parses(frame) -> int:
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_a_condition_on_facts_parses_pages_once(spark, data):
+    """Not below the exchange as well, where all pages of a small table are one task's."""
+    assert _parses(page_queries.extracted(spark, data).select("vehicle_url", "vin")) == 1
+
+
+def test_pages_of_more_than_one_slice_keep_their_order(spark):
+    n = 2 * html.PAGES_AT_ONCE + 3
+    pages = spark.range(0, n, 1, 1).select("id", F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("h"))
+    got = pages.select("id", page_facts("h", F.lit(""), F.lit(""))["heading"].alias("heading")).collect()
+    assert [(r.id, r.heading) for r in got] == [(i, str(i)) for i in range(n)]
