@@ -126,7 +126,8 @@ def with_bad_pages(spark: SparkSession, d: str) -> DataFrame:
     lists = M.lists(spark, d).select("url", "html", "base")
     deep = F.concat(F.repeat(F.lit('<div class="item">'), _DEEP), F.lit("<p>In Stock</p>"))
     bad = M.dealers(spark, d).where("id % 50 = 1").select(F.concat("website", F.lit("/deep")).alias("url"), deep.alias("html"), F.col("website").alias("base"))
-    return lists.union(bad)
+    # Dealt out once more: the deep pages are a hundred times as long as the others and come from one small table.
+    return lists.union(bad.repartition(spark.sparkContext.defaultParallelism))
 
 
 def cards_by_sql(spark: SparkSession, d: str) -> DataFrame:
