@@ -7,6 +7,7 @@ import pytest
 from forecourt.plans.catalogue import QUERIES, SQL
 from forecourt.plans.streaming_queries import STREAMING
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 ALL = QUERIES | STREAMING
 
@@ -51,6 +52,13 @@ def test_next_closure_of_every_page(spark, tmp_path):
     assert max(level for _, level, _ in want) == 50 and len(got) == len(want) and set(got) == want
 
 
+def test_next_closure_where_addresses_repeat(spark, tmp_path):
+    """Of several captures of an address the smallest next link counts, in the SQL as well."""
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("https://d/"), F.when(F.col("id") % 50 == 49, "0").otherwise(F.col("id") % 37)).alias("url"), F.lit("").alias("html"))
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert compare(QUERIES["h11_next_closure"](spark, str(tmp_path)), connect(str(tmp_path)), SQL["h11_next_closure"]) is None
+
+
 def test_digits_price_of_matches(spark, data):
     """Whole price texts have prices."""
     assert max(r.price for r in QUERIES["x18_digits_price_match"](spark, data).collect()) > 1000
