@@ -130,3 +130,13 @@ def test_pages_of_more_than_one_slice_keep_their_order(spark):
     pages = spark.range(0, n, 1, 1).select("id", F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("h"))
     got = pages.select("id", page_facts("h", F.lit(""), F.lit(""))["heading"].alias("heading")).collect()
     assert [(r.id, r.heading) for r in got] == [(i, str(i)) for i in range(n)]
+
+
+def test_only_candidates_are_parsed_for_inventories(spark):
+    """A page that is no dealer's candidate goes away before the parser sees it."""
+    dealers = spark.createDataFrame([("a", "https://a", None), ("b", "https://b", "https://b/all")], "id string, website string, new_inventory_url string")
+    pages = spark.createDataFrame([("https://a/new", "<p>Browse</p>"), ("https://a/vehicle/1", "<p>Browse</p>")], "url string, html string")
+    found = plan.inventory_urls(dealers, pages)
+    assert sorted(map(tuple, found.collect())) == [("a", "https://a/new"), ("b", "https://b/all")]
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in shown[shown.index("ArrowEvalPython") :]
