@@ -248,3 +248,12 @@ def test_empty_outputs(spark, tmp_path):
         sinks.save(nothing, str(tmp_path / f"x.{kind}"))
         assert sinks.count_saved(spark, str(tmp_path / f"x.{kind}"), kind) == 0
     assert listings.read_csv(spark, str(tmp_path / "x.csv"), as_of_year=2024).count() == 0
+
+
+def test_title_parts_of_long_names_are_computed_once(spark):
+    """A title's steps are not copied into each other: one make search a title, however many parts are read."""
+    rows = spark.createDataFrame([(["New 2024 Kia EV6", "Used", None, "Land Rover 2024 Defender 90"],)], "names array<string>")
+    parts = rows.select(F.transform("names", X.title_parts).alias("parts"))
+    plan = parts._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("split(") == 1
+    assert [(p.year, p.make, p.model) for p in parts.head().parts] == [(2024, "Kia", "EV6"), (None, None, None), (None, None, None), (2024, "Land Rover", "Rover Defender 90")]
