@@ -257,3 +257,16 @@ def test_title_parts_of_long_names_are_computed_once(spark):
     plan = parts._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract(") == 1 and plan.count("split(") == 1
     assert [(p.year, p.make, p.model) for p in parts.head().parts] == [(2024, "Kia", "EV6"), (None, None, None), (None, None, None), (2024, "Land Rover", "Rover Defender 90")]
+
+
+def test_valid_rows_are_judged_without_messages(spark):
+    """valid_only composes no message or warning and joins no price range, and keeps what validate calls valid."""
+    fields = {c: None for c in COLUMNS} | {"dealer_name": "D", "dealer_website": "https://d", "vehicle_url": "https://d/1", "year": 2024, "make": "Kia", "model": "EV6", "new_used": "new", "fuel_type": "electric", "sale_price": 41000.0}
+    odd = [{}, {"trim": "Demo"}, {"make": "te", "model": "st EV"}, {"trim": "te", "vin": "st"}, {"year": 2014}, {"sale_price": None}, {"fuel_type": "gasoline"}, {"fuel_type": None, "model": "Soul"}, {"mileage": 300001}, {"vin": "ABC000000"}, {"model": None}, {"dealer_name": None}]
+    rows = spark.createDataFrame([tuple((fields | o)[c] for c in COLUMNS) for o in odd], LISTING).withColumn("n", F.monotonically_increasing_id())
+    for strict in (False, True):
+        kept = quality.valid_only(rows, as_of_year=2024, strict=strict)
+        plan = kept._jdf.queryExecution().analyzed().toString()
+        assert "seems low" not in plan and "Join" not in plan
+        wanted = quality.validate(rows, as_of_year=2024, strict=strict).where("is_valid")
+        assert sorted(r.n for r in kept.select("n").collect()) == sorted(r.n for r in wanted.select("n").collect()) != []
