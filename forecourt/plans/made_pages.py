@@ -70,18 +70,20 @@ def duckdb(view: str) -> str:
     return _whole(view).format(supplier="supplier")
 
 
-def _made(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    return spark.sql(_whole(view), supplier=table(spark, sf_dir, "supplier"))
+def _made(spark: SparkSession, sf_dir: str, view: str, deal: bool = False) -> DataFrame:
+    """``deal``: suppliers are dealt out before their pages are made, which then take no exchange and no sort in one task."""
+    suppliers = table(spark, sf_dir, "supplier")
+    return spark.sql(_whole(view), supplier=suppliers.repartition(spark.sparkContext.defaultParallelism) if deal else suppliers)
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dealt out, since many pages come from a small table and each is parsed in Python."""
-    return _made(spark, sf_dir, DETAILS).repartition(spark.sparkContext.defaultParallelism)
+    return _made(spark, sf_dir, DETAILS, deal=True)
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dealt out like ``details``."""
-    return _made(spark, sf_dir, LISTS).repartition(spark.sparkContext.defaultParallelism)
+    return _made(spark, sf_dir, LISTS, deal=True)
 
 
 def dealers(spark: SparkSession, sf_dir: str) -> DataFrame:

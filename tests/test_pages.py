@@ -140,3 +140,24 @@ def test_only_candidates_are_parsed_for_inventories(spark):
     assert sorted(map(tuple, found.collect())) == [("a", "https://a/new"), ("b", "https://b/all")]
     shown = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in shown[shown.index("ArrowEvalPython") :]
+
+
+def test_pages_are_made_after_suppliers_are_dealt_out(spark, data):
+    """No exchange and no one task holds the pages' texts."""
+    for made in (page_queries.M.details, page_queries.M.lists):
+        shown = made(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "<html>" in shown[: shown.index("Repartition ")] and "<html>" not in shown[shown.index("Repartition ") :]
+
+
+def test_short_ways_lead_to_the_same_end(monkeypatch):
+    """Plain tags and labels, found quickly, are those that the parser and the patterns find."""
+    r = random.Random(8)
+    bits = ['<div class="price" id="">', "<DIV CLASS=x>", '<a href="/vehicle/1?a&amp;b" rel=next>', "</a>", "</div >", "<p", '<img src="a>b.jpg" alt="x">', "<br/>", '<p class="x" class="y">', '<script type="a">', "</script>", "<title>", "</title>", "<noscript>", "VIN: 1", "Sold :\n x", "Sold<", "available\n<", "ſold", "Exterior:", "<dt>", "<dd>", "<", ">", '"']
+    pages = ["".join(r.choice(bits) for _ in range(r.choice([3, 12, 60]))) for _ in range(400)]
+    tree = lambda root: [(n.name, n.attributes, n.number, n.end, n.enter, n.leave) for n in root.page.order]
+    short = [(tree(dom.parse(p)), dom.facts(p, "https://d", "https://d/x")) for p in pages]
+    calls = []
+    monkeypatch.setattr(dom._Builder, "parse_starttag", lambda self, i: calls.append(i) or dom.HTMLParser.parse_starttag(self, i))
+    monkeypatch.setattr(dom._Builder, "parse_endtag", dom.HTMLParser.parse_endtag)
+    monkeypatch.setattr(dom, "_written", lambda text, field, low: dom._WRITTEN[field].search(text))
+    assert short == [(tree(dom.parse(p)), dom.facts(p, "https://d", "https://d/x")) for p in pages] and calls
