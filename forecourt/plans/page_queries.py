@@ -28,8 +28,8 @@ _C = f"WITH cars AS ({M.duckdb(M.CARS)}) "
 _now = lambda: F.lit("2024-01-01 00:00:00")  # noqa: E731 - a column needs a session
 
 
-def extracted(spark: SparkSession, sf_dir: str, profile: str = "generic") -> DataFrame:
-    return listings_of_pages(M.details(spark, sf_dir), as_of_year=YEAR, scraped_at=_now(), profile=profile)
+def extracted(spark: SparkSession, sf_dir: str, profile: str = "generic", only: tuple[str, ...] | None = None) -> DataFrame:
+    return listings_of_pages(M.details(spark, sf_dir), as_of_year=YEAR, scraped_at=_now(), profile=profile, only=only)
 
 
 def facts(spark: SparkSession, sf_dir: str, profile: str = "generic") -> DataFrame:
@@ -58,7 +58,7 @@ _FOUND = {
     "j2_page_dealer": (("dealer_name", "dealer_website", "dealer_location_city", "dealer_location_state"), "dealer_name, dealer_website, CASE WHEN s % 2 = 0 THEN 'Portland' ELSE 'Vancouver Washington' END AS dealer_location_city, CASE WHEN s % 2 = 0 THEN 'OR' ELSE 'WA' END AS dealer_location_state"),
 }
 for _name, (_columns, _sql) in _FOUND.items():
-    add(_name, lambda spark, d, c=_columns: extracted(spark, d).select("vehicle_url", *c), f"{_C} SELECT url AS vehicle_url, {_sql} FROM cars")
+    add(_name, lambda spark, d, c=_columns: extracted(spark, d, only=("vehicle_url", *c)).select("vehicle_url", *c), f"{_C} SELECT url AS vehicle_url, {_sql} FROM cars")
 # The template takes the first block of its kind and items marked as features; the rendered profile takes none.
 add("h13_template_page", lambda spark, d: extracted(spark, d, "template").select("vehicle_url", "make", "description", "features", "images", "dealer_location_city"), f"{_C} SELECT url AS vehicle_url, make, {_DESCRIPTION} AS description, ['Heated seats'] AS features, [concat(dealer_website, '/vehicle/', m, '.jpg')] AS images, CAST(NULL AS VARCHAR) AS dealer_location_city FROM cars")
 add("h14_rendered_page", lambda spark, d: extracted(spark, d, "rendered").select("vehicle_url", "year", "make", "description", "features", "images"), f"{_C} SELECT url AS vehicle_url, year, make, CAST(NULL AS VARCHAR) AS description, CAST([] AS VARCHAR[]) AS features, [concat(dealer_website, '/vehicle/', m, '.jpg')] AS images FROM cars")
@@ -149,7 +149,7 @@ add("e1_cards_by_sql", cards_by_sql, f"SELECT page_url, detail_url, title, CASE
 add("e1_links_by_sql", links_by_sql, "SELECT s_suppkey AS s, concat('https://d', s_suppkey, '.net/inventory?page=', i) AS url FROM supplier, range(2, 4) t(i)")
 add("e2_site_plan", site_plan, f"SELECT detail_url AS vehicle_url, concat('1HGCM82', lpad(concat('X', s * 10 + i), 10, '7')) AS vin FROM ({_ONE}) WHERE s % 5 > 1")
 add("j4_unknown_sites", lambda spark, d: spark.createDataFrame([(n,) for n in lookups.unknown_sites(["a", "b", "c", "b"], ["c", "a"])], "name string"), "SELECT * FROM (VALUES ('b'), ('b')) t(name)")
-add("u2_restored_state", lambda spark, d: dedup.union_sites(extracted(spark, d).select("vehicle_url", "vin", "year"), listings(spark, d).select("vehicle_url", "make")), f"{_C.rstrip()}, {_L.removeprefix('WITH ')} SELECT url AS vehicle_url, vin, year, NULL AS make FROM cars UNION ALL SELECT vehicle_url, NULL, NULL, make FROM listings")
+add("u2_restored_state", lambda spark, d: dedup.union_sites(extracted(spark, d, only=("vehicle_url", "vin", "year")).select("vehicle_url", "vin", "year"), listings(spark, d).select("vehicle_url", "make")), f"{_C.rstrip()}, {_L.removeprefix('WITH ')} SELECT url AS vehicle_url, vin, year, NULL AS make FROM cars UNION ALL SELECT vehicle_url, NULL, NULL, make FROM listings")
 add("f19_order_kept", lambda spark, d: dedup.ranked(filters.filter_listings(listings(spark, d), FilterSpec.everything(makes=["Kia"]), as_of_year=YEAR), "dealer_name", "ord").select(*KEYS, "rank"), f"{_L} SELECT {', '.join(KEYS)}, row_number() OVER (PARTITION BY dealer_name ORDER BY ord) AS rank FROM listings WHERE make = 'Kia'")
 add("f20_some_remain", lambda spark, d: filters.remaining(M.dealers(spark, d), listings(spark, d).where("make = 'Tesla' AND trim = 'Demo'").select(F.col("dealer_name").alias("name"))).select("id", "name"), f"{_L} SELECT s_suppkey AS id, concat('Dealer ', s_suppkey) AS name FROM supplier WHERE concat('Dealer ', s_suppkey) NOT IN (SELECT dealer_name FROM listings WHERE make = 'Tesla' AND trim = 'Demo')")
 

@@ -10,6 +10,7 @@ from forecourt.functions import dom, html
 from forecourt.functions.html import page_error, page_facts, vehicle_cards
 from forecourt.plans import page_queries
 from forecourt.plans import pages as plan
+from forecourt.plans.catalogue import QUERIES
 from pyspark.sql import functions as F
 
 GOOD = '<div class="vehicle-card"><a href="/vehicle/1"><h3>2024 Kia</h3></a><span class="price">$41,000</span></div>' * 2
@@ -149,6 +150,20 @@ def test_pages_are_made_after_suppliers_are_dealt_out(spark, data):
         assert "<html>" in shown[: shown.index("Repartition ")] and "<html>" not in shown[shown.index("Repartition ") :]
 
 
+def test_only_wanted_columns_are_computed(spark, data):
+    """A query of images plans no other column's cascade; rows are those of whole listings."""
+    patterns = lambda rows: rows._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.RegExpExtract\"")
+    whole = page_queries.extracted(spark, data)
+    assert 4 * patterns(QUERIES["h6_images"](spark, data)) < patterns(whole.select("vehicle_url", "images"))
+    rows = whole.collect()
+    for some in (("fuel_type", "vehicle_url"), ("mileage_units", "vin", "year"), ("images", "dealer_location_city")):
+        got = page_queries.extracted(spark, data, only=some)
+        named = [c for c in whole.columns if c in some]
+        assert got.columns == named and sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in named) for r in rows)
+    with pytest.raises(ValueError, match="vim"):
+        page_queries.extracted(spark, data, only=("vim",))
+
+
 def test_short_ways_lead_to_the_same_end(monkeypatch):
     """Plain tags and labels, found quickly, are those that the parser and the patterns find."""
     r = random.Random(8)
