@@ -115,9 +115,13 @@ def linked(values: np.ndarray, start: int) -> list[tuple[int, int]]:
 
 
 def _counted(listed: DataFrame) -> DataFrame:
-    """(f, key, bucket) with the size n of its bucket, for buckets of two or more."""
+    """(f, key, bucket) with the size n of its bucket, for buckets of two or more.
+
+    Neither side is ever broadcast: Spark takes what an explode gives for no larger than what
+    goes in, 24 times too small here, and the driver would hold a whole listing.
+    """
     counts = listed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "k")
-    return listed.join(counts, F.col("bucket") == F.col("k")).select("f", "key", "bucket", "n")
+    return listed.hint("merge").join(counts.hint("merge"), F.col("bucket") == F.col("k")).select("f", "key", "bucket", "n")
 
 
 def links(distinct: DataFrame) -> DataFrame:

@@ -611,6 +611,15 @@ def test_links_lose_nothing(spark, monkeypatch, block):
     assert {r.node: r.root for r in found} == {f: find(f) for f in signed if find(f) != f}
 
 
+def test_listings_of_fingerprints_are_never_broadcast(spark, tmp_path):
+    """A table of fingerprints is small enough for the driver, the listing under 24 keys is not, and Spark gives both one size."""
+    spark.range(2000).select(F.xxhash64("id").alias("f")).write.parquet(f"{tmp_path}/f")
+    keyed = spark.read.parquet(f"{tmp_path}/f").select("f", F.explode(simhash.chain_keys(F.col("f"))).alias("key"))
+    counted = simhash._counted(keyed.withColumn("bucket", F.col("key")))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # 8
 
 
