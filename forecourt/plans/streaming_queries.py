@@ -36,7 +36,7 @@ def s3_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k1_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = scratch(spark)
-    sinks.write_jsonl(_constructible(spark, sf_dir), f"{home}/cars.jsonl")
+    sinks.write_jsonl(_constructible(spark, sf_dir), f"{home}/cars.jsonl", compression="gzip")
     return sources.read_jsonl(spark, f"{home}/cars.jsonl", as_of_year=YEAR).select("vehicle_url", "year", "vin", "msrp", "description", "features")
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import threading
+import time
+from pathlib import Path
 
 import pytest
+from forecourt.plans import streaming_queries
+from forecourt.sources.shared import cleaned
 from forecourt.streaming import ingest
 from forecourt.streaming.state import State, StateConflict
 from pyspark.sql import functions as F
@@ -135,3 +139,27 @@ def test_recent_rows_of_a_stream(spark, tmp_path):
     ingest.append_stream(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.vin or "").upper() or r.vehicle_url.lower() for r in got) == ["A", "u3"]
+
+
+def taken(path):
+    return sum(p.stat().st_size for p in Path(path).rglob("*") if p.is_file())
+
+
+def test_lines_that_are_read_back_take_little_disk(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming_queries, "scratch", lambda _: str(tmp_path))
+    got = streaming_queries.k1_json_roundtrip(spark, data)
+    made = streaming_queries._constructible(spark, data)
+    columns = ["vehicle_url", "year", "vin", "msrp", "description", "features"]
+    assert got.exceptAll(made.select(columns)).isEmpty() and got.count() == made.count() > 0
+    assert taken(tmp_path) < 6 * sum((Path(data) / f"{t}.parquet").stat().st_size for t in ("lineitem", "part", "supplier"))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    with cleaned(spark):
+        spark.range(10_000).groupBy(F.col("id") % 997).count().write.parquet(str(tmp_path / "out"))
+    end = time.time() + 10
+    while files() > before and time.time() < end:
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
