@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import listings as sources
 from ..sources import sinks
-from ..sources.shared import scratch
+from ..sources.shared import cleaned, discard, scratch
 from ..streaming import ingest
 from .catalogue import SQL, YEAR
 from .views import KEYS, listings, table
@@ -41,12 +41,14 @@ def k1_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1_streamed_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 over a stream of three batches, then the survivors of all of them."""
+    """D1 over a stream of three batches, then the survivors of all of them; what the state holds goes from the input."""
     home, rows = scratch(spark), listings(spark, sf_dir)
     for part in range(3):
-        rows.where(f"l_orderkey % 3 = {part}").write.parquet(f"{home}/in/{part}")
+        with cleaned(spark):
+            rows.where(f"l_orderkey % 3 = {part}").write.option("compression", "zstd").parquet(f"{home}/in/{part}")
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{home}/in")
         ingest.deduplicate_stream(stream, f"{home}/state", f"{home}/checkpoint", ["ord"]).awaitTermination()
+        discard(spark, f"{home}/in/{part}")
     return ingest.deduplicated(spark, f"{home}/state", rows, ["ord"]).select(*KEYS)
 
 

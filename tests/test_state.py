@@ -163,3 +163,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     while files() > before and time.time() < end:
         time.sleep(0.1)
     assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_streamed_rows_are_held_once(spark, data, tmp_path, monkeypatch):
+    """What the state holds is gone from the stream's input, and packed."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(streaming_queries, "scratch", lambda _: str(tmp_path))
+    got = streaming_queries.d1_streamed_survivors(spark, data)
+    assert not list((tmp_path / "in").rglob("*.parquet"))
+    held = [pq.ParquetFile(p).metadata for p in (tmp_path / "state/data").rglob("*.parquet")]
+    assert {m.row_group(0).column(0).compression for m in held if m.num_row_groups} == {"ZSTD"}
+    assert sum(m.num_rows for m in held) > got.count() > 0
