@@ -242,6 +242,35 @@ def test_attention_reaches_back():
     assert not np.allclose(a, b)
 
 
+def test_training_steps_follow_the_loss_of_scoring():
+    """Each gradient of a step is the slope of what scoring gives, also when batches of other sizes came before."""
+    r = np.random.default_rng(4)
+    ids = [r.integers(100, 160, n) for n in (1, 40, 200, 75)]
+    inputs, targets, _ = language_model.windows(ids)
+    model = language_model.Attention.fresh(language_model.find_classes(ids))
+    trainer = language_model.Trainer(model)
+    for size in (3, len(inputs), 2, len(inputs)):
+        trainer.train(inputs[:size], targets[:size], 0.01, 0.01)
+    before = {n: x.copy() for n, x in trainer.one.items()}
+    held = {n: getattr(model, n).copy() for n in language_model.DENSE}
+
+    def loss():
+        p = model.weights(np.where(inputs >= 0, inputs, language_model._BLANK + 1), model.tables(), language_model._offsets(model.distance) + language_model._CAUSAL)
+        real = targets.ravel() >= 0
+        return -np.log(p[np.arange(len(p)), model.classes[targets.ravel().clip(0)]] / p.sum(1))[real].mean(dtype=float)
+
+    trainer.train(inputs, targets, 0.0, 0.0)
+    for n in language_model.DENSE:
+        slope = (trainer.one[n] - 0.9 * before[n]) / 0.1
+        size = np.linalg.norm(slope)
+        around = []
+        for sign in (1, -1):
+            setattr(model, n, held[n] + np.float32(sign * 0.01) * slope / size)
+            around.append(loss())
+        setattr(model, n, held[n])
+        assert size > 0 and abs((around[0] - around[1]) / 0.02 / size - 1) < 0.03, n
+
+
 def test_attention_is_trained_on_all_rows(spark, monkeypatch):
     """Long texts, and ids that no sampled text has, get classes and embeddings."""
     r = random.Random(5)
